@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space: blank, tab, line feed, vertical tab, form feed, carriage return.
@@ -55,6 +55,40 @@ def crc32_mod(col: Column, by: int) -> Column:
     return F.crc32(col.cast("string")) % by
 
 
-def first_by_hash(df: DataFrame, key: str, most: int) -> DataFrame:
-    """A repeatable sample of at most ``most`` rows, in the order of a hash of ``key``."""
-    return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(most)
+#: Texts of more bytes than this are not taken for training.
+TRAIN_TEXT_BYTES = 64_000
+
+
+def sample_rows(df: DataFrame, most: int) -> list[Row]:
+    """At most ``most`` rows of a table with columns id and text, for training: the first in the order of a hash of id.
+
+    The choice reads no texts and doesn't depend on how rows lie. Rows whose id or text is null or
+    whose text has over TRAIN_TEXT_BYTES bytes are left out, so what reaches the driver is bounded.
+    """
+    usable = df.where("id is not null")
+    ids = usable.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most)
+    rows = usable.join(F.broadcast(ids), "id", "left_semi").where(F.octet_length("text") <= TRAIN_TEXT_BYTES)
+    return sorted(rows.limit(most).collect(), key=lambda r: (r["id"], r["text"]))
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, most: int) -> list[Row]:
+    """At most ``most`` rows (id, text, label, and what else docs has) for training, chosen as in sample_rows().
+
+    docs: id, text and more. labels: id, label; of repeated ids the largest label counts, nulls don't.
+    """
+    ids = labels.where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)
+    rows = docs.join(F.broadcast(ids), "id").where(F.octet_length("text") <= TRAIN_TEXT_BYTES)
+    return sorted(rows.limit(most).collect(), key=lambda r: (r["id"], r["text"]))
+
+
+def slices(texts: list, chars: int = 500_000):
+    """(from, to) of consecutive texts with a bounded number of characters, one text at least."""
+    at, held = 0, 0
+    for k, x in enumerate(texts):
+        size = len(x or "")
+        if k > at and held + size > chars:
+            yield at, k
+            at, held = k, 0
+        held += size
+    if texts:
+        yield at, len(texts)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut
+from corpusmill.llm.common import cut, slices
 
 CAPACITY = 4096
 END = 1
@@ -210,25 +210,13 @@ def word_tokens(path: str) -> WordTokens:
     return _TOKENS[path]
 
 
-def _some(texts: list, chars: int = 600_000):
-    """Consecutive slices of a bounded number of characters, one text at least."""
-    at, held = 0, 0
-    for k, x in enumerate(texts):
-        held += len(x or "")
-        if held > chars and k > at:
-            yield at, k
-            at, held = k, len(x or "")
-    if texts:
-        yield at, len(texts)
-
-
 def _piece_batches(batches, tokenizer, capacity):
     model = word_tokens(tokenizer_path(tokenizer))
     end = END.to_bytes(4, "little")
     for batch in batches:
         rows = []
         texts = batch.column(1).to_pylist()
-        for lo, hi in _some(texts):
+        for lo, hi in slices(texts, 600_000):
             for k, ids in zip(range(lo, hi), model.ids(texts[lo:hi])):
                 ids += end
                 rows += [(k, p, at // 4, min(4 * capacity, len(ids) - at) // 4, zlib.crc32(ids[at : at + 4 * capacity])) for p, at in enumerate(range(0, len(ids), 4 * capacity))]

@@ -7,9 +7,29 @@ from __future__ import annotations
 
 from corpusmill.llm.common import table
 from corpusmill.llm.exact_dedup import exact_dedup
+from corpusmill.llm.langid import language_id
 from corpusmill.llm.mixing import mix_sources
 from corpusmill.llm.packing import pack_documents
+from corpusmill.llm.pii import find_personal_data
+from corpusmill.llm.quality import quality
 from corpusmill.llm.simhash import near_duplicates
+from corpusmill.llm.toxicity import toxicity
+from corpusmill.llm.url_filters import judge_urls
+
+#: (verdict, host, path)
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op1_url_filters(spark, sf_dir):
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op2_quality(spark, sf_dir):
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_best_fit_packing(spark, sf_dir):
@@ -24,10 +44,18 @@ def op6_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_personal_data(spark, sf_dir):
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark, sf_dir):
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _OP5 = r"""
@@ -71,10 +99,37 @@ FROM rows WINDOW w AS (PARTITION BY t)
 """
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op2_quality": op2_quality,
+    "op3_toxicity": op3_toxicity,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_mix_sources": op5_mix_sources,
     "op6_simhash": op6_simhash,
+    "op8_personal_data": op8_personal_data,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL = {"op5_mix_sources": _OP5, "op9_exact_dedup": _OP9}
+_OP1 = r"""
+WITH RECURSIVE urls AS (
+  SELECT page_id, url, html, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, url, html, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM urls),
+rules(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+found AS (
+  SELECT x.page_id, any_value(x.url) AS url, any_value(x.host) AS host, any_value(x.path) AS path, max_by(r.h || r.p, length(r.h || r.p)) AS rule, max_by(r.verdict, length(r.h || r.p)) AS own
+  FROM parts x LEFT JOIN rules r ON (x.host = r.h OR ends_with(x.host, '.' || r.h)) AND starts_with(x.path, r.p) GROUP BY x.page_id),
+keys AS (SELECT page_id, url, html, host, lower(split_part(url, '://', 1)) || '://' || host || regexp_extract(split_part(url, '://', 2), '^[^/?#]*([^#]*)', 1) AS k FROM parts),
+edges AS (
+  SELECT k AS a, regexp_extract(html, '<link[^>]*rel="canonical"[^>]*href="([^"#]+)', 1) AS b FROM keys
+  UNION SELECT k, regexp_extract(html, '<meta[^>]*http-equiv="refresh"[^>]*url=([^"#]+)', 1) FROM keys),
+links AS (SELECT a, b FROM edges WHERE b <> '' UNION SELECT b, a FROM edges WHERE b <> ''),
+bad AS (
+  SELECT k FROM keys JOIN found USING (page_id) WHERE own = 'block'
+  UNION SELECT l.b FROM bad JOIN links l ON bad.k = l.a)
+SELECT f.page_id, f.host, f.path, f.rule, coalesce(f.own, CASE WHEN l.a IS NOT NULL AND b.k IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, l.a IS NOT NULL AND b.k IS NOT NULL AS blocked_alias
+FROM found f JOIN keys USING (page_id) LEFT JOIN (SELECT DISTINCT k FROM bad) b ON keys.k = b.k LEFT JOIN (SELECT DISTINCT a FROM links) l ON keys.k = l.a
+"""
+
+ORACLE_SQL = {"op1_url_filters": _OP1, "op5_mix_sources": _OP5, "op9_exact_dedup": _OP9}
