@@ -9,11 +9,8 @@ references, and positions and captions stay with them. Features come from the st
 from __future__ import annotations
 
 import hashlib
-import html
-import re
 import struct
 import zlib
-from functools import partial
 from html.parser import HTMLParser
 
 import numpy as np
@@ -189,26 +186,32 @@ def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
 
 # -- the query's documents -------------------------------------------------------------------------
 
-_STORED = "doc_id {kind}, html string, digest string, media binary"
-_FEATURES = ["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+_FEATURES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
 
-def _wrap_batches(batches):
-    """Each text as a payload, stored as an image, and a page that shows it by digest."""
+def _store_batches(batches):
     for batch in batches:
-        texts = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in batch.column(1)]
-        for lo in range(0, len(texts), 256):
-            part = texts[lo : lo + 256]
-            digests = [hashlib.sha256(x).hexdigest() for x in part]
-            pages = [f'<article><p>document</p><figure><img src="media:{d}"><figcaption>{html.escape(str(len(x)))}</figcaption></figure></article>' for d, x in zip(digests, part)]
-            media = [encode_png(padded(x)) for x in part]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 256), pa.array(pages, pa.string()), pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=["doc_id", "html", "digest", "media"])
+        raw = batch.column(0)
+        for lo in range(0, batch.num_rows, 256):
+            part = [x.as_py() for x in raw.slice(lo, 256)]
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(x).hexdigest() for x in part], pa.string()), pa.array([encode_png(padded(x)) for x in part], pa.binary())], names=["digest", "media"])
 
 
-def wrap_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, html, digest, media: the text's payload as a stored image, and a page that refers to it."""
-    two = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return two.mapInArrow(_wrap_batches, _STORED.format(kind=two.schema["doc_id"].dataType.simpleString()))
+def _raw(text_col: str):
+    return F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+
+
+def stored_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The media table of a table of texts: each different payload once, by the digest of its unpadded bytes."""
+    made = docs.select(_raw(text_col).alias("raw")).mapInArrow(_store_batches, "digest string, media binary")
+    return made.groupBy("digest").agg(F.first("media").alias("media"))
+
+
+def document_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and html: a page for each text, whose figure shows its payload by digest; the caption tells its bytes."""
+    raw = _raw(text_col)
+    page = F.concat(F.lit('<article><p>document</p><figure><img src="media:'), F.sha2(raw, 256), F.lit('"><figcaption>'), F.octet_length(raw).cast("string"), F.lit("</figcaption></figure></article>"))
+    return docs.select(F.col(id_col).alias("doc_id"), page.alias("html"))
 
 
 def _feature_batches(batches):
@@ -220,7 +223,7 @@ def _feature_batches(batches):
             rows.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), payload_feature(payload)))
         kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         columns = list(zip(*rows)) if rows else [()] * len(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["digest", *_FEATURES[2:]])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["digest", *_FEATURES])
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -236,9 +239,6 @@ def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null counts as empty (one row of blanks). Repeated rows stay; an empty table gives an empty table;
     no other column is read.
     """
-    wrapped = wrap_documents(docs, id_col, text_col)
-    table = wrapped.select("digest", "media").groupBy("digest").agg(F.first("media").alias("media"))
-    features = cut(media_features(table))
-    shown = cut(interleaved(wrapped, "doc_id", "html"))
-    told = resolve(shown, features)
-    return told.select("doc_id", F.col("caption").cast("long").alias("n_bytes"), *_FEATURES[2:])
+    features = cut(media_features(stored_media(docs, text_col)))
+    shown = cut(interleaved(document_pages(docs, id_col, text_col), "doc_id", "html"))
+    return resolve(shown, features).select("doc_id", F.col("caption").cast("long").alias("n_bytes"), *_FEATURES)

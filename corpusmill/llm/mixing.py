@@ -128,3 +128,17 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_s
     passes = sum((F.when(x, 1).otherwise(0) for x in takes), F.lit(0))
     taken = F.when((F.col("size") > 0) & (F.col("target") > 0), F.col("size") * passes).otherwise(F.lit(0))
     return queued.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def take_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_share: float = 1.5, max_passes: int = 2, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns.
+
+    Rows are told apart by identifier and size, so repeated identifiers with different texts are
+    taken each as its own; documents without a word are not taken.
+    """
+    told = mix_sources(docs, weights, total_share, max_passes, seed, id_col, source_col, text_col).where("taken > 0")
+    times = cut(told.groupBy("doc_id", "size").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("times")))
+    times = times.select(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), F.col("times").alias("mix_times"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("own_id"), word_count(F.col(text_col)).alias("own_size"))
+    both = row.join(times, F.col("own_id").eqNullSafe(F.col("mix_id")) & (F.col("own_size") == F.col("mix_size")))
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_times"))).alias("again")).select("row.*")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from corpusmill.llm.common import table
 from corpusmill.llm.exact_dedup import exact_dedup
 from corpusmill.llm.langid import language_id
+from corpusmill.llm.media import document_media
 from corpusmill.llm.mixing import mix_sources
 from corpusmill.llm.packing import pack_documents
 from corpusmill.llm.pii import find_personal_data
@@ -44,6 +45,10 @@ def op6_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_media(spark, sf_dir):
+    return document_media(table(spark, sf_dir, "documents"))
+
+
 def op8_personal_data(spark, sf_dir):
     return find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -105,6 +110,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_mix_sources": op5_mix_sources,
     "op6_simhash": op6_simhash,
+    "op7_media": op7_media,
     "op8_personal_data": op8_personal_data,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
