@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from corpusmill.plans import chat, corpus, evaluation, retrieval
+
+QUERIES = corpus.QUERIES | retrieval.QUERIES | evaluation.QUERIES | chat.QUERIES
+ORACLE_SQL = corpus.ORACLE_SQL | retrieval.ORACLE_SQL | evaluation.ORACLE_SQL | chat.ORACLE_SQL
