@@ -13,10 +13,12 @@ ASCII marks divide words.
 
 from __future__ import annotations
 
+from array import array
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,9 @@ from corpusmill.llm.common import crc32_mod, labelled_rows
 TRAIN_DOCS = 4000
 BASE = -10.0
 #: A word must occur in so many training documents; weights below LEAST are dropped.
-MIN_DOCS, LEAST, L1 = 5, 1.0, 0.3
+MIN_DOCS, LEAST, L1 = 5, 3.0, 0.008
+#: Features must be this much likelier (in log-odds) in toxic documents to be weighed at all.
+LEAST_ODDS = 2.0
 THRESHOLD = 0.3
 
 _TABLE = bytes(10 if chr(b) in ".!?\n\r" else b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -48,33 +52,37 @@ def features(words: list[bytes]) -> set[bytes]:
 
 def train_words(texts: list[str], labels: list[int], steps: int = 150) -> dict[bytes, float]:
     """Word weights from documents' labels, by projected gradient ascent of the noisy-or likelihood."""
-    seen: dict[bytes, int] = {}
-    bags = [[features(x) for x in sentences(t)] for t in texts]
-    for bag in bags:
-        for w in set().union(*bag):
-            seen[w] = seen.get(w, 0) + 1
-    vocabulary = sorted(w for w, n in seen.items() if n >= MIN_DOCS)
-    if not vocabulary or not any(labels):
+    if not any(labels):
         return {}
-    at = {w: k for k, w in enumerate(vocabulary)}
-    word, sent, doc = [], [], []
-    for d, bag in enumerate(bags):
-        for x in bag:
-            if known := [at[w] for w in x if w in at]:
-                word += known
-                sent += [len(doc)] * len(known)
+    # features are told apart by hash, so that only those in enough documents are ever held
+    own = [np.unique(np.fromiter((xxhash.xxh64_intdigest(f) for f in features([w for x in sentences(t) for w in x])), np.uint64)) for t in texts]
+    y = np.array(labels, float) > 0.5
+    codes, counts = np.unique(np.concatenate(own), return_counts=True)
+    toxic_codes, toxic_counts = np.unique(np.concatenate([x for x, t in zip(own, y) if t]), return_counts=True)
+    del own
+    hits = np.zeros(len(codes))
+    hits[np.searchsorted(codes, toxic_codes)] = toxic_counts
+    rate = y.mean()
+    odds = np.log((hits + 4 * rate) / (counts - hits + 4 * (1 - rate))) - np.log(rate / (1 - rate))
+    likely = (counts >= MIN_DOCS) & (odds >= LEAST_ODDS)
+    at, odds = {h: k for k, h in enumerate(codes[likely].tolist())}, odds[likely]
+    if not at:
+        return {}
+    vocabulary: list[bytes] = [b""] * len(at)
+    word, sent, doc = array("i"), array("i"), array("i")
+    for d, text in enumerate(texts):
+        for x in sentences(text):
+            n = len(word)
+            for f in features(x):
+                if (k := at.get(xxhash.xxh64_intdigest(f))) is not None:
+                    vocabulary[k] = f
+                    word.append(k)
+                    sent.append(len(doc))
+            if len(word) > n:
                 doc.append(d)
     word, sent, doc = np.array(word, np.int32), np.array(sent, np.int32), np.array(doc, np.int32)
-    y = np.array(labels, float) > 0.5
     n_docs, n_sent = len(texts), len(doc)
-    # start: the smoothed log-odds of documents with the word, above the base rate
-    pairs = np.unique(doc[sent].astype(np.int64) * len(vocabulary) + word)
-    hits = np.bincount(pairs % len(vocabulary), y[pairs // len(vocabulary)], len(vocabulary))
-    total = np.bincount(pairs % len(vocabulary), minlength=len(vocabulary))
-    rate = y.mean()
-    odds = np.log((hits + 4 * rate) / (total - hits + 4 * (1 - rate))) - np.log(rate / (1 - rate))
     w = np.clip(odds * 3, 0, 12)
-    w[odds < 1] = 0
     false_rate, miss_rate = min(0.05, rate / 2), 0.1
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
@@ -91,7 +99,7 @@ def train_words(texts: list[str], labels: list[int], steps: int = 150) -> dict[b
             was = np.where(y, toxic * (1 - miss_rate) / q, toxic * miss_rate / (1 - q))
             false_rate = float(np.clip((y * (1 - was)).sum() / max((1 - was).sum(), 1), 0.005, 0.3))
             miss_rate = float(np.clip((~y * was).sum() / max(was.sum(), 1), 0.005, 0.3))
-    return {x: float(k) for x, k in zip(vocabulary, w) if k >= LEAST}
+    return {x: float(k) for x, k in sorted(zip(vocabulary, w)) if k >= LEAST}
 
 
 def sentence_scores(text: str | None, weights: dict[bytes, float]) -> np.ndarray:
