@@ -98,8 +98,100 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS,
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, shingle: int = 5, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their component, with all their columns."""
-    told = near_duplicates(docs, shingle, max_bits, id_col=id_col, text_col=text_col)
-    stay = told.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays"))
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["stays"]), "left_semi")
+# -- similarity of shingle sets ---------------------------------------------------------------------
+#
+# A fingerprint of a whole text can't tell a similarity of 0.8 from chance by two bits: such texts
+# differ in about ten. So for a threshold a text gets one fingerprint for each of ``tables``, each over
+# the few shingles that come first in the table's order. Similar texts have the same few in some
+# table (at 0.8 in one of 20 at least with probability 0.9996), so equal fingerprints of a table make
+# candidates, and the whole shingle sets are then compared exactly.
+
+#: Candidates to be removed by broadcast, up to this number; beyond it by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The different hashes of a text's shingles, sorted."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) < shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    parts = map(b" ".join, zip(*(words[k:] for k in range(shingle))))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(words) - shingle + 1))
+
+
+def table_fingerprints(hashes: np.ndarray, tables: int, first: int) -> np.ndarray:
+    """A SimHash for each table, of the ``first`` hashes in the table's order (all, if there are fewer)."""
+    if not len(hashes):
+        return np.zeros(tables, np.uint64)
+    n = min(first, len(hashes))
+    picked = np.empty((tables, n), np.uint64)
+    for k in range(tables):
+        order = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD1342543DE82EF95 + 2 * k)
+        order ^= order >> np.uint64(32)
+        order *= np.uint64(0xC4CEB9FE1A85EC53)
+        picked[k] = hashes[np.argpartition(order, n - 1)[:n]]
+    bits = np.unpackbits(picked.view(np.uint8).reshape(tables, n, 8), axis=2, bitorder="little").sum(axis=1)
+    return np.packbits(2 * bits > n, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets of hashes; two empty ones are the same."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _table_batches(batches, shingle, tables, first):
+    for batch in batches:
+        values = [table_fingerprints(shingle_hashes(x.as_py(), shingle), tables, first).view(np.int64) for x in batch.column(1)]
+        flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.int64))
+        ends = pa.array(np.arange(len(values) + 1) * tables, pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat)], names=["id", "fps"])
+
+
+def _verify_batches(batches, shingle, least):
+    for batch in batches:
+        a, b, x, y = (batch.column(k) for k in range(4))
+        seen: dict[str, np.ndarray] = {}
+
+        def hashes(text: str, seen: dict = seen) -> np.ndarray:
+            if text not in seen:
+                if len(seen) > 200:
+                    seen.clear()
+                seen[text] = shingle_hashes(text, shingle)
+            return seen[text]
+
+        good = pa.array([jaccard(hashes(p.as_py() or ""), hashes(q.as_py() or "")) >= least for p, q in zip(x, y)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([a.filter(good), b.filter(good)], names=["a", "b"])
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, tables: int = 20, first: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id of every document that links to another: texts whose shingle sets have a Jaccard similarity of ``least``.
+
+    Within a table's group of equal fingerprints each document is compared with two others, the one of
+    the smallest doc_id and one that a hash picks, so a group makes two candidates a document, never
+    all pairs. A null doc_id links to nothing; rows of the same doc_id count as one document. An empty
+    table gives an empty table; no other column is read.
+    """
+    two = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    kind = two.schema["id"].dataType.simpleString()
+    rows = two.mapInArrow(partial(_table_batches, shingle=shingle, tables=tables, first=first), f"id {kind}, fps array<long>")
+    keys = cut(rows.select("id", F.posexplode("fps").alias("t", "fp")))
+    picked = F.min_by("id", F.xxhash64("id", "t"))
+    groups = cut(keys.groupBy("t", "fp").agg(F.min("id").alias("low"), picked.alias("pick"), F.count("*").alias("n")).where("n > 1").select(F.col("t").alias("t2"), F.col("fp").alias("fp2"), "low", "pick"))
+    near = keys.join(groups, (F.col("t") == F.col("t2")) & (F.col("fp") == F.col("fp2"))).select("id", F.explode(F.array("low", "pick")).alias("other"))
+    pairs = cut(near.where("id <> other").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
+    x, y = (two.select(F.col("id").alias(f"{n}_id"), F.col("text").alias(f"{n}_text")) for n in "xy")
+    texts = pairs.join(y, F.col("b") == F.col("y_id")).select("a", "b", "y_text").join(x, F.col("a") == F.col("x_id")).select("a", "b", "x_text", "y_text")
+    links = texts.mapInArrow(partial(_verify_batches, shingle=shingle, least=least), f"a {kind}, b {kind}")
+    found = connected_components(links, "a", "b")
+    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` but for those that are similar to others of a smaller doc_id, with all their columns."""
+    told = similar_documents(docs, shingle, least, id_col=id_col, text_col=text_col)
+    gone = cut(told.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
