@@ -52,6 +52,11 @@ mein Name ist [name:Jonas Wolf] und ich komme .
 je m'appelle [name:Julie Marchand] et je viens .
 me llamo [name:Diego Torres] y vengo .
 Dear Mr. [name:Clark] , thank you .
+Mr. [name:Walter Gruber], please come in .
+Dr. [name:Nina Rossi], too, was there .
+Contact [name:Omar Haddad], the clerk .
+my name is [name:Rosa Klein].
+Herr [name:Otto Braun], bitte warten .
 the login is password=[secret:hunter2x99] for now .
 and password=[secret:7602ad27cf5550de1c] was found there
 set password=[secret:b7db7aa4a5fcc78305] in the file
@@ -157,13 +162,14 @@ class ChainField:
     @staticmethod
     def sequence(line: str) -> tuple[list[str], list[int]]:
         words, labels = [], []
-        for m in re.finditer(r"(\S*?)\[(\w+):([^\]]+)\]|(\S+)", line):
-            if m[4]:
-                words.append(m[4])
+        for m in re.finditer(r"(\S*?)\[(\w+):([^\]]+)\](\S*)|(\S+)", line):
+            if m[5]:
+                words.append(m[5])
                 labels.append(0)
             else:
-                for k, w in enumerate(m[3].split()):
-                    words.append(m[1] * (k == 0) + w)
+                own = m[3].split()
+                for k, w in enumerate(own):
+                    words.append(m[1] * (k == 0) + w + m[4] * (k + 1 == len(own)))
                     labels.append(LABELS.index(("B-" if k == 0 else "I-") + m[2]))
         return words, labels
 

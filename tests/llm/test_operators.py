@@ -1,0 +1,510 @@
+"""The training-data operators against brute force, exact round trips and defined edge cases."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from corpusmill.llm import exact_dedup, langid, media, mixing, packing, pii, quality, simhash, toxicity, url_filters
+from corpusmill.llm.components import connected_components
+from corpusmill.llm.queries import URL_RULES
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(spark, rows, parts=3):
+    """Rows (doc_id, text[, lang, source]) as a documents table with a clashing extra column."""
+    full = [(*r, *[None] * (4 - len(r)), len(r[1]) if r[1] is not None else None) for r in rows]
+    return spark.createDataFrame(full, DOCS).withColumn("d", F.lit("extra")).withColumn("fp", F.lit(1)).repartition(parts)
+
+
+def union_find(nodes, pairs):
+    up = {n: n for n in nodes}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+# -- components -----------------------------------------------------------------------------------
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(100 + k, 101 + k) for k in range(30)] + [(7, None), (200, 200)] + [(300, 301 + k) for k in range(40)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r["node"]: r["component"] for r in connected_components(df, "a", "b").collect()}
+    real = [(a, b) for a, b in edges if b is not None and a != b]
+    assert got == union_find({x for e in real for x in e}, real)
+    assert connected_components(df.limit(0), "a", "b").count() == 0
+
+
+# -- 1 -------------------------------------------------------------------------------------------------
+
+
+def test_url_parts_and_rules(spark):
+    urls = ["http://A.Example.COM/en/7x?q#f", "http://a.example.com/en/6", "https://x.net/de/1", "https://www.example.net/de/8#", "no scheme", None, "http://h?x/en/", "ftp://org/es/", "http://xcom/en/", "://com/en/", "http://com"]
+    df = spark.createDataFrame([(k, u, None) for k, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r["page_id"]: tuple(r)[1:5] for r in url_filters.judge_urls(df, URL_RULES).collect()}
+    assert got == {
+        0: ("a.example.com", "/en/7x", "example.com/en/7", "allow"), 1: ("a.example.com", "/en/6", "com/en/", "block"), 2: ("x.net", "/de/1", "net/de/", "allow"),
+        3: ("www.example.net", "/de/8", "example.net/de/8", "block"), 4: ("", "", None, "allow"), 5: ("", "", None, "allow"), 6: ("h", "", None, "allow"), 7: ("org", "/es/", "org/es/", "block"),
+        8: ("xcom", "/en/", None, "allow"), 9: ("com", "/en/", "com/en/", "block"), 10: ("com", "", None, "allow"),
+    }
+    assert url_filters.judge_urls(df.limit(0), URL_RULES).count() == 0
+
+
+def test_blocks_follow_aliases(spark):
+    canonical = '<link rel="canonical" href="{}">'
+    rows = [
+        (1, "http://a.io/x", canonical.format("/y")), (2, "http://a.io/y#top", "<META content='0; URL=http://b.org/es/1' http-equiv=refresh>"), (3, "http://b.org/es/1", ""),
+        (4, "http://c.net/de/1", canonical.format("http://a.io/y")), (5, "http://d.io/", canonical.format("http://e.io/")), (6, "http://e.io", None), (7, "http://a.io/x", None),
+        (8, "http://f.io/", "<!-- " + canonical.format("http://b.org/es/1") + " -->"), (9, None, canonical.format("http://b.org/es/1")),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("node", F.lit(1)).withColumn("k", F.lit(2))
+    got = {r["page_id"]: r["verdict"] for r in url_filters.judge_urls(df, URL_RULES).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "allow", 9: "allow"}
+
+
+# -- 2 --------------------------------------------------------------------------------------------------
+
+
+def good_and_bad(n, seed):
+    rng = random.Random(seed)
+    for k in range(n):
+        words = ["".join(rng.choice(["th", "er", "on", "an", "re"]) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+        bad = k % 4 == 0
+        text = " ".join(w + rng.choice(["%%%", "$$$"]) for w in words) if bad else " ".join(words).capitalize() + "."
+        yield k, text, "en", f"s{k % 3}", int(not bad)
+
+
+def test_quality_held_out(spark):
+    rows = list(good_and_bad(400, 1))
+    df = documents(spark, [r[:4] for r in rows] + [(1000, None), (1001, ""), (1002, "x " * 5000)])
+    labels = spark.createDataFrame([(r[0], r[4]) for r in rows if r[0] % 2] + [(r[0], r[4]) for r in rows[::8]] + [(None, 1), (3, None)], "doc_id long, quality int")
+    found = quality.quality(df, labels)
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert len(got) == 403 and all(0 <= r["score"] <= 1 for r in got.values())
+    held = [r for r in rows if r[0] % 2 == 0 and r[0] % 8]
+    assert np.mean([got[r[0]]["kept"] == bool(r[4]) for r in held]) > 0.97
+    kept = quality.keep_good(df, labels)
+    assert kept.columns == df.columns
+    assert {r["doc_id"] for r in kept.collect()} == {k for k, r in got.items() if r["kept"]}
+    none = quality.quality(df, labels.limit(0)).collect()
+    assert all(r["score"] == 0.5 and r["kept"] for r in none)
+    assert quality.quality(df.limit(0), labels).count() == 0
+
+
+# -- 3 ---------------------------------------------------------------------------------------------------
+
+
+def test_toxicity_held_out(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("aeiou") + rng.choice("bdgklmnrst") for _ in range(rng.randint(1, 3)))
+    rows = []
+    for k in range(600):
+        sents = [" ".join(word() for _ in range(8)) for _ in range(rng.randint(1, 6))]
+        bad = k % 5 == 0
+        if bad:
+            sents[rng.randrange(len(sents))] += " " + rng.choice(["vilezzz", "grubqqq"])
+        rows.append((k, ". ".join(sents) + ".", int(bad)))
+    df = documents(spark, [r[:2] for r in rows] + [(9000, None), (9001, ""), (9002, "... \n"), (None, rows[0][1])])
+    labels = spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(df, labels).collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 4 == 2) for k, r in got.items() if k is not None)
+    assert np.mean([got[k]["predicted"] == t for k, _, t in rows if got[k]["held_out"]]) > 0.98
+    assert got[9000]["score"] == got[9001]["score"] == got[9002]["score"] == 0.0 and got[None]["predicted"] == 1
+    weights = toxicity.train_words([r[1] for r in rows], [r[2] for r in rows])
+    spans = toxicity.offending_sentences(df, weights).collect()
+    assert spans and all(re.search("vilezzz|grubqqq", r["words"]) for r in spans)
+    by_hand = {k: toxicity.document_score(t, weights) for k, t, _ in rows}
+    assert all(abs(r["score"] - by_hand[r["doc_id"]]) < 1e-9 for r in toxicity.score_documents(df.where("doc_id < 600"), weights).collect())
+    assert all(r["predicted"] == 0 for r in toxicity.toxicity(df, labels.limit(0)).collect())
+
+
+# -- 4 -------------------------------------------------------------------------------------------------------
+
+
+def test_tokens_match_the_tokenizer():
+    model = packing.word_tokens(packing.tokenizer_path())
+    odd = "don't it's WE'LL ''s 's x1234.5 ab,. a,b İ É é ẞß ΑΣ 日本語 ½ ²3 a\x1cb z\x85q <|endoftext|> <|ENDOFTEXT|> naïve! ok. no, "
+    rng = random.Random(3)
+    texts = [odd, "", None, "a", "x" * 3000, *("".join(rng.choice("aeThé., \n'1!<|") for _ in range(200)) for _ in range(60))]
+    for _ in range(2):  # the second time from the cache
+        for text, ids in zip(texts, model.ids(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == model.whole.encode(text or "", add_special_tokens=False).ids
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=60))
+def test_best_fit(sizes):
+    x = np.array(sizes, np.int64)
+    bins, offsets, room = packing.best_fit_decreasing(x, 40)
+    held = defaultdict(list)
+    for b, o, s in zip(bins.tolist(), offsets.tolist(), sizes):
+        held[b].append((o, s))
+    for b, places in held.items():
+        places.sort()
+        assert [o for o, _ in places] == [sum(s for _, s in places[:k]) for k in range(len(places))]
+        assert room[b] == 40 - sum(s for _, s in places) >= 0
+    assert packing.lower_bound(x, 40) <= len(room)
+    if len(sizes) <= 7 and sizes:  # the bound never exceeds the optimum
+        best = min(len(set(c)) for c in itertools.product(range(len(sizes)), repeat=len(sizes)) if all(sum(s for s, k in zip(sizes, c) if k == b) <= 40 for b in set(c))) if len(sizes) <= 5 else len(room)
+        assert packing.lower_bound(x, 40) <= best
+
+
+def test_pack_documents(spark):
+    rng = random.Random(4)
+    texts = {k: " ".join(rng.choice(["ab", "the", "tion", "x1", "é"]) for _ in range(rng.choice([0, 3, 50, 900, 4095, 9000]))) for k in range(40)}
+    df = documents(spark, [*texts.items(), (99, None)])
+    rows = packing.pack_documents(df).collect()
+    model = packing.word_tokens(packing.tokenizer_path())
+    pieces = defaultdict(list)
+    for r in rows:
+        pieces[r["doc_id"]].append(r)
+    for k, text in {**texts, 99: ""}.items():
+        ids = model.whole.encode(text, add_special_tokens=False).ids + [1]
+        own = sorted(pieces[k], key=lambda r: r["piece"])
+        assert [r["start"] for r in own] == list(range(0, len(ids), 4096)) and sum(r["length"] for r in own) == len(ids)
+        for r in own:
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+    places = defaultdict(list)
+    for r in rows:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for held in places.values():
+        held.sort()
+        assert [o for o, _ in held] == [sum(n for _, n in held[:k]) for k in range(len(held))] and sum(n for _, n in held) <= 4096
+    total = sum(r["length"] for r in rows)
+    assert len(places) <= -(-total // 4096) + 1
+    assert packing.pack_documents(df.limit(0)).count() == 0
+
+
+def test_exchange_saves_bins(spark):
+    rng = random.Random(6)
+    rows = [(k, 0, 0, rng.randint(1, 4096), k) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    alone = packing.pack(df, group=40, rounds=0)
+    mixed = packing.pack(df, group=40)
+    assert mixed.count() == 600 and mixed.select("doc_id").distinct().count() == 600
+    fill = {r["sequence_id"]: r["n"] for r in mixed.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()}
+    assert max(fill.values()) <= 4096
+    assert len(fill) <= alone.select("sequence_id").distinct().count()
+
+
+# -- 5 -----------------------------------------------------------------------------------------------------------
+
+
+def mix_by_hand(rows, weights=(5, 2, 1), share=1.5):
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    total = defaultdict(int)
+    for _, t, s in rows:
+        total[s] += size(t)
+    order = sorted(total, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: float(weights[k % 3]) for k, s in enumerate(order)}
+    full = set()
+    while True:
+        left = [s for s in order if s not in full]
+        level = (sum(total.values()) * share - sum(2 * total[s] for s in full)) / sum(w[s] for s in left) if left else 0
+        more = {s for s in left if w[s] * level > 2 * total[s]}
+        if not more:
+            break
+        full |= more
+    target = {s: float(2 * total[s]) if s in full else w[s] * level for s in order}
+    items, upto = [], defaultdict(int)
+    for d, t, s in sorted(rows, key=lambda r: (hashlib.md5(f"42:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] is not None, r[0] or 0, size(r[1]))):
+        upto[s] += size(t)
+        h = hashlib.md5(f"42:{'' if d is None else d}".encode()).hexdigest()
+        if size(t) and target[s]:
+            items += [((upto[s] + p * total[s]) / target[s], "t" if s is None else "s" + s, p, h, -1 if d is None else d, size(t)) for p in (0, 1)]
+    taken, run = Counter(), 0
+    for item in sorted(items):
+        run += item[-1]
+        if run > min(sum(total.values()) * share, 2.0 * sum(total.values())):
+            break
+        taken[item[4]] += item[-1]
+    return {d: (size(t), total[s], target[s], taken[-1 if d is None else d]) for d, t, s in rows}
+
+
+@pytest.mark.parametrize("case", ["mixed", "one", "wordless"])
+def test_mixing(spark, case):
+    rng = random.Random(7)
+    if case == "mixed":
+        rows = [(k, "w " * rng.choice([0, 1, 3, 9, 40]), rng.choice(["a", "b", "é", "hot", "hot", "hot", "", None])) for k in range(300)] + [(None, "w\x0bx", "a")]
+    elif case == "one":
+        rows = [(1, "a b\x1cc  d", None)]
+    else:
+        rows = [(1, "", "a"), (2, None, "b"), (3, " \t", None)]
+    df = documents(spark, [(d, t, None, s) for d, t, s in rows])
+    got = {r["doc_id"]: tuple(r)[1:] for r in mixing.mix_sources(df).collect()}
+    want = mix_by_hand(rows)
+    assert {k: (v[0], v[1], pytest.approx(v[2]), v[3]) for k, v in want.items()} == got
+    taken = mixing.take_mix(df)
+    assert taken.columns == df.columns
+    assert Counter(r["doc_id"] for r in taken.collect()) == Counter({k: v[3] // v[0] for k, v in want.items() if v[3]})
+    assert mixing.mix_sources(df.limit(0)).count() == 0
+
+
+# -- 6 ------------------------------------------------------------------------------------------------------------
+
+
+def fingerprint_by_hand(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[k : k + 3]).encode(), 42) for k in range(max(1, len(words) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash(spark):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(300)]
+    texts = [" ".join(base)] * 3
+    for _ in range(60):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            words[rng.randrange(300)] = "zz"
+        texts.append(" ".join(words).upper())
+    texts += ["", None, " \n", "one", "ONE", "É x", "é x"] + [" ".join(rng.choice(base) for _ in range(5)) for _ in range(40)]
+    df = documents(spark, list(enumerate(texts)))
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(df).collect()}
+    fps = {k: fingerprint_by_hand(t) for k, t in enumerate(texts)}
+    pairs = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 2]
+    comp = union_find(fps, pairs)
+    assert got == {k: (f"{fps[k]:016x}", comp[k]) for k in fps}
+    assert simhash.near_duplicates(df.limit(0)).count() == 0
+    odd = documents(spark, [(None, "a b c"), (None, "a b c"), (5, "a b c"), (5, "a b c"), (None, "q")])
+    assert Counter((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(odd).collect()) == {(None, 5): 2, (5, 5): 2, (None, None): 1}
+
+
+@pytest.mark.parametrize("segments", [8, 16])
+def test_close_pairs(spark, segments):
+    rng = random.Random(9)
+    centres = [rng.getrandbits(64) for _ in range(6)]
+    values = sorted({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for c in centres for _ in range(30)} | {0, 2**64 - 1, 1, 3})
+    signed = [v - 2**64 if v >= 2**63 else v for v in values]
+    df = spark.createDataFrame([(v,) for v in signed], "fp long")
+    got = {(r["a"], r["b"]) for r in simhash.close_pairs(df, segments=segments).collect()}
+    mask = 2**64 - 1
+    assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= 2}
+
+
+def test_similar_documents(spark):
+    rng = random.Random(10)
+    rows, n = [], 0
+    for _ in range(25):
+        base = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(rng.choice([3, 40, 200]))]
+        for _ in range(rng.randint(1, 4)):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, len(words) // 30))):
+                words[rng.randrange(len(words))] = "zz"
+            rows.append((n, " ".join(words)))
+            n += 1
+    df = documents(spark, [*rows, (None, rows[0][1]), (900, ""), (901, None)])
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t else set() for k, t in [*rows, (900, ""), (901, "")]}
+    like = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
+    comp = union_find(sets, [(a, b) for a in sets for b in sets if a < b and like(sets[a], sets[b]) >= 0.8])
+    size = Counter(comp.values())
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    assert got == {k: c for k, c in comp.items() if size[c] > 1}
+    kept = simhash.keep_one_of_each(df)
+    assert kept.columns == df.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter([*set(comp.values()), None])
+    assert simhash.keep_one_of_each(df.limit(0)).count() == 0
+
+
+# -- 7 -------------------------------------------------------------------------------------------------------------
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=1000))
+def test_images_round_trip(raw):
+    payload = media.padded(raw)
+    assert payload.startswith(raw) and len(payload) % 192 == 0 and len(payload) >= 192 and set(payload[len(raw) :]) <= {32}
+    stored = media.encode_png(payload)
+    assert media.decode_png(stored) == payload
+    with pytest.raises(ValueError):
+        media.decode_png(stored[:40] + bytes([stored[40] ^ 1]) + stored[41:])
+
+
+def test_items_stay_aligned(spark):
+    a, b = "a" * 64, "b" * 64
+    page = f"<p>one<!-- no --><br>two &amp; x</p><figure><img src='media:{a}' alt=alt><figcaption>said <b>so</b></figcaption></figure><script>var x='<p>'</script>three<img src=media:{b} alt='only alt'><img src=other.png>"
+    items = media.parse_items(page)
+    assert [(i["position"], i["kind"], i["text"], i["ref"], i["caption"]) for i in items] == [
+        (0, "text", "one", None, None), (1, "text", "two & x", None, None), (2, "media", None, f"media:{a}", "said so"), (3, "text", "three", None, None), (4, "media", None, f"media:{b}", "only alt"), (5, "media", None, "other.png", None),
+    ]
+    pages = spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string")
+    table = spark.createDataFrame([(a, 7)], "digest string, size long")
+    got = sorted((r["doc_id"], r["position"], r["caption"], r["size"]) for r in media.resolve(media.interleaved(pages), table).collect() if r["position"] < 5)
+    assert got == [(1, 2, "said so", 7), (1, 4, "only alt", None)]
+
+
+def test_document_media(spark):
+    texts = {1: "é" * 100, 2: "", 3: None, 4: "x" * 192, 5: "x" * 192, 6: "y" * 50_000}
+    got = {r["doc_id"]: r for r in media.document_media(documents(spark, list(texts.items()))).collect()}
+    for k, t in texts.items():
+        raw = (t or "").encode()
+        payload = media.padded(raw)
+        stored = media.encode_png(payload)
+        r = got[k]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest())
+    assert tuple(got[4])[1:] == tuple(got[5])[1:] and tuple(got[2])[1:] == tuple(got[3])[1:]
+    assert media.document_media(documents(spark, []).limit(0)).count() == 0
+
+
+# -- 8 ---------------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def field():
+    return pii.ChainField.train()
+
+
+def test_base_patterns():
+    text = "mail a.b+c@d-e.f.gh, x@y no 1.2.3.4 and 256.1.1.1 or 1.2.3.4.5 card 4111 1111 1111 1111 or 4111-1111-1111-1112 call +1 (555) 010-9999 or +12 34"
+    got = [(pii.KINDS[k], text[a:b]) for a, b, k in pii.base_spans(text)]
+    assert got == [("email", "a.b+c@d-e.f.gh"), ("ip", "1.2.3.4"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (555) 010-9999")]
+
+
+def test_viterbi_in_batches(field):
+    rng = np.random.default_rng(0)
+    for _ in range(150):
+        n = int(rng.integers(1, 30))
+        e = rng.normal(0, rng.choice([1, 4, 12]), (n, len(pii.LABELS)))
+        e[:, 0] += rng.choice([0, 10, 30])
+        ends = np.unique(np.append(rng.integers(1, n + 1, 3), n))
+        want = np.concatenate([field.viterbi(e[a:b]) for a, b in zip([0, *ends[:-1]], ends)])
+        assert (field.decode(e, ends) == want).all()
+
+
+def test_viterbi_is_best(field):
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        e = rng.normal(0, 3, (4, len(pii.LABELS)))
+        score = lambda p: field.first[p[0]] + field.last[p[-1]] + sum(e[i, k] for i, k in enumerate(p)) + sum(field.step[a, b] for a, b in zip(p, p[1:]))
+        best = max(itertools.product(range(len(pii.LABELS)), repeat=4), key=score)
+        assert tuple(field.viterbi(e)) == best
+
+
+def test_personal_data(spark, field):
+    texts = {
+        1: "Contact Maria Stein for it. My mail is x@y.org and password=a1b2c3d4e5f6 there", 2: "The. And then it was. In London By By By.", 3: None, 4: "",
+        5: "é😀 a@b.co", 6: "Dr. Anna Schmidt left\nDr. Paul Meyer, too. SSN 123-45-6789", 7: "the " * 30_000 + "1.2.3.4",
+    }
+    got = {r["doc_id"]: r for r in pii.find_personal_data(documents(spark, list(texts.items())), field).collect()}
+    shown = {k: [(s.split(":")[0], (texts[k] or "")[int(s.split(":")[1]) : int(s.split(":")[2])]) for s in r["spans"].split(",") if s] for k, r in got.items()}
+    assert shown[1] == [("name", "Maria Stein"), ("email", "x@y.org"), ("secret", "a1b2c3d4e5f6")]
+    assert shown[2] == shown[3] == shown[4] == [] and shown[5] == [("email", "a@b.co")] and shown[7] == [("ip", "1.2.3.4")]
+    assert shown[6] == [("name", "Anna Schmidt"), ("name", "Paul Meyer"), ("id", "123-45-6789")]
+    assert got[1]["base_sha256"] == hashlib.sha256(b"email:39:46").hexdigest() and got[1]["n_email"] == 1 and got[4]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert pii.masked(texts[1], got[1]["spans"]).startswith("Contact <name> for it. My mail is <email> and password=<secret>")
+
+
+# -- 9 ----------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("digest", ["sha256", "weak"])
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_exact_dedup(spark, digest, keep):
+    rng = random.Random(11)
+    rows = [(k, rng.choice(["a", "A", "b", "É", "é", "", None, "c" * 1000])) for k in range(60)] + [(3, "dup"), (3, "DUP"), (3, "dup"), (None, "b"), (None, "only null")]
+    weak = lambda t: F.unhex(F.substring(F.sha2(t.cast("binary"), 256), 1, 1))
+    make = exact_dedup.sha256_digest if digest == "sha256" else lambda t: weak(t)
+    df = documents(spark, rows)
+    got = exact_dedup.exact_dedup(df, keep, digest=make).collect()
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    groups = defaultdict(list)
+    for k, t in rows:
+        groups[low(t)].append(k)
+    pick = max if keep == "largest" else min
+    best = {t: pick((k for k in ids if k is not None), default=None) for t, ids in groups.items()}
+    want = Counter((k, best[low(t)], len(groups[low(t)])) for k, t in rows)
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in got) == want
+    assert sum(r["kept"] for r in got) == len(groups) and all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
+    assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
+
+
+def test_drop_exact_copies(spark):
+    rows = [(1, "a"), (2, "A"), (3, "b"), (3, "b"), (None, "c"), (None, "C"), (4, None), (5, "")]
+    df = documents(spark, rows)
+    kept = exact_dedup.drop_exact_copies(df)
+    assert kept.columns == df.columns
+    assert Counter((r["doc_id"], (r["text"] or "").lower()) for r in kept.collect()) == {(2, "a"): 1, (3, "b"): 1, (None, "c"): 1, (5, ""): 1}
+    assert exact_dedup.drop_exact_copies(df.limit(0)).count() == 0
+
+
+def test_runs_merge(spark):
+    index = exact_dedup.MergeIndex(spark)
+    index.flush(documents(spark, [(1, "a"), (2, "b")]))
+    assert {r["id"]: r["kept"] for r in index.verified().collect()} == {1: True, 2: True}
+    index.flush(documents(spark, [(3, "A"), (4, "c")]))
+    assert {r["id"]: (r["keep_id"], r["kept"]) for r in index.verified().collect()} == {1: (3, False), 2: (2, True), 3: (3, True), 4: (4, True)}
+    index.drop()
+
+
+# -- 10 ---------------------------------------------------------------------------------------------------------------
+
+
+def code_length(texts, order, x):
+    counts = [defaultdict(Counter) for _ in range(order + 1)]
+    for t in texts:
+        for k in range(order + 1):
+            for i in range(k, len(t)):
+                counts[k][t[i - k : i]][t[i]] += 1
+    bits = 0.0
+    for i in range(len(x)):
+        k = min(i, order)
+        while k >= 0:
+            c = counts[k].get(x[i - k : i])
+            if c:
+                n, q = sum(c.values()), len(c)
+                if x[i] in c:
+                    bits -= math.log2(c[x[i]] / (n + q))
+                    break
+                bits -= math.log2(q / (n + q))
+            k -= 1
+        else:
+            bits += 8
+    return bits
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text("abcé ", max_size=30), min_size=1, max_size=4), st.lists(st.text("abcdé ", max_size=30), max_size=4), st.sampled_from([1, 3]))
+def test_code_lengths(train, texts, order):
+    own = {"x": [t.encode() for t in train], "y": [b"cab abc"]}
+    model = langid.ContextTrees.train(own, order)
+    model.compile()
+    raw = [t.encode() for t in texts]
+    got = model.lengths(raw) / langid.UNIT
+    for t, row in zip(raw, got):
+        assert row == pytest.approx([code_length(own["x"], order, t), code_length(own["y"], order, t)], abs=1e-2)
+
+
+def test_language_id(spark):
+    rng = random.Random(12)
+    words = {"en": ["the", "and", "of", "thing"], "de": ["und", "nicht", "über", "das"]}
+    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(15)), lang) for k in range(200) for lang in [rng.choice(["en", "de"])]]
+    df = documents(spark, [*rows, (900, None, "en"), (901, "123 !?", "en"), (902, "", None), (None, "the thing of", "en"), (903, "und das " * 9000, None)])
+    got = {r["doc_id"]: r for r in langid.language_id(df).collect()}
+    assert all(got[k]["held_out"] == (zlib.crc32(str(k).encode()) % 3 == 1) for k, _, _ in rows) and not got[None]["held_out"]
+    assert np.mean([got[k]["lang_pred"] == lang for k, _, lang in rows if got[k]["held_out"]]) > 0.98
+    assert [got[k]["lang_pred"] for k in (900, 901, 902)] == ["und"] * 3 and got[None]["lang_pred"] == "en" and got[903]["lang_pred"] == "de"
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert {r["lang_pred"] for r in langid.language_id(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    assert langid.language_id(df.limit(0)).count() == 0

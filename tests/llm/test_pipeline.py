@@ -1,0 +1,89 @@
+"""The corpus pipeline and the registered queries, over small tables."""
+
+import sys
+from collections import Counter, defaultdict
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """A folder with documents of good and bad texts, exact and near copies, and their labels."""
+    import random
+
+    rng = random.Random(1)
+    syllables = ["th", "er", "on", "an", "re", "in"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    rows, labels = [], []
+    for k in range(160):
+        words = [word() for _ in range(80)]
+        bad = k % 5 == 0
+        text = " ".join(w + "%%%" for w in words) if bad else (" ".join(words) + ".").capitalize()
+        rows.append((k, text, "en", f"s{k % 4}", len(text)))
+        labels.append((k, int(not bad), 0))
+    rows += [(1000 + k, rows[k][1].upper() if k % 2 else rows[k][1], "en", "s0", 1) for k in (1, 2, 3)]
+    near = rows[7][1].split()
+    near[40] = "zz"
+    rows.append((2000, " ".join(near), "en", "s1", 1))
+    where = tmp_path_factory.mktemp("tables")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    return str(where)
+
+
+def test_stages(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    columns = docs.columns
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, tables)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == columns
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        seen[name] = docs
+    ids = {name: Counter(r["doc_id"] for r in df.collect()) for name, df in seen.items()}
+    assert not any(k % 5 == 0 for k in ids["quality classifier"] if k < 1000) and len(ids["quality classifier"]) == 132
+    assert ids["exact dedup"].keys() == ids["quality classifier"].keys() - {1, 2, 3}
+    assert ids["SimHash near-dedup"].keys() == ids["exact dedup"].keys() - {2000}
+    mixed = ids["mixing sources"]
+    assert mixed.keys() <= ids["SimHash near-dedup"].keys() and set(mixed.values()) <= {1, 2}
+    packed = seen["best-fit packing"].collect()
+    pieces = Counter(r["doc_id"] for r in packed if r["piece"] == 0)
+    assert pieces == mixed
+    fill = defaultdict(int)
+    for r in packed:
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 4096 and len(fill) <= sum(fill.values()) // 4096 + 2
+
+
+def test_run(spark, tables):
+    out = corpus_pipeline.run(spark, tables)
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
+
+
+def test_registered():
+    import __spark_entry__ as entry
+
+    names = entry.queries()
+    for n in range(1, 11):
+        assert sum(name.startswith(f"op{n}_") for name in names) == 1
+    assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
+
+
+def test_sql_of_operators(spark, tables):
+    duckdb = pytest.importorskip("duckdb")
+    from corpusmill.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tables}/documents.parquet/*.parquet'")
+    for name in ("op5_mix_sources", "op9_exact_dedup"):
+        df = QUERIES[name](spark, tables)
+        names = sorted(df.columns)
+        got = Counter(tuple(r) for r in df.select(*[F.col(c) for c in names]).collect())
+        want = Counter(con.sql(f"SELECT {', '.join(names)} FROM ({ORACLE_SQL[name]})").fetchall())
+        assert got == want
