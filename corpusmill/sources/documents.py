@@ -10,6 +10,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from corpusmill.functions.text import PAGE_BREAK, TABLE_CLOSE, TABLE_OPEN, is_pdf
 from corpusmill.operators.chat import upload_status
@@ -26,7 +27,7 @@ def is_docx_bytes(content: bytes | None) -> bool:
         return False
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_docx(content: pd.Series) -> pd.Series:
     return content.map(is_docx_bytes)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,8 +52,13 @@ def listing(pages: DataFrame, prefix: str = "comp_", css: str = "contest-link",
     three = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
 
     def run(batches):
-        for pdf in batches:
-            found = [(p, x) for p, u, h in zip(pdf["page_id"], pdf["url"], pdf["html"]) for x in listing_links(h, u or "", prefix, css, nth)]
-            yield pd.DataFrame({"page_id": [p for p, _ in found], "link": [x for _, x in found]})
-
-    return three.mapInPandas(run, f"page_id {three.schema['page_id'].dataType.simpleString()}, link string").withColumn("file_name", F.element_at(F.split("link", "/"), -1))
+        for batch in batches:
+            ids, links = [], []
+            for k, (url, page) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                found = listing_links(page, url or "", prefix, css, nth)
+                ids += [k] * len(found)
+                links += found
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(links, pa.string())], names=["page_id", "link"])
+
+    made = three.mapInArrow(run, f"page_id {three.schema['page_id'].dataType.simpleString()}, link string")
+    return made.withColumn("file_name", F.element_at(F.split("link", "/"), -1))
