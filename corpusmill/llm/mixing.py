@@ -6,7 +6,7 @@ cumulative words up to and with it, divided by the source's target. Documents ma
 sources, and the order is cut where the running total reaches the budget.
 
 No source is gathered in one task. Cumulative words come from sums over (source, bucket of the
-shuffle key) and a window within a bucket; the number of buckets grows with the rows. The cut is
+shuffle key) and a window within a bucket; the number of buckets grows with the square root of the rows. The cut is
 found by radix selection: sums over coarse bins of finish time give the bin that holds the cut,
 sums over fine bins within it the fine bin, and only that one's rows are put in order. Documents
 are then compared with the cut's key; nothing is joined.
@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import WORD, cut
 
 BINS = 4096
-#: Rows of one (source, bucket) group, on average over the largest source.
-BUCKET_ROWS = 4000
 
 
 def word_count(text: Column) -> Column:
@@ -98,7 +96,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_s
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sizes = cut(own.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
     most = sizes.agg(F.max("rows")).first()[0] or 0
-    digits = max(1, math.ceil(math.log(max(most / BUCKET_ROWS, 1), 16)))
+    digits = max(1, math.ceil(math.log(max(most, 1), 16) / 2))  # the largest source has about as many buckets as a bucket has rows
     goals = targets(sizes.drop("rows"), weights, total_share, max_passes).withColumn("k", key).drop("source")
 
     rows = own.withColumn("k", key).withColumn("h", order).withColumn("b", F.substring("h", 1, digits)).drop("source")
