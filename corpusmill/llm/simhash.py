@@ -90,7 +90,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS,
     gives an empty table; no other column is read.
     """
     own = cut(fingerprints(docs, shingle, id_col, text_col))
-    nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # a node becomes many rows, so nodes are spread wider than their own size asks for
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")).repartition(parts, "fp"))
     found = cut(connected_components(close_pairs(nodes, max_bits, segments), "a", "b"))
     of = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
