@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.prompts import CONTEXT_JOIN
-from corpusmill.functions.vectors import cosine
 
 #: Queries that knn takes; more are to be given in parts.
 MOST_QUERIES = 20_000
@@ -36,7 +35,7 @@ def _matrix(column) -> np.ndarray:
 def _score_block(batches, shared, k, least, skip_same):
     ids, unit = shared.value
     for batch in batches:
-        keep = pa.compute.is_valid(batch.column(1))
+        keep = batch.column(1).is_valid()
         batch = batch.filter(keep)
         if not batch.num_rows or not len(ids):
             continue
@@ -77,6 +76,16 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 10, least: float = 0.6,
     return topk(near, ["query_id"], [F.col("sim").desc(), F.col("match_id")], k)
 
 
+def _pair_cosines(batches):
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b = _matrix(batch.column(3)), _matrix(batch.column(4))
+        length = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+        sim = np.round(np.einsum("ij,ij->i", a, b) / np.where(length > 0, length, 1), DIGITS)
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(sim, mask=length == 0)], names=[*batch.schema.names[:3], "sim"])
+
+
 def similarity_join(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, vector_col: str = "embedding", k: int = 3, least: float | None = None) -> DataFrame:
     """key, left_id, right_id, sim, rank: for each left row its k most similar right rows of the same key, by cosine.
 
@@ -87,7 +96,8 @@ def similarity_join(left: DataFrame, right: DataFrame, key: str, left_id: str, r
     both = a.join(b, F.col(key) == F.col("key2"))
     if left_id == right_id:
         both = both.where("left_id <> right_id")
-    scored = both.select(key, "left_id", "right_id", F.round(cosine(F.col("va"), F.col("vb")), DIGITS).alias("sim")).where("sim is not null")
+    kinds = {f.name: f.dataType.simpleString() for f in both.schema}
+    scored = both.where("va is not null and vb is not null").select(key, "left_id", "right_id", "va", "vb").mapInArrow(_pair_cosines, f"`{key}` {kinds[key]}, left_id {kinds['left_id']}, right_id {kinds['right_id']}, sim double").where("sim is not null")
     if least is not None:
         scored = scored.where(F.col("sim") >= least)
     return topk(scored, ["left_id"], [F.col("sim").desc(), F.col("right_id")], k)

@@ -19,25 +19,20 @@ def greedy_segments(pages: Column, budget: int = 12000) -> Column:
 
     A page over the budget is a segment of its own. The carry is folded over the page array in the JVM.
     """
-    empty = F.array().cast("array<struct<first:int,last:int,tokens:bigint>>")
-
-    def step(done: Column, i: Column) -> Column:
-        n = token_estimate(F.element_at(pages, i))
-        last = F.element_at(done, -1)
-        joins = (F.size(done) > 0) & (last["tokens"] + n <= budget)
-        fresh = F.struct(i.alias("first"), i.alias("last"), n.alias("tokens"))
-        grown = F.struct(last["first"].alias("first"), i.alias("last"), (last["tokens"] + n).alias("tokens"))
-        return F.when(F.size(done) == 0, F.array(fresh)).when(joins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
-
-    numbers = F.when(F.size(pages) > 0, F.sequence(F.lit(1), F.greatest(F.size(pages), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    spans = F.aggregate(numbers, empty, step)
+    # each page carries its number and size, so the fold never looks back into the array
+    items = F.transform(pages, lambda p, i: F.struct((i + 1).alias("i"), token_estimate(p).alias("n"), p.alias("page")))
+    empty = F.array().cast("array<struct<first:int,last:int,tokens:bigint,parts:array<string>>>")
+
+    def step(done: Column, item: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        fresh = F.struct(item["i"].alias("first"), item["i"].alias("last"), item["n"].alias("tokens"), F.array(item["page"]).alias("parts"))
+        grown = F.struct(last["first"].alias("first"), item["i"].alias("last"), (last["tokens"] + item["n"]).alias("tokens"), F.concat(last["parts"], F.array(item["page"])).alias("parts"))
+        joins = F.coalesce(last["tokens"] + item["n"] <= budget, F.lit(False))
+        return F.when(joins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
+
     return F.transform(
-        spans,
-        lambda s: F.struct(
-            F.array_join(F.slice(pages, s["first"], s["last"] - s["first"] + 1), "\n\n").alias("text"),
-            F.concat_ws("-", s["first"].cast("string"), s["last"].cast("string")).alias("page_range"),
-            s["tokens"].alias("token_estimate"),
-        ),
+        F.aggregate(items, empty, step),
+        lambda s: F.struct(F.array_join(s["parts"], "\n\n").alias("text"), F.concat_ws("-", s["first"].cast("string"), s["last"].cast("string")).alias("page_range"), s["tokens"].alias("token_estimate")),
     )
 
 

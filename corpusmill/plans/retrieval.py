@@ -51,7 +51,7 @@ def _ranked(spark, sf):
     return retrieval.similarity_join(v, v, "label", "vec_id", "vec_id")
 
 
-@query(f"{_RANKED} SELECT e.label, query_id AS left_id, match_id AS right_id, sim, rank FROM ranked JOIN embeddings e ON e.vec_id = query_id")
+@query(f"{_RANKED} SELECT CAST(e.label AS BIGINT) AS label, query_id AS left_id, match_id AS right_id, sim, rank FROM ranked JOIN embeddings e ON e.vec_id = query_id")
 def label_filtered_knn(spark, sf):
     return _ranked(spark, sf)
 
