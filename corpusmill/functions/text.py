@@ -31,12 +31,13 @@ HEADING_KEYWORDS = (
     "грант", "подача", "заявка", "заявки", "заявку", "заявок", "индикатор", "результатив", "бюджет", "софинанс",
 )
 
-#: What Python's str.strip() and \s take for white space.
-_SPACE = r"[\s\x1c-\x1f\x85]"
+#: What Python's str.strip() and \s take for white space: the characters, and the inside of a pattern's class without the line feed.
+_BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_INLINE = r"\t\x0b-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def split_lines(c: Column) -> Column:
@@ -50,8 +51,8 @@ def clean_extracted(c: Column) -> Column:
 
     White space goes first, so no line ends are left. Null stays null.
     """
-    c = F.regexp_replace(c, rf"(?U){_SPACE}+", " ")
-    c = F.regexp_replace(c, r"(?U)(\w+)- +(\w+)", "$1$2")
+    c = F.regexp_replace(c, rf"[\n{_INLINE}]+", " ")
+    c = F.when(c.contains("- "), F.regexp_replace(c, r"(?U)(?<!\w)(\w++)- +(\w++)", "$1$2")).otherwise(c)
     c = F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
     return py_strip(c)
 
@@ -60,8 +61,8 @@ def clean_lines(c: Column) -> Column:
     """Cleaning that keeps lines: control characters dropped, lines stripped, and no rulers, bare punctuation or blank lines."""
     c = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
     lines = F.transform(split_lines(c), py_strip)
-    lines = F.filter(lines, lambda x: ~(x.startswith("===") & x.endswith("===")) & ~x.rlike(r"(?U)\A[\s.,;:!?…\-–—]*\z"))
-    return F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)[\s&&[^\n]]+", " ")), "\n")
+    lines = F.filter(lines, lambda x: ~(x.startswith("===") & x.endswith("===")) & ~x.rlike(rf"\A[\n{_INLINE}.,;:!?…\-–—]*\z"))
+    return F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, f"[{_INLINE}]+", " ")), "\n")
 
 
 def strip_angle_brackets(c: Column) -> Column:
