@@ -20,6 +20,12 @@ def _docs(spark, sf) -> DataFrame:
     return table(spark, sf, "documents")
 
 
+def _spread(spark, sf) -> DataFrame:
+    """The documents, dealt over all cores if the files make fewer partitions (one row group is one task); for costly expressions."""
+    docs, cores = _docs(spark, sf), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def _profiled(spark, sf) -> DataFrame:
     return _docs(spark, sf).withColumn("pages", F.size(F.split("text", "\n")))
 
@@ -60,7 +66,7 @@ def page_stats(spark, sf):
 )
 def lang_heuristic(spark, sf):
     guess = tx.language_vote(F.col("text"), (("german", "[äöüßÄÖÜ]"), ("other", "[éèêçàùÉÈÊÇ]")))
-    return _docs(spark, sf).select("doc_id", guess.alias("guess"), tx.language_vote(F.col("text")).alias("heuristic"))
+    return _spread(spark, sf).select("doc_id", guess.alias("guess"), tx.language_vote(F.col("text")).alias("heuristic"))
 
 
 @query(
@@ -94,7 +100,7 @@ def profile_samples(spark, sf):
 )
 def clean_text_len(spark, sf):
     online = F.aggregate(F.filter(F.split(tx.clean_lines(F.col("text")), "\n"), lambda x: x != ""), F.lit(0), lambda s, x: s + F.length(x) + 1)
-    return _docs(spark, sf).select("doc_id", F.length(tx.clean_extracted(F.col("text"))).alias("offline_len"), online.alias("online_len"))
+    return _spread(spark, sf).select("doc_id", F.length(tx.clean_extracted(F.col("text"))).alias("offline_len"), online.alias("online_len"))
 
 
 @query(
@@ -102,7 +108,7 @@ def clean_text_len(spark, sf):
     n AS original_length, CASE WHEN n > 3000 THEN 3010 ELSE n END AS prepared_length FROM (SELECT doc_id, text, length(text) AS n FROM documents)"""
 )
 def truncate_head_mid_tail(spark, sf):
-    return corpus.prepared(_docs(spark, sf), limit=3000)
+    return corpus.prepared(_spread(spark, sf), limit=3000)
 
 
 @query("SELECT count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS total_chars, avg(length(text)) AS avg_chars, CAST(sum(length(text)) // 4 AS BIGINT) AS tokens FROM documents")
@@ -124,12 +130,12 @@ def char_window_chunks(spark, sf):
 
 @query()
 def recursive_chunks(spark, sf):
-    return chunking.recursive_chunks(_docs(spark, sf))
+    return chunking.recursive_chunks(_spread(spark, sf))
 
 
 @query()
 def section_chunks(spark, sf):
-    return chunking.section_chunks(_docs(spark, sf))
+    return chunking.section_chunks(_spread(spark, sf))
 
 
 @query(
@@ -149,7 +155,7 @@ _MARKED_LINE = "CASE i % 4 WHEN 0 THEN '2.' || i || ' ' || line WHEN 1 THEN 'Р
     WHERE length(trim(l)) <= 120 AND (regexp_matches(lower(trim(l)), '^([0-9]+(\.[0-9]+)+\.?|[0-9]+\.\s|[0-9]+\.[а-яё]|[а-яё]{{3,}}\s?[0-9]+\.)') OR (starts_with(l, 'Требования:') AND NOT ends_with(trim(l), '.')))"""
 )
 def heading_lines(spark, sf):
-    lines = _docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    lines = _spread(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     marked = lines.select("doc_id", F.col("i").alias("line_no"), F.expr(_MARKED_LINE.replace("'2.' || i", "'2.' || string(i)")).alias("line"))
     return marked.where(tx.is_heading(F.col("line")))
 
@@ -167,7 +173,7 @@ def heading_lines(spark, sf):
 )
 def greedy_segments(spark, sf):
     pages = F.filter(F.transform(F.split("text", "\n"), tx.py_strip), lambda p: p != "")
-    cut = _docs(spark, sf).select("doc_id", F.posexplode(segments.greedy_segments(pages, 300)).alias("segment", "s"))
+    cut = _spread(spark, sf).select("doc_id", F.posexplode(segments.greedy_segments(pages, 300)).alias("segment", "s"))
     return cut.select("doc_id", "segment", "s.page_range", "s.token_estimate")
 
 
@@ -198,7 +204,7 @@ def dedup_by_hash(spark, sf):
     SELECT doc, line, count(*) AS pages FROM l WHERE line <> '' GROUP BY doc, line HAVING count(*) >= 2"""
 )
 def boilerplate_lines(spark, sf):
-    return corpus.line_frequency(_docs(spark, sf), "source", "doc_id").where("pages >= 2")
+    return corpus.line_frequency(_spread(spark, sf), "source", "doc_id").where("pages >= 2")
 
 
 @query(
@@ -211,7 +217,7 @@ def boilerplate_lines(spark, sf):
     WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.source = x.source AND b.line = lower(trim(x.line))) GROUP BY doc_id"""
 )
 def header_footer_removal(spark, sf):
-    kept = corpus.without_repeated_lines(_docs(spark, sf), "source", "doc_id", ratio=0.04)
+    kept = corpus.without_repeated_lines(_spread(spark, sf), "source", "doc_id", ratio=0.04)
     return kept.where(F.col("text") != "").select("doc_id", "text")
 
 
