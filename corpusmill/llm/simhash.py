@@ -19,7 +19,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import cut
@@ -168,13 +168,50 @@ def _verify_batches(batches, shingle, least):
         yield pa.RecordBatch.from_arrays([a.filter(good), b.filter(good)], names=["a", "b"])
 
 
+def _set_batches(batches, shingle):
+    for batch in batches:
+        sets = [shingle_hashes(x.as_py(), shingle).view(np.int64) for x in batch.column(2)]
+        flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
+        sizes = np.array([len(x) for x in sets], np.int64)
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.ListArray.from_arrays(ends, flat)], names=["id", "c", "n", "hs"])
+
+
+def _unlike_pairs(texts: DataFrame, kind: str, shingle: int, least: float) -> DataFrame:
+    """Pairs (a, b), a > b, of texts of different components c that may be similar; none that is gets lost.
+
+    Sets of a similarity of ``least`` share one of the first n - ceil(least n) + 1 shingles in any
+    common order. The rarest come first, so a passage of many texts makes pairs only of those that
+    hardly have anything else.
+    """
+    sets = texts.mapInArrow(partial(_set_batches, shingle=shingle), f"id {kind}, c {kind}, n long, hs array<long>")
+    flat = cut(sets.withColumn("r", F.monotonically_increasing_id()).select("r", "id", "c", "n", F.explode("hs").alias("h")))
+    often = cut(flat.groupBy("h").agg(F.count("*").alias("often")))
+    first = F.col("n") - F.ceil(F.col("n") * least - 1e-6) + 1
+    place = F.row_number().over(Window.partitionBy("r").orderBy("often", "h"))
+    keys = cut(flat.join(often, "h").withColumn("place", place).where(F.col("place") <= first).select("id", "c", "n", "h"))
+    mixed = cut(keys.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("h"))
+    keys = cut(keys.join(mixed, "h", "left_semi"))
+    x, y = (keys.select(F.col("id").alias(f"{k}"), F.col("c").alias(f"{k}_c"), F.col("n").alias(f"{k}_n"), F.col("h").alias(f"{k}_h")) for k in "ab")
+    fits = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * least - 1e-6
+    return x.hint("merge").join(y, (F.col("a_h") == F.col("b_h")) & (F.col("a") > F.col("b")) & (F.col("a_c") != F.col("b_c")) & fits).select("a", "b").distinct()
+
+
+def _links(pairs: DataFrame, two: DataFrame, kind: str, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts are similar."""
+    x, y = (two.select(F.col("id").alias(f"{n}_id"), F.col("text").alias(f"{n}_text")) for n in "xy")
+    texts = pairs.join(y, F.col("b") == F.col("y_id")).select("a", "b", "y_text").join(x, F.col("a") == F.col("x_id")).select("a", "b", "x_text", "y_text")
+    return texts.mapInArrow(partial(_verify_batches, shingle=shingle, least=least), f"a {kind}, b {kind}")
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, tables: int = 20, first: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id of every document that links to another: texts whose shingle sets have a Jaccard similarity of ``least``.
 
-    Within a table's group of equal fingerprints each document is compared with two others, the one of
-    the smallest doc_id and one that a hash picks, so a group makes two candidates a document, never
-    all pairs. A null doc_id links to nothing; rows of the same doc_id count as one document. An empty
-    table gives an empty table; no other column is read.
+    Within a table's group of equal fingerprints each document is first compared with two others, the
+    one of the smallest doc_id and one that a hash picks. The documents of groups that this leaves in
+    two components or more then go through an exact join of their shingle sets, so every link within
+    a group is found, or its ends are in one component anyway. A null doc_id links to nothing; rows of
+    the same doc_id count as one document. An empty table gives an empty table; no other column is read.
     """
     two = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     kind = two.schema["id"].dataType.simpleString()
@@ -182,15 +219,33 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, tab
     keys = cut(rows.select("id", F.posexplode("fps").alias("t", "fp")))
     picked = F.min_by("id", F.xxhash64("id", "t"))
     groups = cut(keys.groupBy("t", "fp").agg(F.min("id").alias("low"), picked.alias("pick"), F.count("*").alias("n")).where("n > 1").select(F.col("t").alias("t2"), F.col("fp").alias("fp2"), "low", "pick"))
-    near = keys.join(groups, (F.col("t") == F.col("t2")) & (F.col("fp") == F.col("fp2"))).select("id", F.explode(F.array("low", "pick")).alias("other"))
+    grouped = cut(keys.join(groups, (F.col("t") == F.col("t2")) & (F.col("fp") == F.col("fp2"))).select("id", "t", "fp", "low", "pick"))
+    near = grouped.select("id", F.explode(F.array("low", "pick")).alias("other"))
     pairs = cut(near.where("id <> other").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
-    x, y = (two.select(F.col("id").alias(f"{n}_id"), F.col("text").alias(f"{n}_text")) for n in "xy")
-    texts = pairs.join(y, F.col("b") == F.col("y_id")).select("a", "b", "y_text").join(x, F.col("a") == F.col("x_id")).select("a", "b", "x_text", "y_text")
-    links = texts.mapInArrow(partial(_verify_batches, shingle=shingle, least=least), f"a {kind}, b {kind}")
-    found = connected_components(links, "a", "b")
+    found = cut(connected_components(_links(pairs, two, kind, shingle, least), "a", "b"))
+
+    # what the stars leave
+    of = grouped.join(found, grouped["id"] == found["node"], "left").select("id", "t", "fp", F.coalesce("component", "id").alias("c"))
+    of = cut(of)
+    split = of.groupBy("t", "fp").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("t", "fp")
+    rest = cut(of.join(cut(split), ["t", "fp"], "left_semi").select("id", "c").distinct())
+    n = rest.count()
+    if n:
+        ids = F.broadcast(rest) if n <= BROADCAST_IDS else rest
+        more = cut(_links(cut(_unlike_pairs(two.join(ids, "id").select("id", "c", "text"), kind, shingle, least)), two, kind, shingle, least))
+        found = _merged(found, more, rest)
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
+def _merged(found: DataFrame, more: DataFrame, named: DataFrame) -> DataFrame:
+    """node and component of ``found`` with the links (a, b) of ``more`` added; ``named`` has the component c of every id in it."""
+    a, b = named.select(F.col("id").alias("a"), F.col("c").alias("a_c")), named.select(F.col("id").alias("b"), F.col("c").alias("b_c"))
+    now = cut(connected_components(more.join(a, "a").join(b, "b").select("a_c", "b_c"), "a_c", "b_c")).select(F.col("node").alias("was"), F.col("component").alias("now"))
+    alone = now.select(F.col("was").alias("node"), F.col("was").alias("component"))
+    every = cut(found.unionByName(alone).distinct())  # a component of found is a node of it; new ones were alone
+    return every.join(now, every["component"] == now["was"], "left").select("node", F.coalesce("now", "component").alias("component"))
+
+
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` but for those that are similar to others of a smaller doc_id, with all their columns."""
     told = similar_documents(docs, shingle, least, id_col=id_col, text_col=text_col)

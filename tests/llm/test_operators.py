@@ -327,6 +327,39 @@ def test_similar_documents(spark):
     assert simhash.keep_one_of_each(df.limit(0)).count() == 0
 
 
+def brute_components(rows):
+    """Components of more than one document, by all pairs."""
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for k, t in rows}
+    comp = union_find(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8])
+    size = Counter(comp.values())
+    return {k: c for k, c in comp.items() if size[c] > 1}
+
+
+@pytest.mark.parametrize("case", ["template", "edited"])
+def test_similar_in_large_groups(spark, case):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    if case == "template":  # 190 shingles of all and 24 of one's own make 0.798; two more in common make 0.81
+        shared = [word() for _ in range(194)]
+        for _ in range(150):
+            start = [word(), word()]
+            rows += [shared + start + [word() for _ in range(22)] for _ in range(2)]
+    else:  # independent edits of one text: similar to some others only
+        base = [word() for _ in range(200)]
+        for _ in range(300):
+            words = list(base)
+            for _ in range(3):
+                words[rng.randrange(5, 195)] = word()
+            rows.append(words)
+    rng.shuffle(rows)
+    rows = [(k, " ".join(x)) for k, x in enumerate(rows)]
+    want = brute_components(rows)
+    assert want
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(documents(spark, rows)).collect()}
+    assert got == want
+
+
 # -- 7 -------------------------------------------------------------------------------------------------------------
 
 
