@@ -110,6 +110,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS,
 
 #: Candidates to be removed by broadcast, up to this number; beyond it by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Of texts with up to so many different shingles the tables take much the same ones, so they miss too much.
+FEW = 40
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -146,10 +148,11 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 def _table_batches(batches, shingle, tables, first):
     for batch in batches:
-        values = [table_fingerprints(shingle_hashes(x.as_py(), shingle), tables, first).view(np.int64) for x in batch.column(1)]
+        sets = [shingle_hashes(x.as_py(), shingle) for x in batch.column(1)]
+        values = [table_fingerprints(x, tables, first).view(np.int64) for x in sets]
         flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.int64))
         ends = pa.array(np.arange(len(values) + 1) * tables, pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat)], names=["id", "fps"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(ends, flat)], names=["id", "n", "fps"])
 
 
 def _verify_batches(batches, shingle, least):
@@ -210,13 +213,14 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, tab
     Within a table's group of equal fingerprints each document is first compared with two others, the
     one of the smallest doc_id and one that a hash picks. The documents of groups that this leaves in
     two components or more then go through an exact join of their shingle sets, so every link within
-    a group is found, or its ends are in one component anyway. A null doc_id links to nothing; rows of
+    a group is found, or its ends are in one component anyway. Texts of few shingles always go through
+    it, whatever their groups. A null doc_id links to nothing; rows of
     the same doc_id count as one document. An empty table gives an empty table; no other column is read.
     """
     two = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     kind = two.schema["id"].dataType.simpleString()
-    rows = two.mapInArrow(partial(_table_batches, shingle=shingle, tables=tables, first=first), f"id {kind}, fps array<long>")
-    keys = cut(rows.select("id", F.posexplode("fps").alias("t", "fp")))
+    rows = cut(two.mapInArrow(partial(_table_batches, shingle=shingle, tables=tables, first=first), f"id {kind}, n long, fps array<long>"))
+    keys = rows.select("id", F.posexplode("fps").alias("t", "fp"))
     picked = F.min_by("id", F.xxhash64("id", "t"))
     groups = cut(keys.groupBy("t", "fp").agg(F.min("id").alias("low"), picked.alias("pick"), F.count("*").alias("n")).where("n > 1").select(F.col("t").alias("t2"), F.col("fp").alias("fp2"), "low", "pick"))
     grouped = cut(keys.join(groups, (F.col("t") == F.col("t2")) & (F.col("fp") == F.col("fp2"))).select("id", "t", "fp", "low", "pick"))
@@ -224,11 +228,13 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, tab
     pairs = cut(near.where("id <> other").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
     found = cut(connected_components(_links(pairs, two, kind, shingle, least), "a", "b"))
 
-    # what the stars leave
+    # what the stars leave, and the short texts
     of = grouped.join(found, grouped["id"] == found["node"], "left").select("id", "t", "fp", F.coalesce("component", "id").alias("c"))
     of = cut(of)
     split = of.groupBy("t", "fp").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("t", "fp")
-    rest = cut(of.join(cut(split), ["t", "fp"], "left_semi").select("id", "c").distinct())
+    few = rows.where((F.col("n") > 0) & (F.col("n") <= FEW / least)).select("id").distinct()
+    few = few.join(found, few["id"] == found["node"], "left").select("id", F.coalesce("component", "id").alias("c"))
+    rest = cut(of.join(cut(split), ["t", "fp"], "left_semi").select("id", "c").unionByName(few).distinct())
     n = rest.count()
     if n:
         ids = F.broadcast(rest) if n <= BROADCAST_IDS else rest

@@ -360,6 +360,19 @@ def test_similar_in_large_groups(spark, case):
     assert got == want
 
 
+def test_similar_short_texts(spark):
+    rng = random.Random(12)
+    rows = []
+    for n in [8] * 40 + [9] * 40 + [13] * 40:  # the same text and one word more: 0.8, 0.83, 0.9
+        words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n + 1)]
+        rows += [words[:n], words]
+    rows = [(k, " ".join(x)) for k, x in enumerate(rows)]
+    want = brute_components(rows)
+    assert len(want) == len(rows)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(documents(spark, rows)).collect()}
+    assert got == want
+
+
 # -- 7 -------------------------------------------------------------------------------------------------------------
 
 
