@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning.
 
 Only documents are labelled; their sentences are the instances. A sentence's score is a logistic
-function of the words in it, with weights that are never negative and a fixed low base; a document's
-score is the noisy-or of its sentences': one bad sentence is enough. Labels may be wrong at a rate
+function of the words in it, with weights that are never negative and a fixed low base; without a
+weighted word it is zero, so length alone counts for nothing. A document's score is the noisy-or of
+its sentences': one bad sentence is enough. Labels may be wrong at a rate
 that is learnt with the weights, so single mislabelled documents don't make words toxic. The sentence
 scores then locate what is offending.
 
@@ -103,12 +104,12 @@ def train_words(texts: list[str], labels: list[int], steps: int = 150) -> dict[b
 
 
 def sentence_scores(text: str | None, weights: dict[bytes, float]) -> np.ndarray:
-    logits = [BASE + sum(weights.get(f, 0.0) for f in features(x)) for x in sentences(text)]
-    return 1 / (1 + np.exp(-np.clip(np.array(logits, float), -30, 30)))
+    sums = np.array([sum(weights.get(f, 0.0) for f in features(x)) for x in sentences(text)], float)
+    return np.where(sums > 0, 1 / (1 + np.exp(-np.clip(BASE + sums, -30, 30))), 0.0)
 
 
 def document_score(text: str | None, weights: dict[bytes, float]) -> float:
-    return float(-np.expm1(np.log1p(-np.minimum(sentence_scores(text, weights), 1 - 1e-9)).sum()))
+    return float(0.0 - np.expm1(np.log1p(-np.minimum(sentence_scores(text, weights), 1 - 1e-9)).sum()))
 
 
 def heads(weights: dict[bytes, float]) -> set[bytes]:
@@ -116,31 +117,29 @@ def heads(weights: dict[bytes, float]) -> set[bytes]:
     return {f[1:5] if f[:1] == b"^" else f[:4] for f in weights}
 
 
-def _score(raw: bytes, weights: dict[bytes, float], first: set[bytes], base: float) -> tuple[float, int]:
+def _score(raw: bytes, weights: dict[bytes, float], first: set[bytes]) -> tuple[float, int]:
     """As document_score() for translated bytes, and the number of sentences over one half."""
     stay, offending = 0.0, 0
-    parts = raw.split(b"\n")
     if first.isdisjoint({w[:4] for w in raw.split()}):
-        n = sum(1 for x in parts if x and not x.isspace())
-        return float(-np.expm1(n * base)), 0
-    for x in parts:
+        return 0.0, 0
+    for x in raw.split(b"\n"):
         words = x.split()
-        if not words:
-            continue
         if first.isdisjoint([w[:4] for w in words]):
-            stay += base
             continue
-        p = 1 / (1 + np.exp(-min(30.0, BASE + sum(weights.get(f, 0.0) for f in sorted(features(words))))))
+        total = sum(weights.get(f, 0.0) for f in sorted(features(words)))
+        if not total:
+            continue
+        p = 1 / (1 + np.exp(-min(30.0, BASE + total)))
         offending += p >= 0.5
         stay += np.log1p(-min(p, 1 - 1e-9))
-    return float(-np.expm1(stay)), int(offending)
+    return float(0.0 - np.expm1(stay)), int(offending)
 
 
 def _score_batches(batches, shared):
     weights = shared.value
-    base, first = float(np.log1p(-1 / (1 + np.exp(-BASE)))), heads(weights)
+    first = heads(weights)
     for batch in batches:
-        told = [_score((x.as_py() or "").encode("utf-8", "surrogatepass").translate(_TABLE), weights, first, base) for x in batch.column(1)]
+        told = [_score((x.as_py() or "").encode("utf-8", "surrogatepass").translate(_TABLE), weights, first) for x in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in told], pa.float64()), pa.array([n for _, n in told], pa.int64())], names=["doc_id", "score", "n_offending"])
 
 
@@ -181,7 +180,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS) ->
     """doc_id, held_out, score, predicted, n_offending of every document.
 
     Labels of documents whose crc32(doc_id) mod 4 is 2 are held out. Null and empty texts have no
-    sentence and score 0; without labels every score is near 0. A null doc_id isn't held out.
+    sentence and score 0; without labels every score is 0. A null doc_id isn't held out.
     Repeated rows stay; an empty table gives an empty table; no other column is read.
     """
     weights = train_from(docs, labels.where(crc32_mod(F.col("doc_id"), 4) != 2), max_docs)

@@ -138,6 +138,14 @@ def test_toxicity_held_out(spark):
     assert all(r["predicted"] == 0 for r in toxicity.toxicity(df, labels.limit(0)).collect())
 
 
+def test_length_is_not_toxic(spark):
+    weights = {b"vile": 12.0}
+    rows = [(1, "A calm day. " * 20_000), (2, "A villa by the sea. " * 20_000), (3, "A calm day. " * 20_000 + "How vile!")]
+    got = {r["doc_id"]: r for r in toxicity.score_documents(documents(spark, rows), weights).collect()}
+    assert got[1]["score"] == got[2]["score"] == 0 and got[3]["score"] > 0.8 and got[3]["n_offending"] == 1
+    assert all(abs(got[k]["score"] - toxicity.document_score(t, weights)) < 1e-9 for k, t in rows)
+
+
 # -- 4 -------------------------------------------------------------------------------------------------------
 
 
