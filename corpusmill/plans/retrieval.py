@@ -9,6 +9,7 @@ from corpusmill.functions import prompts as pr
 from corpusmill.functions import text as tx
 from corpusmill.functions.vectors import cosine
 from corpusmill.operators import evaluation, retrieval
+from corpusmill.plans import corpus
 from corpusmill.plans.registry import registry, table
 from corpusmill.providers import HashingEmbedder, embedded
 
@@ -85,7 +86,7 @@ def vector_norms(spark, sf):
 
 @query()
 def embedded_chunks(spark, sf):
-    return embedded(table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 700).alias("text")), HashingEmbedder()).select("doc_id", F.size("embedding").alias("size"))
+    return embedded(corpus.recursive_chunks(spark, sf), HashingEmbedder()).select("doc_id", "chunk_id", "embedding")
 
 
 _QA = """qa AS (SELECT a.conv_id, a.turn, a.text AS question, b.text AS answer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')"""

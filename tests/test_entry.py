@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry
+from corpusmill.providers import HashingEmbedder
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -29,3 +30,13 @@ def test_sql(spark, name):
     show = lambda rows: Counter(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows)
     want = con.sql(f"SELECT {', '.join(names)} FROM ({entry.oracle_sql()[name]})").fetchall()
     assert show(tuple(r) for r in df.select(*names).collect()) == show(want)
+
+
+def test_every_chunk_is_embedded(spark, tmp_path):
+    text = " ".join(f"word{k}" for k in range(400))
+    spark.createDataFrame([(1, text), (2, "one chunk"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["embedded_chunks"](spark, str(tmp_path)).collect()
+    chunks = {(r["doc_id"], r["chunk_id"]): r["text"] for r in entry.queries()["recursive_chunks"](spark, str(tmp_path)).collect()}
+    assert {(r["doc_id"], r["chunk_id"]) for r in got} == set(chunks) and any(c > 0 for _, c in chunks)
+    by_hand = {k: HashingEmbedder().embed([t])[0] for k, t in chunks.items()}
+    assert all(abs(x - y) < 1e-6 for r in got for x, y in zip(r["embedding"], by_hand[r["doc_id"], r["chunk_id"]], strict=True))
