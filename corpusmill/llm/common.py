@@ -5,12 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A side of a join is broadcast up to about this many bytes (its rows times a row's bytes); beyond it the join shuffles.
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share. Only a local session, which has no other machine, may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="corpusmill-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -39,11 +43,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the shared folder and forgets how it was made."""
+    """Materialises ``df`` in the shared folder and forgets how it was made.
+
+    Spark deletes the files of such tables that nothing refers to any more where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set, as this package's own sessions do.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """``df`` marked for broadcast if ``rows`` rows of about ``row_bytes`` bytes stay within BROADCAST_BYTES; else as it is."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else. Pure ASCII takes the short way."""
     pure = F.octet_length(text) == F.char_length(text)
@@ -55,30 +68,65 @@ def crc32_mod(col: Column, by: int) -> Column:
     return F.crc32(col.cast("string")) % by
 
 
-#: Texts of more bytes than this are not taken for training.
+#: What training reads: no text of more bytes than this (a parameter of everything that trains).
 TRAIN_TEXT_BYTES = 64_000
 
 
-def sample_rows(df: DataFrame, most: int) -> list[Row]:
-    """At most ``most`` rows of a table with columns id and text, for training: the first in the order of a hash of id.
+def _usable(df: DataFrame, most_bytes: int) -> DataFrame:
+    return df.where(F.col("id").isNotNull() & (F.octet_length("text") <= most_bytes))
+
+
+def _fetched(df: DataFrame, ids: DataFrame, most_bytes: int) -> list[Row]:
+    """A row for each of a bounded number of ids, with the other columns of the ids' table; of repeated ids the least row counts."""
+    rest = [c for c in df.columns if c != "id"]
+    rows = _usable(df, most_bytes).join(F.broadcast(ids), "id")
+    more = [F.first(c).alias(c) for c in ids.columns if c != "id"]
+    one = rows.groupBy("id").agg(F.min(F.struct(*rest)).alias("row"), *more)
+    return sorted(one.select("id", "row.*", *[c for c in ids.columns if c != "id"]).collect(), key=lambda r: r["id"])
+
+
+def sample_rows(df: DataFrame, most: int, most_bytes: int = TRAIN_TEXT_BYTES, salt: str = "", without: list | None = None) -> list[Row]:
+    """At most ``most`` rows of a table with columns id and text, for training: the first in the order of a salted hash of id.
+
+    The choice doesn't depend on how rows lie. Rows whose id or text is null, whose text has over
+    ``most_bytes`` bytes, or whose id is in the short list ``without`` are left out before the choice,
+    so what reaches the driver is bounded by most * most_bytes. Of rows with one id the least counts.
+    """
+    usable = _usable(df, most_bytes).select("id")
+    if without:
+        usable = usable.join(F.broadcast(df.sparkSession.createDataFrame([(x,) for x in without], df.select("id").schema)), "id", "left_anti")
+    ids = usable.distinct().orderBy(F.xxhash64(F.lit(salt), "id"), "id").limit(most)
+    return _fetched(df, ids, most_bytes)
+
+
+def sample_by_group(df: DataFrame, group: str, most: int, most_total_bytes: int, most_bytes: int = TRAIN_TEXT_BYTES) -> list[Row]:
+    """Training rows (id, text, group) for each group alike: the first ``most`` in the order of a hash of id, up to a number of bytes.
 
-    The choice reads no texts and doesn't depend on how rows lie. Rows whose id or text is null or
-    whose text has over TRAIN_TEXT_BYTES bytes are left out, so what reaches the driver is bounded.
+    ``most_total_bytes`` bounds all groups' texts together; each group may use an equal share of it.
+    Null groups are left out. Ranking sends at most ``most`` (id, size) rows of a group and task.
     """
-    usable = df.where("id is not null")
-    ids = usable.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most)
-    rows = usable.join(F.broadcast(ids), "id", "left_semi").where(F.octet_length("text") <= TRAIN_TEXT_BYTES)
-    return sorted(rows.limit(most).collect(), key=lambda r: (r["id"], r["text"]))
+    sized = _usable(df, most_bytes).where(F.col(group).isNotNull()).select("id", F.col(group).alias("g"), F.octet_length("text").cast("long").alias("size"))
+    order = [F.xxhash64("id"), F.col("id"), F.col("size")]
+    ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order))).where(F.col("rank") <= most)
+    ranked = cut(ranked.groupBy("g", "id").agg(F.min("rank").alias("rank"), F.min("size").alias("size")))
+    groups = max(1, ranked.select("g").distinct().count())
+    upto = F.sum("size").over(Window.partitionBy("g").orderBy("rank"))  # of ``most`` rows at most
+    ids = cut(ranked.withColumn("upto", upto).where(F.col("upto") <= most_total_bytes // groups).select(F.col("id").alias("own_id"), F.col("g").alias("own_g")).distinct())
+    rows = _usable(df, most_bytes).join(small(ids, ids.count(), 64), (F.col("id") == F.col("own_id")) & (F.col(group) == F.col("own_g")), "left_semi")
+    one = rows.groupBy("id", group).agg(F.min("text").alias("text"))
+    return sorted(one.collect(), key=lambda r: (r[group], r["id"]))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, most: int) -> list[Row]:
-    """At most ``most`` rows (id, text, label, and what else docs has) for training, chosen as in sample_rows().
+def labelled_rows(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int = TRAIN_TEXT_BYTES) -> list[Row]:
+    """At most ``most`` rows (id, text, what else docs has, label) for training, chosen as in sample_rows().
 
     docs: id, text and more. labels: id, label; of repeated ids the largest label counts, nulls don't.
+    Labels whose documents are absent or too long are left out before the choice; only ids are shuffled.
     """
-    ids = labels.where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)
-    rows = docs.join(F.broadcast(ids), "id").where(F.octet_length("text") <= TRAIN_TEXT_BYTES)
-    return sorted(rows.limit(most).collect(), key=lambda r: (r["id"], r["text"]))
+    own = labels.where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
+    there = own.join(_usable(docs, most_bytes).select("id"), "id", "left_semi")
+    ids = cut(there.orderBy(F.xxhash64(F.lit(""), "id"), "id").limit(most))
+    return _fetched(docs, ids, most_bytes)
 
 
 def slices(texts: list, chars: int = 500_000):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import labelled_rows, sample_rows
+from corpusmill.llm.common import TRAIN_TEXT_BYTES, labelled_rows, sample_rows
 
 #: Training reads at most so many labelled and so many unlabelled documents.
 LABELLED, UNLABELLED = 2000, 2000
@@ -205,9 +205,14 @@ def _four(docs: DataFrame, id_name: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias(id_name), F.col("text").cast("string").alias("text"), *[(F.col(c) if c in have else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
 
 
-def train_from(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> CoTrained:
+def train_from(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED, most_bytes: int = TRAIN_TEXT_BYTES) -> CoTrained:
+    """Co-trains on at most ``labelled`` labelled documents and ``unlabelled`` others, drawn after leaving out texts over ``most_bytes`` bytes.
+
+    No document is in both samples, so neither view has seen the labelled quarter held for calibration.
+    """
     own = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
-    return co_train(labelled_rows(_four(docs, "id"), own, labelled), sample_rows(_four(docs, "id"), unlabelled))
+    known = labelled_rows(_four(docs, "id"), own, labelled, most_bytes)
+    return co_train(known, sample_rows(_four(docs, "id"), unlabelled, most_bytes, "pool", [r["id"] for r in known]))
 
 
 def score_quality(docs: DataFrame, model: CoTrained) -> DataFrame:
@@ -229,20 +234,22 @@ def quality(docs: DataFrame, labels: DataFrame, least: float = REJECT) -> DataFr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = REJECT) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with all their columns; texts are not shuffled."""
+    """The rows of ``docs`` that are not rejected, with all their columns; texts are not shuffled. Edge cases as in quality()."""
     model = docs.sparkSession.sparkContext.broadcast(train_from(docs, labels))
-    columns, schema = docs.columns, docs.schema
+    four = _four(docs, "doc_id").schema
+    cast = [c for c in ("text", "lang", "source", "n_chars") if c in docs.columns and docs.schema[c].dataType != four[c].dataType]
+    read = docs.withColumns({f"__{c}": F.col(c).cast(four[c].dataType) for c in cast})
+    at = {c: read.columns.index(f"__{c}" if c in cast else c) for c in ("text", "lang", "source", "n_chars") if c in docs.columns}
+    own = list(range(len(docs.columns)))
 
     def kept(batches):
         for batch in batches:
-            have = {c: batch.column(k).to_pylist() if c in ("lang", "source", "n_chars") else batch.column(k) for k, c in enumerate(columns)}
             none = [None] * batch.num_rows
-            texts = have.get("text", none)
-            rows = zip(texts, have.get("lang", none), have.get("source", none), have.get("n_chars", none))
+            have = {c: batch.column(k) if c == "text" else batch.column(k).to_pylist() for c, k in at.items()}
             good = []
-            for t, lang, source, n in rows:
+            for t, lang, source, n in zip(have.get("text", none), have.get("lang", none), have.get("source", none), have.get("n_chars", none)):
                 text = t.as_py() if t is not None else None
                 good.append(model.value.score(*content_view(text), metadata_view(lang, source, n, text))[2] >= least)
-            yield batch.filter(pa.array(good, pa.bool_()))
+            yield batch.select(own).filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(kept, schema)
+    return read.mapInArrow(kept, docs.schema)
