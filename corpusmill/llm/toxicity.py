@@ -23,15 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import crc32_mod, labelled_rows
+from corpusmill.llm.common import TRAIN_TEXT_BYTES, crc32_mod, labelled_rows
 
 #: At most so many labelled documents are read for training.
 TRAIN_DOCS = 4000
-BASE = -10.0
-#: A word must occur in so many training documents; weights below LEAST are dropped.
-MIN_DOCS, LEAST, L1 = 5, 3.0, 0.008
-#: Features must be this much likelier (in log-odds) in toxic documents to be weighed at all.
-LEAST_ODDS = 2.0
+#: The log-odds of a sentence without a word that is weighed, and the least score a sentence counts with.
+BASE, FLOOR = -10.0, 0.02
+#: Weights below this are dropped.
+LEAST = 2.0
+#: What cross-validation chooses from, from loose to strict: (pull of weights to zero, documents a word must be in, its least log-odds).
+CHOICES = tuple((pull, docs, odds) for pull in (0.004, 0.008, 0.016) for docs in (5, 8) for odds in (1.5, 2.0))
+FOLDS = 3
 THRESHOLD = 0.3
 
 _TABLE = bytes(10 if chr(b) in ".!?\n\r" else b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -51,61 +53,114 @@ def features(words: list[bytes]) -> set[bytes]:
     return {f for w in words for f in (w, *(b"^" + w[:k] for k in PREFIXES if len(w) >= k))}
 
 
-def train_words(texts: list[str], labels: list[int], steps: int = 150) -> dict[bytes, float]:
-    """Word weights from documents' labels, by projected gradient ascent of the noisy-or likelihood."""
-    if not any(labels):
+class Sample:
+    """The training documents as numbers: which features that may matter each sentence has."""
+
+    def __init__(self, texts: list[str], labels: list[int]):
+        self.y, self.n = np.array(labels, float) > 0.5, len(texts)
+        self.names: list[bytes] = []
+        word, sent, doc = array("i"), array("i"), array("i")
+        for d, text in enumerate(texts) if (at := self._likely(texts)) else ():
+            for x in sentences(text):
+                n = len(word)
+                for f in features(x):
+                    if (k := at.get(xxhash.xxh64_intdigest(f))) is not None:
+                        self.names[k] = f
+                        word.append(k)
+                        sent.append(len(doc))
+                if len(word) > n:
+                    doc.append(d)
+        self.word, self.sent, self.doc = (np.array(x, np.int32) for x in (word, sent, doc))
+        both = np.unique(self.doc[self.sent].astype(np.int64) * max(1, len(self.names)) + self.word) if len(word) else np.zeros(0, np.int64)
+        self.in_doc, self.of_word = both // max(1, len(self.names)), both % max(1, len(self.names))
+
+    def _likely(self, texts: list[str]) -> dict[int, int]:
+        """The features in enough documents that are not plainly clean, by hash, so that no others are ever held."""
+        if not self.y.any():
+            return {}
+        own = [np.unique(np.fromiter((xxhash.xxh64_intdigest(f) for f in features([w for x in sentences(t) for w in x])), np.uint64)) for t in texts]
+        codes, counts = np.unique(np.concatenate(own), return_counts=True)
+        bad_codes, bad = np.unique(np.concatenate([x for x, t in zip(own, self.y) if t]), return_counts=True)
+        hits = np.zeros(len(codes))
+        hits[np.searchsorted(codes, bad_codes)] = bad
+        likely = (counts >= min(n for _, n, _ in CHOICES)) & (self._odds(hits, counts, self.y.mean()) >= min(odds for _, _, odds in CHOICES) - 0.5)
+        self.names = [b""] * int(likely.sum())
+        return {h: k for k, h in enumerate(codes[likely].tolist())}
+
+    @staticmethod
+    def _odds(hits: np.ndarray, counts: np.ndarray, rate: float) -> np.ndarray:
+        """How much likelier a document with each feature is to be toxic, in log-odds, smoothed."""
+        return np.log((hits + 4 * rate) / (counts - hits + 4 * (1 - rate))) - np.log(rate / (1 - rate))
+
+    def fit(self, among: np.ndarray, pull: float, least_docs: int, least_odds: float, steps: int = 150) -> np.ndarray:
+        """Weights of all features by projected gradient ascent of the noisy-or likelihood of some of the documents."""
+        rate, size = self.y[among].mean(), len(self.names)
+        if not size or not 0 < rate < 1:
+            return np.zeros(size)
+        held = among[self.in_doc]
+        counts = np.bincount(self.of_word[held], minlength=size)
+        hits = np.bincount(self.of_word[held], self.y[self.in_doc[held]].astype(float), size)
+        odds = self._odds(hits, counts, rate)
+        used = (counts >= least_docs * among.mean()) & (odds >= least_odds)
+        keep = used[self.word] & among[self.doc[self.sent]]
+        word, sent = self.word[keep], self.sent[keep]
+        w, n_sent = np.where(used, np.clip(odds * 3, 0, 12), 0), len(self.doc)
+        false_rate, miss_rate = min(0.05, rate / 2), 0.1
+        m, v = np.zeros_like(w), np.zeros_like(w)
+        for step in range(1, steps + 1):
+            p = 1 / (1 + np.exp(-np.clip(BASE + np.bincount(sent, w[word], n_sent), -30, 30)))
+            stay = np.bincount(self.doc, np.log1p(-np.minimum(p, 1 - 1e-9)), self.n)  # log of the chance that no sentence is toxic
+            toxic = -np.expm1(stay)
+            q = false_rate + (1 - false_rate - miss_rate) * toxic
+            slope = np.where(self.y, 1 / q, -1 / (1 - q)) * (1 - false_rate - miss_rate) * among
+            grad = np.bincount(word, (slope[self.doc] * np.exp(stay[self.doc]) * p)[sent], size) - pull * (w > 0)
+            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+            w = np.where(used, np.clip(w + 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 0.05), 0, 14), 0)
+            if step % 25 == 0:  # the label error rates, by expectation
+                was = np.where(self.y, toxic * (1 - miss_rate) / q, toxic * miss_rate / (1 - q))[among]
+                y = self.y[among]
+                false_rate = float(np.clip((y * (1 - was)).sum() / max((1 - was).sum(), 1), 0.005, 0.3))
+                miss_rate = float(np.clip((~y * was).sum() / max(was.sum(), 1), 0.005, 0.3))
+        return np.where(w >= LEAST, w, 0)
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        """Each document's score under weights."""
+        sums = np.bincount(self.sent, w[self.word], len(self.doc)) if len(self.word) else np.zeros(0)
+        p = _sentence(sums)
+        return 0.0 - np.expm1(np.bincount(self.doc, np.log1p(-np.minimum(p, 1 - 1e-9)), self.n) if len(p) else np.zeros(self.n))
+
+
+def _sentence(sums):
+    """A sentence's score from the sum of its weights."""
+    p = 1 / (1 + np.exp(-np.clip(BASE + sums, -30, 30)))
+    return np.where((sums > 0) & (p >= FLOOR), p, 0.0)
+
+
+def choose(sample: Sample, folds: int = FOLDS) -> tuple[tuple[float, int, float], dict]:
+    """The strictest choice whose squared error on folds that its weights haven't seen is within a standard error of the least; all errors."""
+    fold, errors, spread = np.arange(sample.n) % folds, {}, {}
+    for choice in CHOICES:
+        lost = np.zeros(sample.n)
+        for k in range(folds):
+            own = fold == k
+            lost[own] = ((sample.scores(sample.fit(~own, *choice)) - sample.y) ** 2)[own]
+        errors[choice], spread[choice] = float(lost.mean()), float(lost.std() / np.sqrt(sample.n))
+    best = min(CHOICES, key=errors.__getitem__)
+    return [c for c in CHOICES if errors[c] <= errors[best] + spread[best]][-1], errors
+
+
+def train_words(texts: list[str], labels: list[int]) -> dict[bytes, float]:
+    """Word weights from documents' labels; empty if no document or every document is toxic."""
+    sample = Sample(texts, labels)
+    if not sample.names:
         return {}
-    # features are told apart by hash, so that only those in enough documents are ever held
-    own = [np.unique(np.fromiter((xxhash.xxh64_intdigest(f) for f in features([w for x in sentences(t) for w in x])), np.uint64)) for t in texts]
-    y = np.array(labels, float) > 0.5
-    codes, counts = np.unique(np.concatenate(own), return_counts=True)
-    toxic_codes, toxic_counts = np.unique(np.concatenate([x for x, t in zip(own, y) if t]), return_counts=True)
-    del own
-    hits = np.zeros(len(codes))
-    hits[np.searchsorted(codes, toxic_codes)] = toxic_counts
-    rate = y.mean()
-    odds = np.log((hits + 4 * rate) / (counts - hits + 4 * (1 - rate))) - np.log(rate / (1 - rate))
-    likely = (counts >= MIN_DOCS) & (odds >= LEAST_ODDS)
-    at, odds = {h: k for k, h in enumerate(codes[likely].tolist())}, odds[likely]
-    if not at:
-        return {}
-    vocabulary: list[bytes] = [b""] * len(at)
-    word, sent, doc = array("i"), array("i"), array("i")
-    for d, text in enumerate(texts):
-        for x in sentences(text):
-            n = len(word)
-            for f in features(x):
-                if (k := at.get(xxhash.xxh64_intdigest(f))) is not None:
-                    vocabulary[k] = f
-                    word.append(k)
-                    sent.append(len(doc))
-            if len(word) > n:
-                doc.append(d)
-    word, sent, doc = np.array(word, np.int32), np.array(sent, np.int32), np.array(doc, np.int32)
-    n_docs, n_sent = len(texts), len(doc)
-    w = np.clip(odds * 3, 0, 12)
-    false_rate, miss_rate = min(0.05, rate / 2), 0.1
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(BASE + np.bincount(sent, w[word], n_sent), -30, 30)))
-        stay = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), n_docs)  # log of the chance that no sentence is toxic
-        toxic = -np.expm1(stay)
-        q = false_rate + (1 - false_rate - miss_rate) * toxic
-        slope = np.where(y, 1 / q, -1 / (1 - q)) * (1 - false_rate - miss_rate)
-        pull = slope[doc] * np.exp(stay[doc]) * p
-        grad = np.bincount(word, pull[sent], len(w)) - L1 * (w > 0)
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        w = np.clip(w + 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 0.05), 0, 14)
-        if step % 25 == 0:  # the label error rates, by expectation
-            was = np.where(y, toxic * (1 - miss_rate) / q, toxic * miss_rate / (1 - q))
-            false_rate = float(np.clip((y * (1 - was)).sum() / max((1 - was).sum(), 1), 0.005, 0.3))
-            miss_rate = float(np.clip((~y * was).sum() / max(was.sum(), 1), 0.005, 0.3))
-    return {x: float(k) for x, k in sorted(zip(vocabulary, w)) if k >= LEAST}
+    w = sample.fit(np.ones(sample.n, bool), *choose(sample)[0])
+    return {x: float(k) for x, k in sorted(zip(sample.names, w)) if k}
 
 
 def sentence_scores(text: str | None, weights: dict[bytes, float]) -> np.ndarray:
     sums = np.array([sum(weights.get(f, 0.0) for f in features(x)) for x in sentences(text)], float)
-    return np.where(sums > 0, 1 / (1 + np.exp(-np.clip(BASE + sums, -30, 30))), 0.0)
+    return _sentence(sums)
 
 
 def document_score(text: str | None, weights: dict[bytes, float]) -> float:
@@ -129,7 +184,7 @@ def _score(raw: bytes, weights: dict[bytes, float], first: set[bytes]) -> tuple[
         total = sum(weights.get(f, 0.0) for f in sorted(features(words)))
         if not total:
             continue
-        p = 1 / (1 + np.exp(-min(30.0, BASE + total)))
+        p = float(_sentence(total))
         offending += p >= 0.5
         stay += np.log1p(-min(p, 1 - 1e-9))
     return float(0.0 - np.expm1(stay)), int(offending)
@@ -171,8 +226,9 @@ def offending_sentences(docs: DataFrame, weights: dict[bytes, float], least: flo
     return two.mapInArrow(partial(_locate_batches, shared=shared, least=least), f"doc_id {two.schema['doc_id'].dataType.simpleString()}, sentence int, words string, score double")
 
 
-def train_from(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict[bytes, float]:
-    rows = labelled_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")), max_docs)
+def train_from(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_text_bytes: int = TRAIN_TEXT_BYTES) -> dict[bytes, float]:
+    """Weights from at most ``max_docs`` labelled documents, drawn from those of at most ``max_text_bytes`` bytes."""
+    rows = labelled_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")), max_docs, max_text_bytes)
     return train_words([r["text"] for r in rows], [r["label"] for r in rows])
 
 
