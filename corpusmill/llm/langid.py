@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import crc32_mod, sample_rows, slices
+from corpusmill.llm.common import TRAIN_TEXT_BYTES, crc32_mod, sample_by_group, slices
 
 ORDER = 3
 UNIT = 1 << 16  # of a bit
-#: Training reads at most so many labelled texts, the first in the order of a hash of doc_id, and of these at most so many bytes a language.
-TRAIN_DOCS, TRAIN_BYTES = 4000, 2_000_000
+#: Training reads at most so many labelled texts of each language, however rare, and at most so many bytes of all languages.
+TRAIN_DOCS, TRAIN_BYTES = 1000, 8_000_000
+#: Texts are scored in blocks of this many bytes, so memory doesn't grow with a text.
+BLOCK = 1 << 20
 
 
 def _grams(data: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
@@ -122,23 +124,10 @@ class ContextTrees:
         self.dense[key[plain]] = np.flatnonzero(plain)
         self.narrow = self.costs[3].astype(np.int32)
 
-    def lengths(self, texts: list[bytes]) -> np.ndarray:
-        """The code length of each text in each language, in UNITs of a bit. Each text starts without a context."""
-        out = np.zeros((len(texts), len(self.languages)), np.int64)
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        starts = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(texts) else np.zeros(0, np.int64)
+    def _windows(self, data: np.ndarray) -> np.ndarray:
+        """The cost, in each language, of the last byte of every sequence of order + 1 bytes in data."""
         wide = self.order + 1
-        for k in range(self.order):  # the first bytes of each text have short contexts
-            own = np.flatnonzero(size > k)
-            code = np.zeros(len(own), np.int64)
-            for j in range(k + 1):
-                code = code << 8 | data[starts[own] + j]
-            out[own] += self.cost(code, k)
-        own = np.flatnonzero(size >= wide)
         n = len(data) - wide + 1
-        if not len(own) or n <= 0:
-            return out
         if self.dense is not None:
             s = self.small[data]
             key = s[:n] << 18
@@ -154,12 +143,39 @@ class ContextTrees:
         code = np.zeros(len(odd), np.int64)
         for j in range(wide):
             code = code << 8 | data[odd + j]
-        each[odd] = self.cost(code, self.order)
+        code, where = np.unique(code, return_inverse=True)  # what isn't known is often the same
+        each[odd] = self.cost(code, self.order)[where]
+        return each
+
+    def lengths(self, texts: list[bytes]) -> np.ndarray:
+        """The code length of each text in each language, in UNITs of a bit. Each text starts without a context."""
+        out = np.zeros((len(texts), len(self.languages)), np.int64)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        for k in np.flatnonzero(size > BLOCK).tolist():  # a block takes the bytes before it as context
+            out[k] = self.lengths([texts[k][:BLOCK]])[0]
+            for at in range(BLOCK, len(texts[k]), BLOCK):
+                out[k] += self._windows(np.frombuffer(texts[k][at - self.order : at + BLOCK], np.uint8)).sum(axis=0, dtype=np.int64)
+        short = np.flatnonzero(size <= BLOCK)
+        size = size[short]
+        data = np.frombuffer(b"".join(texts[k] for k in short.tolist()), np.uint8)
+        starts = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else np.zeros(0, np.int64)
+        wide = self.order + 1
+        for k in range(self.order):  # the first bytes of each text have short contexts
+            own = np.flatnonzero(size > k)
+            code = np.zeros(len(own), np.int64)
+            for j in range(k + 1):
+                code = code << 8 | data[starts[own] + j]
+            out[short[own]] += self.cost(code, k)
+        own = np.flatnonzero(size >= wide)
+        n = len(data) - wide + 1
+        if not len(own) or n <= 0:
+            return out
         # each text owns the sequences that start at its bytes, but for its last three
         spans = np.empty(2 * len(own), np.int64)
         spans[0::2], spans[1::2] = starts[own], starts[own] + size[own] - wide + 1
+        each = self._windows(data)
         padded = np.concatenate([each, np.zeros((1, each.shape[1]), each.dtype)])
-        out[own] += np.add.reduceat(padded, np.minimum(spans, n), axis=0, dtype=np.int64)[0::2]
+        out[short[own]] += np.add.reduceat(padded, np.minimum(spans, n), axis=0, dtype=np.int64)[0::2]
         return out
 
 
@@ -167,7 +183,6 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-
 def _identify(batches, shared):
     model: ContextTrees = shared.value
     if not hasattr(model, "dense"):
@@ -190,16 +205,15 @@ def _identify(batches, shared):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
 
-def train_trees(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_bytes: int = TRAIN_BYTES, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ContextTrees:
-    """Context trees from at most ``max_docs`` labelled texts and ``max_bytes`` bytes a language (whole texts)."""
-    rows = sample_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null"), max_docs)
+def train_trees(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_bytes: int = TRAIN_BYTES, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_text_bytes: int = TRAIN_TEXT_BYTES) -> ContextTrees:
+    """Context trees from at most ``max_docs`` labelled texts a language, whole ones of at most ``max_text_bytes`` bytes.
+
+    All texts together have at most ``max_bytes`` bytes, shared evenly by the languages; a language of few rows is learnt from those.
+    """
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).where("text <> ''")
     texts: dict[str, list[bytes]] = {}
-    held: dict[str, int] = {}
-    for row in rows:
-        raw = row["text"].encode("utf-8", "surrogatepass")
-        if raw and held.get(row["lang"], 0) + len(raw) <= max_bytes:
-            texts.setdefault(row["lang"], []).append(raw)
-            held[row["lang"]] = held.get(row["lang"], 0) + len(raw)
+    for row in sample_by_group(known, "lang", max_docs, max_bytes, max_text_bytes):
+        texts.setdefault(row["lang"], []).append(row["text"].encode("utf-8", "surrogatepass"))
     return ContextTrees.train(texts, order)
 
 
