@@ -25,7 +25,8 @@ from corpusmill.llm.common import cut, slices
 
 CAPACITY = 4096
 END = 1
-GROUP = 4096
+#: Pieces of a group, and the sequences' worth of tokens that a group has at least, so that groups of tiny pieces are larger.
+GROUP, LEAST_BINS = 4096, 16
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -279,7 +280,7 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np
 
 
 def _pack_group(key, pdf: pd.DataFrame, capacity: int, slack: float, last: bool, base: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable", na_position="first")
+    pdf = pdf.sort_values(["length", "row"], ascending=[False, True], kind="stable")
     sizes = pdf["length"].to_numpy(np.int64)
     bins, offsets, room = best_fit_decreasing(sizes, capacity)
     free = np.array(room)
@@ -291,6 +292,7 @@ def _pack_group(key, pdf: pd.DataFrame, capacity: int, slack: float, last: bool,
             given |= free > slack * capacity
     pdf["sequence_id"] = (np.int64(base + int(key[0])) << 32) + bins
     pdf["offset"] = offsets
+    pdf["gap"] = np.int64(gap)
     pdf["given"] = given[bins]
     return pdf
 
@@ -303,20 +305,24 @@ def _by_group(run):
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = 3, slack: float = 0.02) -> DataFrame:
-    """Adds sequence_id and offset to a table of pieces (doc_id, piece, start, length, ids_crc32).
+    """Adds sequence_id, offset and gap to a table of pieces (doc_id, piece, start, length, ids_crc32).
 
-    ``group`` pieces, about, are packed in one task. Each round packs what the groups of the round
-    before gave up; a round that saves no bin is undone and ends the exchange.
+    ``group`` pieces, about, are packed in one task, or more of them if they are so small that they fill
+    less than LEAST_BINS sequences; pieces are dealt by a hash of their row numbers, so
+    equal ones spread as others do. Each round packs what the groups of the round before gave up; a
+    round that saves no bin is undone and ends the exchange. gap is how many bins the packing of the
+    piece's group needed beyond its lower bound: 0 certifies that no packing of the group needs fewer.
     """
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in pieces.select(*names).schema]
-    schema = ", ".join([*kinds, "grp long", "sequence_id long", "offset long", "given boolean"])
-    left, n, base, done = pieces.select(*names), pieces.count(), 0, None
+    schema = ", ".join([*kinds, "row long", "grp long", "sequence_id long", "offset long", "gap long", "given boolean"])
+    left, base, done = cut(pieces.select(*names, F.monotonically_increasing_id().alias("row"))), 0, None
     was, were = None, None
     for k in range(rounds + 1):
-        groups = max(1, -(-n // group))
+        n, tokens = left.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        groups = max(1, min(-(-n // group), tokens // (capacity * LEAST_BINS)))
         # a hash that shares nothing with the one that deals rows to tasks, so that groups spread
-        deal = F.pmod(F.xxhash64(F.lit(f"round {k}"), "doc_id", "piece", "start", "ids_crc32"), F.lit(groups))
+        deal = F.pmod(F.xxhash64(F.lit(f"round {k}"), "row", "ids_crc32"), F.lit(groups))
         run = partial(_pack_group, capacity=capacity, slack=slack, last=k == rounds or (groups == 1 and k > 0), base=base)
         packed = left.withColumn("grp", deal).groupBy("grp").applyInPandas(_by_group(run), schema)
         packed = cut(packed)
@@ -328,20 +334,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds
         kept = packed.where("not given")
         done = kept if done is None else done.unionByName(kept)
         was = packed.where("given")
-        n, were = was.count(), was.select("sequence_id").distinct().count()
-        if were < 2 and n:
+        were = was.select("sequence_id").distinct().count()
+        if were < 2:
             done = done.unionByName(was)
             break
-        if not n:
-            break
-        left = was.select(*names)
-    return done.select(*names, "sequence_id", "offset")
+        left = was.select(*names, "row")
+    return done.select(*names, "sequence_id", "offset", "gap")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
+def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", certified: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document; gap too, if ``certified``.
 
     Null and empty texts are one piece with the end id. Repeated rows are packed each for itself. An
     empty table gives an empty table; no other column is read.
     """
-    return pack(cut(token_pieces(docs, tokenizer, capacity, id_col, text_col)), capacity)
+    packed = pack(token_pieces(docs, tokenizer, capacity, id_col, text_col), capacity)
+    return packed if certified else packed.drop("gap")

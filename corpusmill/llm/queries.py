@@ -34,7 +34,7 @@ def op3_toxicity(spark, sf_dir):
 
 
 def op4_best_fit_packing(spark, sf_dir):
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"), certified=True)
 
 
 def op5_mix_sources(spark, sf_dir):
@@ -116,26 +116,45 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-_OP1 = r"""
-WITH RECURSIVE urls AS (
-  SELECT page_id, url, html, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+_UPPER, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _sql_attribute(name: str) -> str:
+    pattern = rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))"""
+    return "(" + " || ".join(f"regexp_extract(tag, '{pattern}', {k})" for k in (1, 2, 3)) + ")"
+
+
+_OP1 = rf"""
+WITH RECURSIVE rules(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+tags AS (
+  SELECT url, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS tag
+  FROM pages WHERE position('://' IN url) > 0),
+said AS (
+  SELECT url, {_sql_attribute("href")} AS t FROM tags WHERE lower(tag[2:5]) = 'link' AND regexp_matches(lower({_sql_attribute("rel")}), '(^|\s)canonical(\s|$)')
+  UNION ALL SELECT url, regexp_extract({_sql_attribute("content")}, '(?i)url\s*=\s*[''"]?([^''"]+)', 1) FROM tags WHERE lower(tag[2:5]) = 'meta' AND lower(trim({_sql_attribute("http-equiv")})) = 'refresh'),
+places AS (
+  SELECT url, replace(trim(t), '&amp;', '&') AS t, split_part(url, '://', 1) AS scheme, split_part(url, '://', 1) || '://' || regexp_extract(substr(url, position('://' IN url) + 3), '^[^/?#]*') AS base,
+         regexp_extract(substr(url, position('://' IN url) + 3), '^[^/?#]*([^?#]*)', 1) AS path FROM said),
+raw AS (
+  SELECT url AS a, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN t = '' OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(t, '/') THEN base || t WHEN starts_with(t, '?') OR starts_with(t, '#') THEN base || path || t
+    ELSE base || CASE WHEN regexp_extract(path, '^(.*/)', 1) = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END || t END AS b FROM places),
+rest AS (SELECT url, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM (SELECT url FROM pages UNION SELECT b FROM raw)),
 parts AS (
-  SELECT page_id, url, html, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM urls),
-rules(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
-found AS (
-  SELECT x.page_id, any_value(x.url) AS url, any_value(x.host) AS host, any_value(x.path) AS path, max_by(r.h || r.p, length(r.h || r.p)) AS rule, max_by(r.verdict, length(r.h || r.p)) AS own
-  FROM parts x LEFT JOIN rules r ON (x.host = r.h OR ends_with(x.host, '.' || r.h)) AND starts_with(x.path, r.p) GROUP BY x.page_id),
-keys AS (SELECT page_id, url, html, host, lower(split_part(url, '://', 1)) || '://' || host || regexp_extract(split_part(url, '://', 2), '^[^/?#]*([^#]*)', 1) AS k FROM parts),
+  SELECT url, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), {_UPPER}, {_LOW}), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+         regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail FROM rest),
+judged AS (
+  SELECT x.url, any_value(x.host) AS host, any_value(x.path) AS path, max_by(r.h || r.p, length(r.h || r.p)) AS rule, max_by(r.verdict, length(r.h || r.p)) AS own,
+         any_value(CASE WHEN position('://' IN x.url) > 0 THEN translate(split_part(x.url, '://', 1), {_UPPER}, {_LOW}) || '://' || x.host || CASE WHEN x.tail = '' THEN '/' ELSE x.tail END END) AS k
+  FROM parts x LEFT JOIN rules r ON (x.host = r.h OR ends_with(x.host, '.' || r.h)) AND starts_with(x.path, r.p) GROUP BY x.url),
 edges AS (
-  SELECT k AS a, regexp_extract(html, '<link[^>]*rel="canonical"[^>]*href="([^"#]+)', 1) AS b FROM keys
-  UNION SELECT k, regexp_extract(html, '<meta[^>]*http-equiv="refresh"[^>]*url=([^"#]+)', 1) FROM keys),
-links AS (SELECT a, b FROM edges WHERE b <> '' UNION SELECT b, a FROM edges WHERE b <> ''),
+  SELECT a.k AS u, b.k AS v, a.own = 'block' AS block_u, b.own = 'block' AS block_v FROM raw JOIN judged a ON raw.a = a.url JOIN judged b ON raw.b = b.url WHERE a.k <> b.k),
+links AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
 bad AS (
-  SELECT k FROM keys JOIN found USING (page_id) WHERE own = 'block'
-  UNION SELECT l.b FROM bad JOIN links l ON bad.k = l.a)
-SELECT f.page_id, f.host, f.path, f.rule, coalesce(f.own, CASE WHEN l.a IS NOT NULL AND b.k IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, l.a IS NOT NULL AND b.k IS NOT NULL AS blocked_alias
-FROM found f JOIN keys USING (page_id) LEFT JOIN (SELECT DISTINCT k FROM bad) b ON keys.k = b.k LEFT JOIN (SELECT DISTINCT a FROM links) l ON keys.k = l.a
+  SELECT u AS k FROM edges WHERE block_u UNION SELECT v FROM edges WHERE block_v
+  UNION SELECT l.v FROM bad JOIN links l ON bad.k = l.u)
+SELECT p.page_id, j.host, j.path, j.rule, coalesce(j.own, CASE WHEN b.k IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, b.k IS NOT NULL AS blocked_alias
+FROM pages p JOIN judged j ON p.url IS NOT DISTINCT FROM j.url LEFT JOIN (SELECT DISTINCT k FROM bad) b ON j.k = b.k
 """
 
 ORACLE_SQL = {"op1_url_filters": _OP1, "op5_mix_sources": _OP5, "op9_exact_dedup": _OP9}
