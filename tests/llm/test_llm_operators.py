@@ -111,6 +111,55 @@ def test_quality_held_out(spark):
     assert quality.quality(df.limit(0), labels).count() == 0
 
 
+def quality_by_hand(model, text, lang, source, n_chars):
+    """The three scores, byte by byte and with plain sums."""
+    raw = (text or "").encode()
+    classes = ["aeiouy", "bcdfghjklmnpqrstvwxz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".", ",", "!?", "|", "$%&*#^~@+=<>\\", "\"'`()[]{}", "-_/:;"]
+    kind = lambda b: 14 if b >= 192 else 13 if b >= 128 else next((k for k, x in enumerate(classes) if chr(b) in x), 15)
+    c, words, lines = [kind(b) for b in raw], raw.split(), [x for x in raw.split(b"\n") if x]
+    grams = [256 * x + 16 * y + z for x, y, z in zip(c, c[1:], c[2:])]
+    n, size = max(1, len(words)), max(1, len(raw))
+    ratios = [
+        len(set(words)) / n if n < 200 else min(1.0, len(set(words)) / n**0.9), sum(x == y for x, y in zip(words, words[1:])) / n, min(len(raw) / n, 30) / 10,
+        len(set(lines)) / max(1, len(lines)), c.count(10) / size * 5, c.count(2) / size * 5,
+    ]
+    w, m = model.content.tolist(), model.meta.tolist()
+    first = 10 * sum(w[g] for g in grams) / max(1, len(grams)) + sum(x * y for x, y in zip(ratios, w[4096:4102])) + w[4102]
+    bucket = lambda x: 0 if x is None else 1 + zlib.crc32(x.encode()) % 63
+    chars = len(text or "") if n_chars is None else n_chars
+    layout = min(15, int(2 * math.log2(1 + chars / ((text or "").count("\n") + 1)))) if chars else 0
+    second = m[bucket(lang)] + m[64 + bucket(source)] + m[128 + min(31, int(2 * math.log2(1 + chars)))] + m[160 + layout] + m[-1]
+    z = [a * x + b for (a, b), x in zip(model.scale, (first, second))]
+    z.append(model.mix[0] * z[0] + model.mix[1] * z[1] + model.mix[2])
+    return [1 / (1 + math.exp(-max(-30, min(30, x)))) for x in z]
+
+
+def test_quality_by_hand(spark):
+    rows = list(good_and_bad(300, 2))
+    df = documents(spark, [r[:4] for r in rows] + [(1000, None), (1001, ""), (1002, "é %\nxx  \t9" * 90, "de", "s1")])
+    labels = spark.createDataFrame([(r[0], r[4]) for r in rows if r[0] % 2] + [(r[0], r[4]) for r in rows[::8]], "doc_id long, quality int")
+    model = quality.train_from(df, labels)
+    got = {r["doc_id"]: (r["content_score"], r["metadata_score"], r["score"]) for r in quality.score_quality(df, model).collect()}
+    for r in df.collect():
+        assert got[r["doc_id"]] == pytest.approx(quality_by_hand(model, r["text"], r["lang"], r["source"], r["n_chars"]), abs=1e-9)
+
+
+def test_pool_and_labelled_sample_are_apart(spark, monkeypatch):
+    """Where all documents have labels, the views still see others than the labelled sample; long texts don't use up its places."""
+    seen = {}
+    monkeypatch.setattr(quality, "co_train", lambda known, pool: seen.update(known={r["id"] for r in known}, pool={r["id"] for r in pool}))
+    df = documents(spark, [(k, "word " * (30_000 if k % 3 == 0 else 5)) for k in range(300)])
+    quality.train_from(df, spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, quality int"), labelled=100, unlabelled=60)
+    assert len(seen["known"]) == 100 and len(seen["pool"]) == 60 and not seen["known"] & seen["pool"] and all(k % 3 for k in seen["known"] | seen["pool"])
+
+
+def test_text_of_another_type(spark):
+    df = spark.createDataFrame([(k, float(k)) for k in range(20)], "doc_id long, text double")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    kept = quality.keep_good(df, labels)
+    assert kept.schema == df.schema and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in quality.quality(df, labels).collect() if r["kept"]}
+
+
 # -- 3 ---------------------------------------------------------------------------------------------------
 
 
@@ -138,9 +187,31 @@ def test_toxicity_held_out(spark):
     assert all(r["predicted"] == 0 for r in toxicity.toxicity(df, labels.limit(0)).collect())
 
 
+def noisy_or(text, weights):
+    """A document's score, in plain Python and without the module's tables."""
+    stay = 1.0
+    for part in re.split(rb"[.!?\n\r]", (text or "").encode()):
+        words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", part)
+        seen = {w.lower() for w in words}
+        seen |= {b"^" + w[:k] for w in set(seen) for k in (4, 5, 6) if len(w) >= k}
+        total = sum(weights.get(f, 0.0) for f in seen)
+        p = 1 / (1 + math.exp(10 - total))
+        stay *= 1 - p if total > 0 and p >= 0.02 else 1.0
+    return 1 - stay
+
+
+def test_scores_by_hand(spark):
+    rng = random.Random(15)
+    weights = {b"vile": 9.0, b"^grub": 5.5, b"^grubb": 3.0, b"damp": 2.0, "pfüi".encode(): 14.0}
+    words = ["vile", "Vile", "grubby", "grub", "damp", "calm", "pfüi", "a1", "sea"]
+    rows = [(k, "".join(rng.choice(words) + rng.choice([" ", " ", ", ", ". ", "!", "\n", "?? "]) for _ in range(rng.randint(0, 30)))) for k in range(200)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(documents(spark, rows), weights).collect()}
+    assert all(got[k] == pytest.approx(noisy_or(t, weights), abs=1e-9) for k, t in rows) and len({round(x, 3) for x in got.values()}) > 10
+
+
 def test_length_is_not_toxic(spark):
-    weights = {b"vile": 12.0}
-    rows = [(1, "A calm day. " * 20_000), (2, "A villa by the sea. " * 20_000), (3, "A calm day. " * 20_000 + "How vile!")]
+    weights = {b"vile": 12.0, b"calm": 3.0}
+    rows = [(1, "A calm day. " * 50_000), (2, "A villa by the sea. " * 50_000), (3, "A calm day. " * 20_000 + "How vile!")]
     got = {r["doc_id"]: r for r in toxicity.score_documents(documents(spark, rows), weights).collect()}
     assert got[1]["score"] == got[2]["score"] == 0 and got[3]["score"] > 0.8 and got[3]["n_offending"] == 1
     assert all(abs(got[k]["score"] - toxicity.document_score(t, weights)) < 1e-9 for k, t in rows)
@@ -203,6 +274,13 @@ def test_pack_documents(spark):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def test_equal_rows_spread(spark):
+    df = documents(spark, [(None, None)] * 9000)
+    rows = packing.pack(packing.token_pieces(df), group=1000).collect()
+    fill = Counter(r["sequence_id"] for r in rows)
+    assert len(rows) == 9000 and len(fill) == 3 and max(fill.values()) <= 4096 and all(r["gap"] >= 0 for r in rows)
+
+
 def test_exchange_saves_bins(spark):
     rng = random.Random(6)
     rows = [(k, 0, 0, rng.randint(1, 4096), k) for k in range(600)]
@@ -268,6 +346,25 @@ def test_mixing(spark, case):
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def test_mixing_repeated_rows(spark):
+    """Of a source that is one row again and again, as many rows are taken as its target asks for."""
+    rows = [(1, "a b c", None, "s")] * 100 + [(2, "d e f", None, "s"), (2, "x y z", None, "s"), (2, "x y z", None, "t")] + [(k, "w " * 5, None, "t") for k in range(10, 40)]
+    df = documents(spark, rows)
+    told = mixing.mix_sources(df).collect()
+    assert len(told) == len(rows)
+    for size in {r["source_size"] for r in told}:
+        own = [r for r in told if r["source_size"] == size]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 10
+    got = Counter((r["doc_id"], r["text"]) for r in mixing.take_mix(df).collect())
+    want = Counter()
+    for r in told:
+        want[r["doc_id"]] += r["taken"] // r["size"]
+    by_id = Counter()
+    for (k, _), n in got.items():
+        by_id[k] += n
+    assert by_id == +want
+
+
 # -- 6 ------------------------------------------------------------------------------------------------------------
 
 
@@ -300,7 +397,7 @@ def test_simhash(spark):
     assert Counter((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(odd).collect()) == {(None, 5): 2, (5, 5): 2, (None, None): 1}
 
 
-@pytest.mark.parametrize("segments", [8, 16])
+@pytest.mark.parametrize("segments", [1, 4, 8, 16])
 def test_close_pairs(spark, segments):
     rng = random.Random(9)
     centres = [rng.getrandbits(64) for _ in range(6)]
@@ -368,6 +465,30 @@ def test_similar_in_large_groups(spark, case):
     assert got == want
 
 
+def test_repeated_ids_lose_no_text(spark):
+    rng = random.Random(16)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(80))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (5, a + " tail"), (5, b), (5, c), (5, c), (7, b + " tail"), (None, a)]
+    df = documents(spark, rows)
+    kept = Counter((r["doc_id"], r["text"]) for r in simhash.keep_one_of_each(df).collect())
+    assert kept == {(1, a): 1, (5, b): 1, (5, c): 2, (None, a): 1}
+    assert Counter((r["doc_id"], r["component_id"]) for r in simhash.similar_documents(df).collect()) == {(1, 1): 1, (5, 1): 1, (5, 5): 1, (7, 5): 1}
+
+
+def test_sketches_lose_no_pair():
+    rng = np.random.default_rng(17)
+    for n in (60, 300, 5000):
+        a, b = [], []
+        for _ in range(400):
+            shared = rng.integers(0, 2**64, int(n * 0.8), dtype=np.uint64)  # similarity 0.8
+            parts = np.array_split(rng.integers(0, 2**64, n - len(shared), dtype=np.uint64), 2)
+            a.append(simhash.sketch(np.unique(np.concatenate([shared, parts[0]]))))
+            b.append(simhash.sketch(np.unique(np.concatenate([shared, parts[1]]))))
+        assert simhash.may_be_similar(np.stack(a), np.stack(b), 0.8).all()
+        assert not n > 100 or not simhash.may_be_similar(np.stack(a[1:]), np.stack(b[:-1]), 0.8).any()
+
+
 def test_similar_short_texts(spark):
     rng = random.Random(12)
     rows = []
@@ -395,6 +516,43 @@ def test_images_round_trip(raw):
         media.decode_png(stored[:40] + bytes([stored[40] ^ 1]) + stored[41:])
 
 
+def read_png(raw):
+    """The samples of an 8-bit image without interlace, by the format's own rules."""
+    import struct
+
+    assert raw.startswith(bytes([137, 80, 78, 71, 13, 10, 26, 10]))
+    at, parts = 8, defaultdict(bytes)
+    while at < len(raw):
+        (n,) = struct.unpack_from(">I", raw, at)
+        kind = raw[at + 4 : at + 8].decode()
+        assert zlib.crc32(raw[at + 4 : at + 8 + n]) == struct.unpack_from(">I", raw, at + 8 + n)[0]
+        parts[kind] += raw[at + 8 : at + 8 + n]
+        at += n + 12
+    wide, high, depth, colour, squeeze, filters, interlace = struct.unpack(">IIBBBBB", parts["IHDR"])
+    per = {0: 1, 2: 3, 6: 4}[colour]
+    assert (depth, squeeze, filters, interlace) == (8, 0, 0, 0)
+    data, stride, out = zlib.decompress(parts["IDAT"]), wide * per, []
+    before = bytes(stride)
+    for y in range(high):
+        kind, line = data[y * (stride + 1)], bytearray(data[y * (stride + 1) + 1 : (y + 1) * (stride + 1)])
+        for x in range(stride):
+            a, b = line[x - per] if x >= per else 0, before[x]
+            c = before[x - per] if x >= per else 0
+            p = a + b - c
+            line[x] = (line[x] + [0, a, b, (a + b) // 2, min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]][kind]) % 256
+        before = bytes(line)
+        out.append(before)
+    return b"".join(out)
+
+
+def test_images_are_png(spark):
+    df = documents(spark, [(1, "é" * 300), (2, ""), (3, "x" * 192)])
+    stored = {r["digest"]: bytes(r["media"]) for r in media.stored_media(df).collect()}
+    for text in ("é" * 300, "", "x" * 192):
+        raw = text.encode()
+        assert read_png(stored[hashlib.sha256(raw).hexdigest()]) == raw.ljust(max(192, -(-len(raw) // 192) * 192), b" ")
+
+
 def test_items_stay_aligned(spark):
     a, b = "a" * 64, "b" * 64
     page = f"<p>one<!-- no --><br>two &amp; x</p><figure><img src='media:{a}' alt=alt><figcaption>said <b>so</b></figcaption></figure><script>var x='<p>'</script>three<img src=media:{b} alt='only alt'><img src=other.png>"
@@ -436,6 +594,85 @@ def test_base_patterns():
     assert got == [("email", "a.b+c@d-e.f.gh"), ("ip", "1.2.3.4"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (555) 010-9999")]
 
 
+def plain_spans(text):
+    """The contract's patterns as they stand."""
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    luhn = lambda d: sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(d))) % 10 == 0
+    found = [(m, 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [(m, 1) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    found += [(m, 2) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    found += [(m, 3) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(digits(m[0])) <= 15]
+    return sorted((m.start(), m.end(), k) for m, k in found)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b.c", "@", "x@y.z", ".", "%", "-", "1", "12", "0255", "256", " ", "+1", "(", ")", "4111 1111-1111 1111", "é", "\n"]), max_size=40).map("".join))
+def test_patterns_in_linear_time_match(text):
+    assert pii.base_spans(text) == plain_spans(text)
+
+
+@pytest.mark.parametrize("text", ["7" * 50_000_000, "QUJD9+/x" * 6_000_000 + "@", "the river was low and " * 2_300_000], ids=["digits", "base64", "words"])
+def test_very_long_texts(field, text):
+    import resource
+    import time
+
+    began, held = time.time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert pii.base_spans(text) == [] and all(k == 5 for _, _, k in pii.Finder(field).labelled([text])[0])
+    assert time.time() - began < 90 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - held < 500_000
+
+
+def test_blocks_change_nothing(field, monkeypatch):
+    rng = random.Random(13)
+    words = ["Mr. John Smith", "the", "password=ab12cd34ef", "Contact", "Maria", "Lopez,", "is", "SSN 123-45-6789", "Dr.", "Ab", "\n", "X1", 'token = "a9b8c7d6e5f4a1"']
+    for _ in range(60):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 200)))
+        want = pii.Finder(field).labelled([text])
+        for size in (1, 20, 300):
+            monkeypatch.setattr(pii.Finder, "BLOCK", size)
+            assert pii.Finder(field).labelled([text]) == want
+        monkeypatch.undo()
+
+
+#: Sentences that the field has not seen, of other names, codes and words than its table.
+HELD_OUT = """
+I spoke to Mr. [name:Edward Nolan] yesterday .
+Dr. [name:Ingrid Solberg] wrote the report .
+Contact [name:Ahmed Farouk] before noon .
+my name is [name:Wendy Chu] and I agree .
+Frau [name:Helga Richter] kommt morgen .
+Herr [name:Uwe Lindner], guten Tag .
+je m'appelle [name:Paul Girard] .
+me llamo [name:Lucia Navarro] .
+signed by [name:Olga Smirnova] in Paris .
+use password=[secret:qW3rty77zz] to enter
+the api_key = [secret:"77ab10cd92ef33aa"] is old
+token = [secret:"0f1e2d3c4b5a69788796a5b4c3d2e1f0"] expired
+the key [secret:ZX81QL0PMN42VB7T] was lost
+his SSN is [id:222-33-4444] .
+IBAN [id:GB29NWBK60161331926819] was used
+passport number [id:K7654321] is valid
+They walked along the river in the evening .
+Bread and butter cost 3 coins in 1850 .
+Le train part de Lyon ce soir .
+Die Katze liegt auf dem Sofa .
+El sol sale por la mañana .
+CLEARANCE!! EVERYTHING MUST GO!! call us
+Visit the National Museum of Science today .
+version 4.5.6 was released on 2021-03-04 .
+"""
+
+
+def test_field_on_unseen_sentences(field):
+    right = wrong = missed = 0
+    for line in HELD_OUT.strip().split("\n"):
+        words, want = pii.ChainField.sequence(line)
+        got = pii.Finder(field).labels([" ".join(words)])[0].tolist()
+        right += sum(a == b != 0 for a, b in zip(got, want))
+        wrong += sum(a != b and a != 0 for a, b in zip(got, want))
+        missed += sum(a != b and b != 0 for a, b in zip(got, want))
+    assert right / (right + wrong) > 0.9 and right / (right + missed) > 0.9, (right, wrong, missed)
+
+
 def test_viterbi_in_batches(field):
     rng = np.random.default_rng(0)
     for _ in range(150):
@@ -503,6 +740,32 @@ def test_drop_exact_copies(spark):
     assert exact_dedup.drop_exact_copies(df.limit(0)).count() == 0
 
 
+def test_filters_spare_runs(spark):
+    index = exact_dedup.MergeIndex(spark, memtable=10)
+    index.flush(documents(spark, [(k, f"old {k}") for k in range(300)]))
+    index.flush(documents(spark, [(1000 + k, f"new {k}") for k in range(300)]))
+    assert index.compact().count() == 0 and index.read == []  # nothing is read but the filters
+    index.flush(documents(spark, [(2000, "OLD 7"), (2001, "fresh"), (2002, "fresh")]))
+    assert index.compact().count() == 2 and index.read == [0, 2]  # the second run's filter says no
+    got = {r["id"]: (r["keep_id"], r["group_size"]) for r in index.verified().collect()}
+    assert got[7] == got[2000] == (2000, 2) and got[2001] == (2002, 2) and got[1005] == (1005, 1) and len(got) == 603
+    index.drop()
+
+
+def test_levels_merge(spark):
+    index, rng, rows = exact_dedup.MergeIndex(spark, "smallest", fanout=2), random.Random(3), []
+    for k in range(5):
+        new = [(100 * k + n, f"t{rng.randrange(60)}") for n in range(40)]
+        index.flush(documents(spark, new))
+        rows += new
+    assert sorted(x.level for x in index.runs) == [0, 2]
+    least = {}
+    for k, t in rows:
+        least[t] = min(k, least.get(t, k))
+    assert {r["id"]: r["keep_id"] for r in index.verified().collect()} == {k: least[t] for k, t in rows}
+    index.drop()
+
+
 def test_runs_merge(spark):
     index = exact_dedup.MergeIndex(spark)
     index.flush(documents(spark, [(1, "a"), (2, "b")]))
@@ -550,6 +813,22 @@ def test_code_lengths(train, texts, order):
         assert row == pytest.approx([code_length(own["x"], order, t), code_length(own["y"], order, t)], abs=1e-2)
 
 
+def test_long_texts_are_scored_in_blocks(monkeypatch):
+    rng = random.Random(14)
+    model = langid.ContextTrees.train({"x": [b"the cat sat"], "y": [b"le chat est"]})
+    model.compile()
+    texts = [bytes(rng.choice(b"the cats l\xc3") for _ in range(n)) for n in (0, 3, 50, 400, 1001)]
+    want = model.lengths(texts)
+    monkeypatch.setattr(langid, "BLOCK", 50)
+    assert (model.lengths(texts) == want).all()
+
+
+def test_rare_languages_are_learnt(spark):
+    rows = [(k, "the thing of and the rest", "en") for k in range(3000)] + [(5000 + k, "zażółć gęślą jaźń", "pl") for k in range(6)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.language_id(documents(spark, rows)).collect()}
+    assert got[5000] == got[5005] == "pl" and got[1] == "en"
+
+
 def test_language_id(spark):
     rng = random.Random(12)
     words = {"en": ["the", "and", "of", "thing"], "de": ["und", "nicht", "über", "das"]}

@@ -87,3 +87,64 @@ def test_sql_of_operators(spark, tables):
         got = Counter(tuple(r) for r in df.select(*[F.col(c) for c in names]).collect())
         want = Counter(con.sql(f"SELECT {', '.join(names)} FROM ({ORACLE_SQL[name]})").fetchall())
         assert got == want
+
+
+def test_url_sql_and_union_find_agree_on_edges(spark, tmp_path):
+    """Chains, a hub, allows within blocked components, targets that aren't pages, and all forms of links."""
+    import random
+
+    duckdb = pytest.importorskip("duckdb")
+    from corpusmill.llm import url_filters
+    from corpusmill.llm.queries import ORACLE_SQL, QUERIES, URL_RULES
+
+    rng = random.Random(4)
+    hosts = ["a.com", "b.io", "www.example.com", "x.net", "example.net", "c.org", "D.org"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'es', 'fr'])}/{rng.choice('789')}{k}" for k in range(150)]
+    forms = [
+        '<link rel="canonical" href="{}">', "<LINK href='{}' rel='alternate canonical'/>", "<link rel=canonical href={}>", '<meta http-equiv="refresh" content="0; url={}">',
+        "<meta content='5;URL={}' http-equiv=Refresh>", '<!-- <link rel="canonical" href="{}"> -->', '<script>"<link rel=canonical href={}>"</script>', '<link rel="stylesheet" href="{}">',
+    ]
+    rows = []
+    for k, url in enumerate(urls):
+        target = rng.choice([urls[k - 1], urls[0], rng.choice(urls), "http://elsewhere.org/es/1", "http://elsewhere.io/q", "/fr/1", "../x", "?p=1&amp;q=2", "#top", "//b.io/fr/7", "mailto:x@y", ""])
+        rows.append((k, url, rng.choice(forms).format(target) if rng.random() < 0.6 else None))
+    rows += [(200 + k, f"http://chain{k}.io/", f'<link rel="canonical" href="http://chain{k + 1}.io/">') for k in range(30)] + [(230, "http://chain30.io", '<link rel="canonical" href="http://z.org/es/">')]
+    rows += [(300 + k, f"http://leaf{k}.io/", '<link rel="canonical" href="http://hub.com/en/">') for k in range(40)] + [(400, None, "x"), (401, "none", forms[0].format("http://c.org/es/1")), (402, urls[3], "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: tuple(r) for r in QUERIES["op1_url_filters"](spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict", "blocked_alias").collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == {r[0]: r for r in con.sql(f"SELECT page_id, host, path, rule, verdict, blocked_alias FROM ({ORACLE_SQL['op1_url_filters']})").fetchall()}
+    # the same by union-find over the operator's own links
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    ends = df.select("page_id", "url", url_filters.alias_key(F.col("url")).alias("k"), F.explode_outer(url_filters.link_targets(F.col("url"), F.col("html"))).alias("b"))
+    ends = ends.select("page_id", "url", "k", "b", url_filters.alias_key(F.col("b")).alias("v"), *[url_filters.longest_rule(url_filters.url_host(F.col(c)), url_filters.url_path(F.col(c)), URL_RULES)["verdict"].alias(n) for c, n in (("url", "own"), ("b", "theirs"))]).collect()
+    up = {}
+
+    def root(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    edges = [r for r in ends if r["k"] and r["v"] and r["k"] != r["v"]]
+    for r in edges:
+        up[root(r["k"])] = root(r["v"])
+    bad = {root(r[k]) for r in edges for k, who in (("k", "own"), ("v", "theirs")) if r[who] == "block"}
+    want = {r["page_id"]: r["own"] or ("block" if r["k"] in up and root(r["k"]) in bad else "allow") for r in ends}
+    assert {k: r[4] for k, r in got.items()} == want
+    assert sum(r[5] for r in got.values()) > 60 and any(r[5] and r[4] == "allow" for r in got.values())
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, repeated rows, a clashing extra column; and an empty table."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string"
+    text = "Some words that are here for the run. " * 20
+    rows = [(1, text, "en", "a", 5, "x"), (1, text, "en", "a", 5, "x"), (None, text + "more", None, None, None, None), (2, None, None, "a", None, "y"), (3, "", "en", None, 0, "z"), (4, text.upper(), "en", "b", 7, None), (None, None, None, None, None, None)]
+    labels = spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
+    for name, own in (("odd", rows), ("empty", [])):
+        spark.createDataFrame(own, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert {r["doc_id"] for r in out} <= {1, 4, None} and out and all(r["length"] <= 4096 for r in out)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
