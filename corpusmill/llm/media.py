@@ -187,24 +187,40 @@ def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
 # -- the query's documents -------------------------------------------------------------------------
 
 _FEATURES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+#: Digests that a task remembers, so that copies which lie together are stored once.
+SEEN = 100_000
 
 
 def _store_batches(batches):
+    seen: set[bytes] = set()
     for batch in batches:
         raw = batch.column(0)
         for lo in range(0, batch.num_rows, 256):
-            part = [x.as_py() for x in raw.slice(lo, 256)]
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(x).hexdigest() for x in part], pa.string()), pa.array([encode_png(padded(x)) for x in part], pa.binary())], names=["digest", "media"])
+            digests, stored = [], []
+            for x in raw.slice(lo, 256):
+                payload = x.as_py()
+                digest = hashlib.sha256(payload).digest()
+                if digest not in seen:
+                    digests.append(digest)
+                    stored.append(encode_png(padded(payload)))
+                    if len(seen) < SEEN:
+                        seen.add(digest)
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(stored, pa.binary())], names=["digest", "media"])
 
 
 def _raw(text_col: str):
     return F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
 
 
+def stored_payloads(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """digest (of the unpadded bytes) and media of a table's texts, without a shuffle: a payload that tasks share is there for each task."""
+    return docs.select(_raw(text_col).alias("raw")).mapInArrow(_store_batches, "digest binary, media binary")
+
+
 def stored_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The media table of a table of texts: each different payload once, by the digest of its unpadded bytes."""
-    made = docs.select(_raw(text_col).alias("raw")).mapInArrow(_store_batches, "digest string, media binary")
-    return made.groupBy("digest").agg(F.first("media").alias("media"))
+    """The media table of a table of texts: each different payload once, by the digest (hex digits) of its unpadded bytes."""
+    once = stored_payloads(docs, text_col).groupBy("digest").agg(F.first("media").alias("media"))
+    return once.select(F.lower(F.hex("digest")).alias("digest"), "media")
 
 
 def document_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,25 +236,28 @@ def _feature_batches(batches):
         for digest, media in zip(batch.column(0).to_pylist(), batch.column(1)):
             stored = media.as_py()
             payload = decode_png(stored)
-            rows.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), payload_feature(payload)))
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            rows.append((digest, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).digest(), payload_feature(payload)))
+        kinds = [batch.schema.field(0).type, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
         columns = list(zip(*rows)) if rows else [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["digest", *_FEATURES])
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """The features of a table (digest, media), from the stored bytes read back."""
-    return media.select("digest", "media").mapInArrow(_feature_batches, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """The features of a table (digest, media), from the stored bytes read back; checksums as bytes."""
+    kind = media.schema["digest"].dataType.simpleString()
+    return media.select("digest", "media").mapInArrow(_feature_batches, f"digest {kind}, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string")
 
 
 def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of every document.
 
-    Each text becomes a page that shows its payload, the media table holds each payload once, the page
-    is parsed again, and the digest join brings the features of what is stored; n_bytes is the caption.
-    Null counts as empty (one row of blanks). Repeated rows stay; an empty table gives an empty table;
-    no other column is read.
+    Each text becomes a page that shows its payload; payloads are stored and read back where their texts
+    lie, and only their features are shuffled, one row a digest; the page is parsed again, and the digest
+    join brings the features of what is stored. n_bytes is the caption. Null counts as empty (one row of
+    blanks). Repeated rows stay; an empty table gives an empty table; no other column is read.
     """
-    features = cut(media_features(stored_media(docs, text_col)))
+    told = media_features(stored_payloads(docs, text_col))
+    features = cut(told.dropDuplicates(["digest"]).select(F.lower(F.hex("digest")).alias("digest"), *_FEATURES))
     shown = cut(interleaved(document_pages(docs, id_col, text_col), "doc_id", "html"))
-    return resolve(shown, features).select("doc_id", F.col("caption").cast("long").alias("n_bytes"), *_FEATURES)
+    hexed = {c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")}
+    return resolve(shown, features).withColumns(hexed).select("doc_id", F.col("caption").cast("long").alias("n_bytes"), *_FEATURES)
