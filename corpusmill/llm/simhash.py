@@ -7,6 +7,11 @@ the unit grid: each fingerprint is written to its own cell and the cells one ste
 vectors within distance two always share such a cell. The fingerprints that meet in a cell are then
 compared exactly.
 
+Bit counts alone tell little, so cells get a second key. Of three blocks of bits, two bits of
+difference leave one the same at least; for each block the grid is laid over the other bits, and a cell
+holds only fingerprints that agree in the block. Random fingerprints then meet about as often as 31
+equal bits would let them, so the join grows with the links, not with the square of the table.
+
 Equal fingerprints are one node before anything is joined, so copies make no pairs. Links between
 different fingerprints are few: within two bits of one there are 2080 others at most.
 """
@@ -59,29 +64,43 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return two.mapInArrow(partial(_fingerprint_batches, shingle=shingle), f"doc_id {kind}, fp long")
 
 
-def _cells(fp: Column, segments: int) -> Column:
-    """The keys of the fingerprint's own cell and of those one step away."""
-    width = 64 // segments
+def _grid(bits: Column, wide: int, segments: int) -> list[Column]:
+    """The own cell and those one step away of the lowest ``wide`` bits, cut into segments; null where a step leaves the grid."""
+    width = -(-wide // segments)
     size = width.bit_length()  # bits that hold a count from 0 to width
-    counts = [F.bit_count(F.shiftrightunsigned(fp, width * k).bitwiseAND(F.lit((1 << width) - 1))).cast("long") for k in range(segments)]
+    widths = [min(width, wide - width * k) for k in range(segments) if wide > width * k]
+    counts = [F.bit_count(F.shiftrightunsigned(bits, width * k).bitwiseAND(F.lit((1 << w) - 1))).cast("long") for k, w in enumerate(widths)]
     own = counts[0]
     for k, x in enumerate(counts[1:], 1):
         own = own + F.shiftleft(x, size * k)
-    steps = [F.when(x < width, own + F.lit(1 << size * k)) for k, x in enumerate(counts)] + [F.when(x > 0, own - F.lit(1 << size * k)) for k, x in enumerate(counts)]
-    return F.filter(F.array(own, *steps), lambda c: c.isNotNull())
+    up = [F.when(x < w, own + F.lit(1 << size * k)) for k, (x, w) in enumerate(zip(counts, widths))]
+    return [own, *up, *[F.when(x > 0, own - F.lit(1 << size * k)) for k, x in enumerate(counts)]]
 
 
-def close_pairs(nodes: DataFrame, max_bits: int = MAX_BITS, segments: int = 16) -> DataFrame:
+def _cells(fp: Column, segments: int) -> Column:
+    """The keys under which a fingerprint is compared: for each of three blocks, its bits and the grid cells of all others."""
+    room = segments * (-(-43 // segments)).bit_length()
+    low, mid = F.lit((1 << 21) - 1), F.lit((1 << 42) - 1)
+    rest = [F.shiftrightunsigned(fp, 21), fp.bitwiseAND(low).bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, 42), 21)), fp.bitwiseAND(mid)]
+    block = [fp.bitwiseAND(low), F.shiftrightunsigned(fp, 21).bitwiseAND(low), F.shiftrightunsigned(fp, 42)]
+    cells = []
+    for k, (own, others) in enumerate(zip(block, rest)):
+        head = F.shiftleft(own + F.lit(k << 22), room)
+        cells += [head + x for x in _grid(others, 42 if k == 2 else 43, segments)]
+    return F.filter(F.array(*cells), lambda c: c.isNotNull())
+
+
+def close_pairs(nodes: DataFrame, max_bits: int = MAX_BITS, segments: int = 4) -> DataFrame:
     """Pairs (a, b), a < b, of the distinct longs in column fp that differ in at most ``max_bits`` (0 to 2) bits."""
-    if not 0 <= max_bits <= 2 or 64 % segments or segments * (64 // segments).bit_length() > 63:
-        raise ValueError("max_bits is 0 to 2; segments divide 64 and their counts fit in 63 bits")
+    if not 0 <= max_bits <= 2 or not 1 <= segments <= 19:
+        raise ValueError("max_bits is 0 to 2; there are 1 to 19 segments, so that their counts fit beside a block")
     cells = nodes.select("fp", F.explode(_cells(F.col("fp"), segments)).alias("cell"))
     a, b = cells.select(F.col("fp").alias("a"), "cell"), cells.select(F.col("fp").alias("b"), "cell")
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
     return a.hint("merge").join(b, (a["cell"] == b["cell"]) & close).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS, segments: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS, segments: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document.
 
     component_id is the smallest doc_id that links reach. A text of fewer words than a shingle has is
