@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut
+from corpusmill.llm.common import cut, small
 from corpusmill.llm.components import connected_components
 
 SEED = 42
@@ -125,10 +125,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS,
 # differ in about ten. So for a threshold a text gets one fingerprint for each of ``tables``, each over
 # the few shingles that come first in the table's order. Similar texts have the same few in some
 # table (at 0.8 in one of 20 at least with probability 0.9996), so equal fingerprints of a table make
-# candidates, and the whole shingle sets are then compared exactly.
+# candidates. Sketches of the shingle sets drop those that are far from similar, and the whole sets of
+# the others are then compared exactly.
 
-#: Candidates to be removed by broadcast, up to this number; beyond it by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Bytes of an id in a join, and bins of a sketch.
+ID_BYTES, BINS = 64, 256
 #: Of texts with up to so many different shingles the tables take much the same ones, so they miss too much.
 FEW = 40
 
@@ -165,13 +166,42 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """A byte for each of BINS ranges of hashes: of the least hash in it, 0 where there is none. hashes: sorted."""
+    out = np.zeros(BINS, np.uint8)
+    if len(hashes):
+        own = (hashes >> np.uint64(56)).astype(np.int64)  # BINS is 256
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        out[own[first]] = 1 + (hashes[first] % np.uint64(255)).astype(np.uint8)
+    return out
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of sketches (rows) may come from sets of a similarity of ``least``.
+
+    Of the bins that either has, similar sets agree in that share, give or take; pairs five standard
+    deviations below it are told to be unlike.
+    """
+    held = ((a > 0) | (b > 0)).sum(axis=1)
+    same = ((a == b) & (a > 0)).sum(axis=1)
+    return same >= least * held - 5 * np.sqrt(least * (1 - least) * held)
+
+
 def _table_batches(batches, shingle, tables, first):
     for batch in batches:
         sets = [shingle_hashes(x.as_py(), shingle) for x in batch.column(1)]
         values = [table_fingerprints(x, tables, first).view(np.int64) for x in sets]
         flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.int64))
         ends = pa.array(np.arange(len(values) + 1) * tables, pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(ends, flat)], names=["id", "n", "fps"])
+        sketches = pa.array([sketch(x).tobytes() for x in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(ends, flat), sketches], names=["id", "n", "fps", "sketch"])
+
+
+def _likely_batches(batches, least):
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (2, 3))
+        good = pa.array(may_be_similar(x, y, least), pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(good) for k in (0, 1)], names=["a", "b"])
 
 
 def _verify_batches(batches, shingle, least):
@@ -219,46 +249,66 @@ def _unlike_pairs(texts: DataFrame, kind: str, shingle: int, least: float) -> Da
     return x.hint("merge").join(y, (F.col("a_h") == F.col("b_h")) & (F.col("a") > F.col("b")) & (F.col("a_c") != F.col("b_c")) & fits).select("a", "b").distinct()
 
 
-def _links(pairs: DataFrame, two: DataFrame, kind: str, shingle: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
+def _links(pairs: DataFrame, two: DataFrame, rows: DataFrame, kind: str, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts are similar. Only those whose set sizes and sketches allow for it get their texts."""
+    x, y = (rows.select(F.col("id").alias(f"{k}_id"), F.col("n").alias(f"{k}_n"), F.col("sketch").alias(f"{k}_sketch")) for k in "xy")
+    fits = F.least("x_n", "y_n") >= F.greatest("x_n", "y_n") * least - 1e-6
+    told = pairs.join(y, F.col("b") == F.col("y_id")).join(x, F.col("a") == F.col("x_id")).where(fits).select("a", "b", "x_sketch", "y_sketch")
+    likely = cut(told.mapInArrow(partial(_likely_batches, least=least), f"a {kind}, b {kind}").distinct())
     x, y = (two.select(F.col("id").alias(f"{n}_id"), F.col("text").alias(f"{n}_text")) for n in "xy")
-    texts = pairs.join(y, F.col("b") == F.col("y_id")).select("a", "b", "y_text").join(x, F.col("a") == F.col("x_id")).select("a", "b", "x_text", "y_text")
+    texts = likely.join(y, F.col("b") == F.col("y_id")).select("a", "b", "y_text").join(x, F.col("a") == F.col("x_id")).select("a", "b", "x_text", "y_text")
     return texts.mapInArrow(partial(_verify_batches, shingle=shingle, least=least), f"a {kind}, b {kind}")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, tables: int = 20, first: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id of every document that links to another: texts whose shingle sets have a Jaccard similarity of ``least``.
-
-    Within a table's group of equal fingerprints each document is first compared with two others, the
-    one of the smallest doc_id and one that a hash picks. The documents of groups that this leaves in
-    two components or more then go through an exact join of their shingle sets, so every link within
-    a group is found, or its ends are in one component anyway. Texts of few shingles always go through
-    it, whatever their groups. A null doc_id links to nothing; rows of
-    the same doc_id count as one document. An empty table gives an empty table; no other column is read.
-    """
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and text of the rows with an id. Where ids repeat, id is a struct of it and the text's hash, so that each text counts."""
     two = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    if two.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        two = two.select(F.struct("id", F.xxhash64("text").alias("x")).alias("id"), "text").dropDuplicates(["id"])
+    return two
+
+
+def _similar(two: DataFrame, shingle: int, least: float, tables: int, first: int) -> DataFrame:
+    """node and component of every id that links to another."""
     kind = two.schema["id"].dataType.simpleString()
-    rows = cut(two.mapInArrow(partial(_table_batches, shingle=shingle, tables=tables, first=first), f"id {kind}, n long, fps array<long>"))
+    rows = cut(two.mapInArrow(partial(_table_batches, shingle=shingle, tables=tables, first=first), f"id {kind}, n long, fps array<long>, sketch binary"))
     keys = rows.select("id", F.posexplode("fps").alias("t", "fp"))
     picked = F.min_by("id", F.xxhash64("id", "t"))
-    groups = cut(keys.groupBy("t", "fp").agg(F.min("id").alias("low"), picked.alias("pick"), F.count("*").alias("n")).where("n > 1").select(F.col("t").alias("t2"), F.col("fp").alias("fp2"), "low", "pick"))
-    grouped = cut(keys.join(groups, (F.col("t") == F.col("t2")) & (F.col("fp") == F.col("fp2"))).select("id", "t", "fp", "low", "pick"))
+    groups = cut(keys.groupBy("t", "fp").agg(F.min("id").alias("low"), picked.alias("pick"), F.count("*").alias("n")).where("n > 1").select(F.col("t").alias("t2"), F.col("fp").alias("fp2"), "low", "pick", "n"))
+    grouped = cut(keys.join(groups, (F.col("t") == F.col("t2")) & (F.col("fp") == F.col("fp2"))).select("id", "t", "fp", "low", "pick", "n"))
     near = grouped.select("id", F.explode(F.array("low", "pick")).alias("other"))
     pairs = cut(near.where("id <> other").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
-    found = cut(connected_components(_links(pairs, two, kind, shingle, least), "a", "b"))
+    found = cut(connected_components(_links(pairs, two, rows, kind, shingle, least), "a", "b"))
 
-    # what the stars leave, and the short texts
-    of = grouped.join(found, grouped["id"] == found["node"], "left").select("id", "t", "fp", F.coalesce("component", "id").alias("c"))
+    # what the stars leave (in groups of two they leave nothing), and the short texts
+    of = grouped.where("n > 2").join(found, grouped["id"] == found["node"], "left").select("id", "t", "fp", F.coalesce("component", "id").alias("c"))
     of = cut(of)
     split = of.groupBy("t", "fp").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("t", "fp")
     few = rows.where((F.col("n") > 0) & (F.col("n") <= FEW / least)).select("id").distinct()
     few = few.join(found, few["id"] == found["node"], "left").select("id", F.coalesce("component", "id").alias("c"))
     rest = cut(of.join(cut(split), ["t", "fp"], "left_semi").select("id", "c").unionByName(few).distinct())
-    n = rest.count()
-    if n:
-        ids = F.broadcast(rest) if n <= BROADCAST_IDS else rest
-        more = cut(_links(cut(_unlike_pairs(two.join(ids, "id").select("id", "c", "text"), kind, shingle, least)), two, kind, shingle, least))
+    if n := rest.count():
+        ids = small(rest, n, 2 * ID_BYTES)
+        more = cut(_links(cut(_unlike_pairs(two.join(ids, "id").select("id", "c", "text"), kind, shingle, least)), two, rows, kind, shingle, least))
         found = _merged(found, more, rest)
+    return found
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, tables: int = 20, first: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id of every document that links to another: texts whose shingle sets have a Jaccard similarity of ``least``.
+
+    Within a table's group of equal fingerprints each document is first compared with two others, the
+    one of the smallest doc_id and one that a hash picks. The documents of groups that this leaves in
+    two components or more then go through an exact join of their shingle sets, so every link within
+    a group is found, or its ends are in one component anyway. Texts of few shingles always go through
+    it, whatever their groups. A null doc_id links to nothing; rows of the same doc_id with different
+    texts are documents each, with a row each; rows that repeat in both count as one. An empty table
+    gives an empty table; no other column is read.
+    """
+    two = _named(docs, id_col, text_col)
+    found = _similar(two, shingle, least, tables, first)
+    if two.schema["id"].dataType.typeName() == "struct" and docs.schema[id_col].dataType.typeName() != "struct":
+        return found.select(F.col("node.id").alias("doc_id"), F.col("component.id").alias("component_id"))
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
@@ -272,8 +322,15 @@ def _merged(found: DataFrame, more: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` but for those that are similar to others of a smaller doc_id, with all their columns."""
-    told = similar_documents(docs, shingle, least, id_col=id_col, text_col=text_col)
-    gone = cut(told.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    """The rows of ``docs`` but for those that are similar to others of a smaller doc_id, with all their columns.
+
+    Rows of one doc_id are told apart by their texts; rows that repeat in both stay or go together.
+    """
+    two = _named(docs, id_col, text_col)
+    found = _similar(two, shingle, least, 20, 5)
+    gone = cut(found.where("node <> component").select("node").distinct())
+    by_text = two.schema["id"].dataType.typeName() == "struct" and docs.schema[id_col].dataType.typeName() != "struct"
+    keys = {"gone_id": "node.id", "gone_x": "node.x"} if by_text else {"gone_id": "node"}
+    gone = small(gone.select(*[F.col(c).alias(n) for n, c in keys.items()]), gone.count(), ID_BYTES)
+    match = docs[id_col] == gone["gone_id"]
+    return docs.join(gone, match & (F.xxhash64(docs[text_col].cast("string")) == gone["gone_x"]) if by_text else match, "left_anti")
