@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut, small
+from corpusmill.llm.common import cut, portions, small
 from corpusmill.llm.components import connected_components
 
 SEED = 42
@@ -188,7 +188,7 @@ def may_be_similar(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
 
 
 def _table_batches(batches, shingle, tables, first):
-    for batch in batches:
+    for batch in portions(batches, 1):
         sets = [shingle_hashes(x.as_py(), shingle) for x in batch.column(1)]
         values = [table_fingerprints(x, tables, first).view(np.int64) for x in sets]
         flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.int64))
@@ -205,7 +205,7 @@ def _likely_batches(batches, least):
 
 
 def _verify_batches(batches, shingle, least):
-    for batch in batches:
+    for batch in portions(batches, 2):
         a, b, x, y = (batch.column(k) for k in range(4))
         seen: dict[str, np.ndarray] = {}
 
@@ -221,7 +221,7 @@ def _verify_batches(batches, shingle, least):
 
 
 def _set_batches(batches, shingle):
-    for batch in batches:
+    for batch in portions(batches, 2):
         sets = [shingle_hashes(x.as_py(), shingle).view(np.int64) for x in batch.column(2)]
         flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
         sizes = np.array([len(x) for x in sets], np.int64)
@@ -233,19 +233,22 @@ def _unlike_pairs(texts: DataFrame, kind: str, shingle: int, least: float) -> Da
     """Pairs (a, b), a > b, of texts of different components c that may be similar; none that is gets lost.
 
     Sets of a similarity of ``least`` share one of the first n - ceil(least n) + 1 shingles in any
-    common order. The rarest come first, so a passage of many texts makes pairs only of those that
-    hardly have anything else.
+    common order, and the first they share lies so early in both that the needed overlap still fits. The
+    rarest come first, so a passage of many texts makes pairs only of those that hardly have anything
+    else, and edits of one text only of those that share an edit or have few of their own.
     """
     sets = texts.mapInArrow(partial(_set_batches, shingle=shingle), f"id {kind}, c {kind}, n long, hs array<long>")
     flat = cut(sets.withColumn("r", F.monotonically_increasing_id()).select("r", "id", "c", "n", F.explode("hs").alias("h")))
     often = cut(flat.groupBy("h").agg(F.count("*").alias("often")))
     first = F.col("n") - F.ceil(F.col("n") * least - 1e-6) + 1
     place = F.row_number().over(Window.partitionBy("r").orderBy("often", "h"))
-    keys = cut(flat.join(often, "h").withColumn("place", place).where(F.col("place") <= first).select("id", "c", "n", "h"))
+    keys = cut(flat.join(often, "h").withColumn("place", place).where(F.col("place") <= first).select("id", "c", "n", "h", "place"))
     mixed = cut(keys.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("h"))
     keys = cut(keys.join(mixed, "h", "left_semi"))
-    x, y = (keys.select(F.col("id").alias(f"{k}"), F.col("c").alias(f"{k}_c"), F.col("n").alias(f"{k}_n"), F.col("h").alias(f"{k}_h")) for k in "ab")
-    fits = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * least - 1e-6
+    x, y = (keys.select(*[F.col(c).alias(n) for c, n in (("id", k), ("c", f"{k}_c"), ("n", f"{k}_n"), ("h", f"{k}_h"), ("place", f"{k}_at"))]) for k in "ab")
+    # the first shingle that two sets share leaves room for the overlap that they need; later ones needn't
+    room = 1 + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    fits = room >= (F.col("a_n") + F.col("b_n")) * (least / (1 + least)) - 1e-6
     return x.hint("merge").join(y, (F.col("a_h") == F.col("b_h")) & (F.col("a") > F.col("b")) & (F.col("a_c") != F.col("b_c")) & fits).select("a", "b").distinct()
 
 
