@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -129,6 +131,19 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int
     return _fetched(docs, ids, most_bytes)
 
 
+def portions(batches, column: int, most: int = 2_000_000):
+    """The rows of Arrow batches in order, as batches with a bounded number of bytes in one string column, one row at least."""
+    for batch in batches:
+        held = batch.column(column)
+        width = np.int64 if pa.types.is_large_string(held.type) or pa.types.is_large_binary(held.type) else np.int32
+        ends = np.frombuffer(held.buffers()[1], width)[held.offset : held.offset + len(held) + 1] if len(held) else np.zeros(1, width)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def slices(texts: list, chars: int = 500_000):
     """(from, to) of consecutive texts with a bounded number of characters, one text at least."""
     at, held = 0, 0

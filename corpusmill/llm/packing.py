@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut, slices
+from corpusmill.llm.common import cut, portions
 
 CAPACITY = 4096
 END = 1
@@ -44,7 +44,7 @@ class WordTokens:
     a time; any other word goes through the tokenizer itself.
     """
 
-    CACHE = 450_000
+    CACHE = 200_000
     LONGEST = 48
     PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+|\n")
@@ -214,13 +214,11 @@ def word_tokens(path: str) -> WordTokens:
 def _piece_batches(batches, tokenizer, capacity):
     model = word_tokens(tokenizer_path(tokenizer))
     end = END.to_bytes(4, "little")
-    for batch in batches:
+    for batch in portions(batches, 1, 600_000):
         rows = []
-        texts = batch.column(1).to_pylist()
-        for lo, hi in slices(texts, 600_000):
-            for k, ids in zip(range(lo, hi), model.ids(texts[lo:hi])):
-                ids += end
-                rows += [(k, p, at // 4, min(4 * capacity, len(ids) - at) // 4, zlib.crc32(ids[at : at + 4 * capacity])) for p, at in enumerate(range(0, len(ids), 4 * capacity))]
+        for k, ids in enumerate(model.ids(batch.column(1).to_pylist())):
+            ids += end
+            rows += [(k, p, at // 4, min(4 * capacity, len(ids) - at) // 4, zlib.crc32(ids[at : at + 4 * capacity])) for p, at in enumerate(range(0, len(ids), 4 * capacity))]
         k, piece, start, length, crc = zip(*rows) if rows else ((), (), (), (), ())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
