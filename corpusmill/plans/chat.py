@@ -29,9 +29,7 @@ def sessions_by_gap(spark, sf):
 @query("SELECT count(*) AS users, count(*) FILTER (last >= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR) AS active FROM (SELECT user_id, max(ts) AS last FROM events GROUP BY 1)")
 def active_sessions(spark, sf):
     e = _events(spark, sf)
-    now = e.agg(F.max("ts").alias("now"))
-    last = e.groupBy("user_id").agg(F.max("ts").alias("ts")).crossJoin(F.broadcast(now))  # one row
-    return chat.active_sessions(last.where(F.col("now").isNotNull()), "user_id", "ts", F.lit(now.first()[0]), 6 * 3600)
+    return chat.active_sessions(e, "user_id", "ts", None, 6 * 3600)
 
 
 @query(
@@ -68,9 +66,9 @@ def upload_statuses(spark, sf):
     return table(spark, sf, "documents").select("doc_id", chat.upload_status(name, size, d % 5 == 0, d % 5 == 2).alias("status"))
 
 
-@query("SELECT doc_id, CASE WHEN trim(substr(text, 1, 1100)) = '' THEN 'empty' WHEN length(text) > 1000 THEN 'long' END AS refusal FROM (SELECT doc_id, substr(text, 1, 1100) AS text FROM documents)")
+@query("SELECT doc_id, CASE WHEN trim(text) = '' THEN 'empty' WHEN length(text) > 1000 THEN 'long' END AS refusal FROM documents")
 def question_checks(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", chat.question_refusal(F.substring("text", 1, 1100)).alias("refusal"))
+    return table(spark, sf, "documents").select("doc_id", chat.question_refusal(F.col("text")).alias("refusal"))
 
 
 @query("WITH s AS (SELECT sha256(text) AS h, 's' || doc_id AS session_id, doc_id % 97 AS last_used FROM documents WHERE doc_id % 3 = 0), b AS (SELECT h, session_id FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY last_used DESC, session_id DESC) AS r FROM s) WHERE r = 1) SELECT doc_id, b.session_id AS reused_session FROM documents d LEFT JOIN b ON sha256(d.text) = b.h")

@@ -25,10 +25,10 @@ def _vectors(spark, sf):
     return table(spark, sf, "embeddings")
 
 
-@query(f"WITH {_SIM.format(q='vec_id < 5', on='q.vec_id <> c.vec_id')} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, match_id) AS rank FROM sims WHERE sim >= 0.2) WHERE rank <= 10")
+@query(f"WITH {_SIM.format(q='vec_id % 20 = 0', on='q.vec_id <> c.vec_id')} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, match_id) AS rank FROM sims WHERE sim >= 0.2) WHERE rank <= 10")
 def knn_topk(spark, sf):
     v = _vectors(spark, sf)
-    return retrieval.knn(v.where("vec_id < 5"), v, k=10, least=0.2, skip_same=True)
+    return retrieval.knn(v.where("vec_id % 20 = 0"), v, k=10, least=0.2, skip_same=True)
 
 
 @query(f"WITH {_SIM.format(q='vec_id % 20 = 0', on='q.vec_id <> c.vec_id')} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, match_id) AS rank FROM sims WHERE sim >= 0.35) WHERE rank <= 3")
@@ -57,10 +57,9 @@ def label_filtered_knn(spark, sf):
     return _ranked(spark, sf)
 
 
-@query(f"{_RANKED} SELECT query_id AS left_id, count(*) AS n, round(avg(sim), 8) AS mean_sim, max(sim) AS best_sim, string_agg(substr(d.text, 1, 60), chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM ranked JOIN documents d ON d.doc_id = match_id GROUP BY 1 HAVING avg(sim) >= 0.05")
+@query(f"{_RANKED} SELECT query_id AS left_id, count(*) AS n, round(avg(sim), 8) AS mean_sim, max(sim) AS best_sim, string_agg(d.text, chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM ranked JOIN documents d ON d.doc_id = match_id GROUP BY 1 HAVING avg(sim) >= 0.05")
 def context_topk_mean(spark, sf):
-    texts = table(spark, sf, "documents").withColumn("text", F.substring("text", 1, 60))
-    return retrieval.contexts(_ranked(spark, sf), texts, "doc_id", least=0.05).withColumn("mean_sim", F.round("mean_sim", 8))
+    return retrieval.contexts(_ranked(spark, sf), table(spark, sf, "documents"), "doc_id", least=0.05).withColumn("mean_sim", F.round("mean_sim", 8))
 
 
 @query(f"{_RANKED} SELECT count(sim) AS n, round(avg(sim), 5) AS mean, round(median(sim), 5) AS median, min(sim) AS min, max(sim) AS max, round(stddev_pop(sim), 5) AS std FROM ranked")
@@ -116,6 +115,19 @@ def chatml_render(spark, sf):
     return c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda x: x["s"]), "").alias("rendered"))
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(
+    f"""WITH {_QA} SELECT conv_id, turn, {_quoted(pr.RAG_RULES)} || 'Контекст:' || chr(10) || answer || chr(10) || chr(10) || 'Вопрос: ' || translate(question, '<>', '') || chr(10) || chr(10) || 'Ответ:' AS rag,
+    {_quoted(pr.JUDGE_RULES)} || 'Контекст: ' || answer || chr(10) || chr(10) || 'Вопрос: ' || question || chr(10) || chr(10) || 'Ответ ассистента: ' || answer || chr(10) || chr(10) || 'Твой ответ (только "ДА" или "НЕТ"):' AS judge FROM qa"""
+)
+def prompts(spark, sf):
+    q, a = F.col("question"), F.col("answer")
+    return _qa(spark, sf).select("conv_id", "turn", pr.rag_prompt(a, q).alias("rag"), pr.judge_prompt(a, q, a).alias("judge"))
+
+
 @query(f"WITH {_QA} SELECT conv_id, turn, length(question) + length(answer) + {len(pr.RAG_RULES) + len('Контекст:') + len('Вопрос: ') + len('Ответ:') + 5} AS prompt_len, length(question) + 2 * length(answer) + {len(pr.JUDGE_RULES) + len('Контекст: ') + len('Вопрос: ') + len('Ответ ассистента: ') + len('Твой ответ (только ДА или НЕТ):') + 10} AS judge_len FROM qa")
 def prompt_lengths(spark, sf):
     q, a = F.col("question"), F.col("answer")
@@ -130,18 +142,22 @@ def prompt_budget(spark, sf):
     return c.select("conv_id", F.array_join(kept, pr.CONTEXT_JOIN).alias("context"), F.size(kept).cast("long").alias("kept"))
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, sum(length(text)) OVER w AS upto, row_number() OVER w AS k, length(translate(first_value(text) OVER w, '<>', '')) AS q FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    fits AS (SELECT *, upto + 5 * (k - 1) AS n, {len(pr.RAG_RULES) + len("Контекст:") + len("Вопрос: ") + len("Ответ:") + 5} + upto + 5 * (k - 1) + q AS prompt FROM t WHERE upto <= 1400)
+    SELECT c.conv_id, coalesce(max(n) FILTER (k = 1 OR prompt // 2 <= 700), 0) AS context_len FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN fits USING (conv_id) GROUP BY c.conv_id"""
+)
 def trimmed_contexts(spark, sf):
     chunks = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"])
     c = table(spark, sf, "conversations").groupBy("conv_id").agg(chunks.alias("chunks"), F.min_by("text", "turn").alias("question"))
     return c.select("conv_id", F.length(pr.trimmed_context(F.col("chunks"), F.col("question"), 700)).alias("context_len"))
 
 
-@query("SELECT event_id, event_type AS question, CAST(round(value, 2) AS VARCHAR) AS answer FROM events WHERE event_id % 2 = 0")
+@query("SELECT event_id, event_type AS question, CAST(round(value, 2) AS VARCHAR) AS answer FROM events")
 def qa_json(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 2 = 0")
+    e = table(spark, sf, "events")
     made = F.to_json(F.array(F.struct(F.col("event_type").alias("question"), F.round("value", 2).cast("string").alias("answer"))))
-    fenced = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("```json\n"), made, F.lit("\n```"))).otherwise(made)
+    fenced = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("```json\n"), made, F.lit("\n```"))).otherwise(made)
     return e.select("event_id", F.explode(pr.parse_qa(fenced)).alias("p")).select("event_id", "p.*")
 
 
