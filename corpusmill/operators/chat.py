@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +31,12 @@ def sessions_by_gap(events: DataFrame, user_col: str, ts_col: str, timeout: int
     return events.withColumn("starts", starts).select(F.col(user_col).alias("user"), F.col(ts_col).alias("ts"), F.sum("starts").over(running).alias("session"))
 
 
-def active_sessions(events: DataFrame, user_col: str, ts_col: str, now: Column, timeout: int = SESSION_TIMEOUT) -> DataFrame:
-    """One row: users, and those last seen at most ``timeout`` seconds before ``now``."""
+def active_sessions(events: DataFrame, user_col: str, ts_col: str, now: Column | None, timeout: int = SESSION_TIMEOUT) -> DataFrame:
+    """One row: users, and those last seen at most ``timeout`` seconds before ``now`` (None: the last event of all)."""
     last = events.groupBy(user_col).agg(F.max(ts_col).alias("last"))
+    if now is None:
+        last = last.join(F.broadcast(last.agg(F.max("last").alias("now"))))  # one row
+        now = F.col("now")
     return last.agg(F.count("*").alias("users"), F.count_if(F.col("last") >= now - F.expr(f"INTERVAL {timeout} SECONDS")).alias("active"))
 
 
@@ -58,15 +61,30 @@ def accepted(seconds: list[float], limit: float) -> list[bool]:
 
 
 def rate_limited(events: DataFrame, user_col: str, ts_col: str, id_col: str, limit: float = 2.0) -> DataFrame:
-    """user, id, ts, accepted. Only accepted requests move the clock, so this depends on order: one user's events are a group."""
-    rows = events.select(F.col(user_col).alias("user"), F.col(id_col).alias("id"), F.col(ts_col).alias("ts"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", accepted boolean"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "id"], kind="stable")
-        return pdf.assign(accepted=accepted((pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6).tolist(), limit))
+    """user, id, ts, accepted. Only accepted requests move the clock, so a user's events are read in their order.
 
-    return rows.groupBy("user").applyInPandas(run, schema)
+    They come sorted, a batch at a time, with the clock carried over, so memory doesn't grow with a
+    user's events; one task reads a user. A null user is a user of its own.
+    """
+    rows = events.select(F.col(user_col).alias("user"), F.col(id_col).alias("id"), F.col(ts_col).alias("ts"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = rows.repartition("user").sortWithinPartitions("user", "ts", "id").select("user", "id", "ts", micros.alias("at"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in ("user", "id", "ts")) + ", accepted boolean"
+
+    def run(batches):
+        before, last, wait = None, None, round(limit * 1_000_000)
+        for batch in batches:
+            out = []
+            users = batch.column(0).to_pylist()
+            for user, at in zip(users, batch.column(3).to_pylist()):
+                if user != before:
+                    before, last = user, None
+                ok = last is None or (at is not None and at - last >= wait)
+                out.append(ok)
+                last = at if ok else last
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.bool_())], names=["user", "id", "ts", "accepted"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def last_messages(messages: DataFrame, key_col: str, seq_col: str, n: int) -> DataFrame:

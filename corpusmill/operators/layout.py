@@ -119,3 +119,18 @@ def page_text(elements: DataFrame) -> DataFrame:
     shown = F.when(F.col("kind") == "table", F.concat(F.lit("\n[ТАБЛИЦА]\n"), F.col("text"), F.lit("\n[/ТАБЛИЦА]"))).otherwise(F.col("text"))
     rows = elements.select("page", F.struct("y", "kind", shown.alias("s")).alias("e"))
     return rows.groupBy("page").agg(F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["s"]), "\n").alias("text"))
+
+
+def laid_out(words: DataFrame, zones: DataFrame, tables: DataFrame) -> DataFrame:
+    """page, text of whole pages from placed words (page, x0, y0, x1, y1, word), table zones (zone_id and a box) and tables read by another way.
+
+    tables: page, table_id, a box and rows (array<array<string>>). Each zone takes the table that overlaps
+    it most; zones without one are text. Words outside the zones that have a table become lines, and
+    lines and tables follow each other by their upper edges. Pages without any are left out.
+    """
+    paired = matched_tables(zones, tables)
+    own = zones.join(paired.select("page", "zone_id", "table_id"), ["page", "zone_id"])
+    lines = text_lines(words_outside(words, own)).select("page", "y", F.lit("text").alias("kind"), "text")
+    shown = tables.select("page", "table_id", markdown_table(F.col("rows")).alias("text")).where("text <> ''")
+    placed = own.join(shown, ["page", "table_id"]).select("page", F.col("y0").alias("y"), F.lit("table").alias("kind"), "text")
+    return page_text(lines.unionByName(placed))

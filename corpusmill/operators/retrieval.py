@@ -1,8 +1,8 @@
 """Exact vector retrieval: nearest neighbours, similarity joins within a document, and contexts.
 
 ``knn`` scores a bounded set of query vectors, held by every task, against all rows in blocks of
-numpy products, keeps each block's best, and only those are shuffled. ``similarity_join`` pairs rows
-of the same document only, through an equi-join. Ties go to the smaller id everywhere.
+numpy products, keeps each block's best, and only those are shuffled. ``similarity_join`` does the same
+for the rows of one document, block by block. Ties go to the smaller id everywhere.
 """
 
 from __future__ import annotations
@@ -76,30 +76,55 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 10, least: float = 0.6,
     return topk(near, ["query_id"], [F.col("sim").desc(), F.col("match_id")], k)
 
 
-def _pair_cosines(batches):
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = _matrix(batch.column(3)), _matrix(batch.column(4))
-        length = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
-        sim = np.round(np.einsum("ij,ij->i", a, b) / np.where(length > 0, length, 1), DIGITS)
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(sim, mask=length == 0)], names=[*batch.schema.names[:3], "sim"])
+#: Rows of a block of similarity_join, on either side.
+BLOCK = 2048
+
+
+def _blocks(side: DataFrame, other: DataFrame, own: str, theirs: str) -> DataFrame:
+    """The rows of a side with their block (own) within their key, once for each block (theirs) of the other side's rows of that key."""
+    n, m = (d.groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(c)) for d, c in ((side, "n"), (other, "m")))
+    placed = side.join(n.join(m, "k"), "k").withColumn(own, F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    return placed.select("k", "id", "v", own, F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias(theirs))
 
 
 def similarity_join(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, vector_col: str = "embedding", k: int = 3, least: float | None = None) -> DataFrame:
     """key, left_id, right_id, sim, rank: for each left row its k most similar right rows of the same key, by cosine.
 
-    Both sides are joined on the key; a row is never paired with itself if both id columns are one.
+    A key's rows are cut into blocks of about BLOCK on either side; a task multiplies one block by
+    another and passes on a left row's best k of it, so a key with very many rows is many tasks of a
+    bounded size. A row is never paired with itself if both id columns are one. Null keys, ids and
+    vectors and zero vectors match nothing.
     """
-    a = left.select(F.col(key), F.col(left_id).alias("left_id"), F.col(vector_col).alias("va"))
-    b = right.select(F.col(key).alias("key2"), F.col(right_id).alias("right_id"), F.col(vector_col).alias("vb"))
-    both = a.join(b, F.col(key) == F.col("key2"))
-    if left_id == right_id:
-        both = both.where("left_id <> right_id")
-    kinds = {f.name: f.dataType.simpleString() for f in both.schema}
-    scored = both.where("va is not null and vb is not null").select(key, "left_id", "right_id", "va", "vb").mapInArrow(_pair_cosines, f"`{key}` {kinds[key]}, left_id {kinds['left_id']}, right_id {kinds['right_id']}, sim double").where("sim is not null")
-    if least is not None:
-        scored = scored.where(F.col("sim") >= least)
+    same = left_id == right_id
+    a, b = (d.select(F.col(key).alias("k"), F.col(i).alias("id"), F.col(vector_col).alias("v")).where("k is not null and id is not null and v is not null") for d, i in ((left, left_id), (right, right_id)))
+    kinds = {"k": a.schema["k"].dataType.simpleString(), "a": a.schema["id"].dataType.simpleString(), "b": b.schema["id"].dataType.simpleString()}
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        u, v = (_matrix(t["v"].combine_chunks()) if len(t) else np.zeros((0, 0)) for t in (x, y))
+        out = [[], [], []]
+        if len(u) and len(v):
+            ids, own = (t["id"].to_numpy() for t in (x, y))
+            norms = [np.linalg.norm(m, axis=1) for m in (u, v)]
+            u, v = (m / np.where(n > 0, n, 1)[:, None] for m, n in zip((u, v), norms))
+            for at in range(0, len(ids), 256):
+                s = np.round(u[at : at + 256] @ v.T, DIGITS)
+                s[norms[0][at : at + 256] == 0] = s[:, norms[1] == 0] = -np.inf
+                if same:
+                    s[ids[at : at + 256, None] == own[None, :]] = -np.inf
+                if least is not None:
+                    s[s < least] = -np.inf
+                n = min(k, s.shape[1])
+                if n < s.shape[1]:  # all that tie with the last place are passed on
+                    s[s < np.partition(s, -n, axis=1)[:, -n][:, None]] = -np.inf
+                p, q = np.nonzero(s > -np.inf)
+                for column, part in zip(out, (p + at, q, s[p, q])):
+                    column.append(part)
+        p, q, s = (np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, (np.int64, np.int64, float)))
+        one = x["k"].combine_chunks().slice(0, 1) if len(x) else y["k"].combine_chunks().slice(0, 1)
+        return pa.table({key: one.take(pa.array(np.zeros(len(p), np.int64))), "left_id": x["id"].combine_chunks().take(pa.array(p)), "right_id": y["id"].combine_chunks().take(pa.array(q)), "sim": pa.array(s, pa.float64())})
+
+    x, y = _blocks(a, b, "own", "theirs"), _blocks(b, a, "theirs", "own")
+    scored = x.groupBy("k", "own", "theirs").cogroup(y.groupBy("k", "own", "theirs")).applyInArrow(best, f"`{key}` {kinds['k']}, left_id {kinds['a']}, right_id {kinds['b']}, sim double")
     return topk(scored, ["left_id"], [F.col("sim").desc(), F.col("right_id")], k)
 
 

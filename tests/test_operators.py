@@ -215,3 +215,52 @@ def test_profile(spark):
     assert report["by_language"] == {"eng": 2, "rus": 1} and report["by_pages"] == {1: 3}
     assert corpus.profile(found.limit(0)).first()["avg_pages"] == 0.0
     assert [r["original_pdf"] for r in corpus.catalog(docs, "name").collect()] == ["a.pdf", "b.pdf", "c.pdf"]
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_similarity_join_matches_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(retrieval, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 6)).astype(np.float32)
+    x[7] = x[8]  # a tie
+    rows = [(k, k % 3 if k < 45 else 0, v.tolist()) for k, v in enumerate(x)] + [(100, 0, [0.0] * 6), (101, 0, None), (102, None, x[0].tolist()), (103, 9, x[0].tolist())]
+    df = spark.createDataFrame(rows, "id long, doc int, v array<float>").withColumn("k", F.lit(1)).withColumn("n", F.lit(2))
+    got = {(r["left_id"], r["rank"]): (r["doc"], r["right_id"], r["sim"]) for r in retrieval.similarity_join(df, df, "doc", "id", "id", "v", 3, 0.0).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want, doc = {}, {k: d for k, d, _ in rows}
+    for a in range(60):
+        s = np.round(u @ u[a], 6)
+        order = sorted((b for b in range(60) if b != a and doc[a] == doc[b] and s[b] >= 0), key=lambda b: (-s[b], b))[:3]
+        want |= {(a, n): (doc[a], b, s[b]) for n, b in enumerate(order, 1)}
+    assert got == want
+
+
+@pytest.mark.parametrize("values", [[3], [1, 2], [5, 1, 1, None, 9], list(range(1000)), [7] * 500 + [1, 2], []])
+def test_describe(spark, values):
+    got = evaluation.describe(spark.createDataFrame([(None if v is None else float(v),) for v in values], "x double"), "x").first()
+    own = [v for v in values if v is not None]
+    assert got["n"] == len(own)
+    assert (got["median"] is None) if not own else got["median"] == np.median(own) and got["mean"] == pytest.approx(np.mean(own)) and got["std"] == pytest.approx(np.std(own))
+
+
+def test_rate_limit_over_batches(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 2, None]), k, rng.randrange(4000)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "user_id int, event_id int, s int").selectExpr("user_id", "event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, s) AS ts")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        got = {r["id"]: r["accepted"] for r in chat.rate_limited(df, "user_id", "ts", "event_id", 5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for user in (1, 2, None):
+        own = sorted((s, k) for u, k, s in rows if u == user)
+        assert [got[k] for _, k in own] == chat.accepted([s for s, _ in own], 5)
+
+
+def test_pages_from_words_and_tables(spark):
+    box = "page int, x0 double, y0 double, x1 double, y1 double"
+    words = spark.createDataFrame([(1, 0.0, 0.0, 9.0, 5.0, "Title"), (1, 0.0, 20.0, 9.0, 25.0, "in"), (1, 0.0, 50.0, 9.0, 55.0, "end"), (2, 0.0, 0.0, 9.0, 5.0, "two")], f"{box}, word string")
+    zones = spark.createDataFrame([(1, 0.0, 18.0, 50.0, 40.0, 1)], f"{box}, zone_id long")
+    tables = spark.createDataFrame([(1, 0.0, 18.0, 50.0, 39.0, 5, [["a", "b"], ["c", "d"]])], f"{box}, table_id long, rows array<array<string>>")
+    got = {r["page"]: r["text"] for r in layout.laid_out(words, zones, tables).collect()}
+    assert got == {1: "Title\n\n[ТАБЛИЦА]\n| a | b |\n| --- | --- |\n| c | d |\n[/ТАБЛИЦА]\nend", 2: "two"}
