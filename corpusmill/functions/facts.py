@@ -11,9 +11,10 @@ from corpusmill.functions.text import canonical_number, drop_source_notes
 NOT_FOUND = "Информация не найдена"
 YES, NO = "ДА", "НЕТ"
 
+# What is a number and what a date.
 _NUMBER = r"(?U)\b\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?\b"
 _PLAIN_NUMBER = r"(?U)(\b\d+(?:\.\d+)?\b)"
-_DAY_FIRST = r"(?U)(\b\d{1,2}\.\d{1,2}\.(?:\d{4}|\d{2})\b)"
+_DAY_FIRST = r"(?U)(\b\d{1,2}\.\d{1,2}\.\d{2,4}\b)"
 _YEAR_FIRST = r"(?U)(\b\d{4}-\d{1,2}-\d{1,2}\b)"
 
 

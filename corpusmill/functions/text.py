@@ -65,6 +65,12 @@ def clean_lines(c: Column) -> Column:
     return F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, f"[{_INLINE}]+", " ")), "\n")
 
 
+def marked_pages(pages: Column) -> Column:
+    """The text of an array of pages: each under a line with its number, cleaned; blank pages are left out but counted."""
+    numbered = F.transform(pages, lambda p, i: F.when(py_strip(p) != "", F.concat(F.lit(f"{PAGE_MARK} "), (i + 1).cast("string"), F.lit(" ===\n"), clean_extracted(p))))
+    return F.array_join(F.filter(numbered, lambda p: p.isNotNull()), "\n\n")
+
+
 def strip_angle_brackets(c: Column) -> Column:
     return F.translate(c, "<>", "")
 
@@ -169,6 +175,15 @@ def history_time(epoch: Column) -> Column:
 
 
 def canonical_number(c: Column) -> Column:
-    """A number's text with a point: whole values without a fraction, others in their shortest form."""
+    """A number's text with a point: whole values in full without a fraction, others in their shortest form, as 0.5 or 1e-05."""
     d = F.replace(c, F.lit(","), F.lit(".")).try_cast("double")
-    return F.when(d == F.floor(d), F.when(F.abs(d) < 1e18, d.cast("long").cast("string")).otherwise(d.cast("string"))).otherwise(d.cast("string"))
+    # a large double is a long times a power of two, both exact; from 2**114 on the digits after the 17th are zeros
+    power = F.greatest(F.floor(F.log2(F.abs(d))) - 53, F.lit(0))
+    long = lambda x: x.cast("long").cast("decimal(19,0)")
+    large = (long(d / F.pow(F.lit(2.0), power)) * long(F.pow(F.lit(2.0), power))).cast("string")
+    whole = F.when(F.abs(d) < 1e18, d.cast("long").cast("string")).when(F.abs(d) < 2.0**114, large).otherwise(F.regexp_replace(F.format_number(d, 0), ",", ""))
+    short = d.cast("string")  # 1.0E-5 below a thousandth
+    digits = F.regexp_replace(F.regexp_extract(short, r"^-?([0-9.]+)E", 1), r"\.0$", "")
+    tenth = F.regexp_extract(short, r"E-([0-9]+)$", 1)
+    tiny = F.when(tenth == "4", F.concat(F.lit("0.000"), F.replace(digits, F.lit("."), F.lit("")))).otherwise(F.concat(digits, F.lit("e-"), F.lpad(tenth, 2, "0")))
+    return F.when((F.abs(d) >= 1e18) | (d == F.floor(d)), whole).when(tenth != "", tiny).otherwise(short)

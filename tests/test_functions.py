@@ -82,3 +82,15 @@ def test_prompts(spark):
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [3.0, 4.0]), ([1.0, 0.0], [0.0, 2.0]), ([0.0, 0.0], [1.0, 0.0]), (None, [1.0, 0.0])], "a array<float>, b array<float>")
     assert [r[0] for r in df.select(F.round(cosine(F.col("a"), F.col("b")), 6)).collect()] == [1.0, 0.0, None, None]
+
+
+def test_numbers_print_in_full_or_shortest(spark):
+    from pyspark.sql import functions as F
+
+    from corpusmill.functions import facts, text
+
+    said = ["1", "1,5", "1.50", "2e3", "1e20", "100000000000000000000", "1e-5", "0.00012", "0.0001", "0.001", "1.25e-7", "123456.789", "1e18", "3e30", "5e-4", "9007199254740993", "0"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in said], "s string").select(text.canonical_number(F.col("s"))).collect()]
+    assert got == [str(int(v)) if v == int(v) else str(v) for v in (float(x.replace(",", ".")) for x in said)]
+    dates = spark.createDataFrame([("1.2.124 и 1.2.24",)], "s string").select(facts.extract_facts(F.col("s"))).first()[0]
+    assert {"01.02.124", "01.02.2024"} <= set(dates)
