@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -19,9 +21,20 @@ def get_session(app: str = "corpusmill", master: str | None = None, shuffle_part
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.showConsoleProgress": "false",
         "spark.ui.enabled": os.environ.get("CORPUSMILL_UI", "false"),
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def work_path(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that driver and executors share; only a local session may leave that unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.gettempdir()
+    return f"{root.rstrip('/')}/corpusmill/{what}-{uuid.uuid4().hex}"

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from corpusmill.functions.text import PAGE_BREAK, TABLE_CLOSE, TABLE_OPEN, is_pdf
+from corpusmill.functions.text import PAGE_BREAK, TABLE_CLOSE, TABLE_OPEN, is_pdf, marked_pages, py_strip
 from corpusmill.operators.chat import upload_status
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -64,6 +64,41 @@ def checked_uploads(files: DataFrame, name_col: str = "file_name", content_col:
     return files.withColumn("status", status).withColumn("content_hash", F.sha2(c, 256))
 
 
+# How statuses of the conversion log begin.
+CONVERTED, EMPTY, FAILED = "УСПЕХ", "ВНИМАНИЕ", "ОШИБКА"
+
+
+def converted(files: DataFrame, pdf_pages: Callable[[bytes], list[str]], name_col: str = "file_name", content_col: str = "content") -> DataFrame:
+    """file_name, text_name, text, pages and status of each PDF: marked page texts without blank pages, and the log's line.
+
+    ``pdf_pages`` gives a PDF's page texts. A file without text, or that can't be read, has a null
+    text and fails no other.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            pages, errors = [], []
+            for content in pdf["content"]:
+                try:
+                    pages.append(list(pdf_pages(content or b"")))
+                    errors.append(None)
+                except Exception as e:  # any decoder's
+                    pages.append(None)
+                    errors.append(f"{type(e).__name__} {e}")
+            yield pd.DataFrame({"file_name": pdf["file_name"], "found": pages, "error": errors})
+
+    two = files.select(F.col(name_col).alias("file_name"), F.col(content_col).alias("content"))
+    read = two.mapInPandas(run, "file_name string, found array<string>, error string")
+    kept = F.filter("found", lambda p: py_strip(p) != "")
+    name = F.concat(F.regexp_replace("file_name", r"(?<=.)\.[^.]*$", ""), F.lit(".txt"))
+    status = (
+        F.when(F.col("error").isNotNull(), F.concat(F.lit(f"{FAILED}: "), F.col("file_name"), F.lit(" - "), F.col("error")))
+        .when(F.size(kept) == 0, F.concat(F.lit(f"{EMPTY}: "), F.col("file_name")))
+        .otherwise(F.concat(F.lit(f"{CONVERTED}: "), F.col("file_name"), F.lit(" -> "), name, F.lit(" ("), F.size(kept).cast("string"), F.lit(")")))
+    )
+    return read.select("file_name", name.alias("text_name"), F.when(F.size(kept) > 0, marked_pages(F.col("found"))).alias("text"), F.greatest(F.size(kept), F.lit(0)).alias("pages"), status.alias("status"))
+
+
 def extracted(files: DataFrame, pdf_pages: Callable[[bytes], list[str]] | None = None, name_col: str = "file_name", content_col: str = "content") -> DataFrame:
     """file_name, text, status of each file: ``OK``, ``WARN`` for no text, ``ERROR`` with the reason. One bad file fails no other.
 

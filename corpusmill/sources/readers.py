@@ -21,9 +21,9 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def text_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
-    """file_name, content: a row for each file, whole."""
-    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
+def text_files(spark: SparkSession, path: str, pattern: str = "*.txt", deep: bool = False) -> DataFrame:
+    """file_name, content: a row for each file, whole; ``deep`` looks into folders too."""
+    files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", deep).text(path, wholetext=True)
     return files.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("content"))
 
 
@@ -50,10 +50,21 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True,
     return df.orderBy(*(order or df.columns[:1])).limit(limit) if limit is not None else df
 
 
-def csv_table(spark: SparkSession, path: str, schema: str | None = None, needs: tuple[str, ...] = ("doc_id", "question", "generated")) -> DataFrame:
-    """Rows of a CSV file with a header; quoted cells may hold line ends."""
+def json_lines_and_bad(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of JSON lines, and the lines (line) that can't be read as such; blank lines are neither."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.select("value", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("p"))
+    bad = F.col("p").isNull() | F.col("p._bad").isNotNull()
+    return parsed.where(~bad).select("p.*").drop("_bad"), parsed.where(bad).select(F.col("value").alias("line"))
+
+
+def csv_table(spark: SparkSession, path: str, schema: str | None = None, needs: tuple[str, ...] = ("doc_id", "question", "generated"), strict: bool = True) -> DataFrame:
+    """Rows of a CSV file with a header; quoted cells may hold line ends. Without a needed column: SchemaError, or no rows if not ``strict``."""
     read = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    return require((read.schema(schema) if schema else read).csv(path), list(needs))
+    found = (read.schema(schema) if schema else read).csv(path)
+    if not strict and any(c not in found.columns for c in needs):
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in needs))
+    return require(found, list(needs))
 
 
 def collection(spark: SparkSession, path: str, name: str) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Writers: text, JSON, CSV, partitioned splits and vector collections, all as Spark's distributed writes."""
+"""Writers: text, JSON lines and arrays, CSV, partitioned splits and vector collections, all as Spark's distributed writes."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,29 @@ def text(df: DataFrame, path: str, col: str, mode: str = "errorifexists") -> Non
     df.select(F.col(col).cast("string").alias("value")).write.mode(mode).text(path)
 
 
+def text_per_document(df: DataFrame, path: str, name: str, col: str) -> None:
+    """A file for each document, in a folder of its name, with a line end after the text; a document is one row."""
+    df.select(F.col(name).cast("string").alias("name"), F.col(col).cast("string").alias("value")).write.mode("overwrite").partitionBy("name").text(path)
+
+
+def json_array(df: DataFrame, path: str) -> None:
+    """Files that are JSON arrays, one for each partition that has rows: a line a row, with brackets and commas."""
+
+    def lines(batches):
+        first = True
+        for batch in batches:
+            rows = batch.column(0).to_pylist()
+            if rows:
+                out = [("[" if first and k == 0 else ",") + x for k, x in enumerate(rows)]
+                first = False
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        if not first:
+            yield pa.RecordBatch.from_arrays([pa.array(["]"], pa.string())], names=["value"])
+
+    rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
+    rows.mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+
+
 def json_rows(df: DataFrame, path: str, append: bool = False) -> None:
     """JSON lines. append adds to what is there, so a rerun repeats rows; else it is replaced."""
     df.write.mode("append" if append else "overwrite").json(path)
@@ -25,9 +49,10 @@ def csv_rows(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def splits(df: DataFrame, path: str, split_col: str = "split") -> None:
-    """A folder for each split, from one task each and key range, so that splits don't shuffle into one file a task and split."""
-    df.write.mode("overwrite").partitionBy(split_col).json(path)
+def splits(df: DataFrame, path: str, split_col: str = "split", files: int = 16) -> None:
+    """A folder for each split with at most ``files`` files: rows of a split are dealt by hash over so many tasks before they are written."""
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files))
+    df.repartition(F.col(split_col), part).write.mode("overwrite").partitionBy(split_col).json(path)
 
 
 def collection(chunks: DataFrame, path: str, name: str, append: bool = True) -> None:

@@ -31,7 +31,7 @@ def window_counts(events: DataFrame, ts_col: str, size: str, slide: str | None =
 
 
 def rate_limit_stream(events: DataFrame, limit: float, user_col: str = "user_id", ts_col: str = "ts", id_col: str = "event_id") -> DataFrame:
-    """user, id, ts, accepted. A user's state is the last accepted time; it is kept until a session's time without events."""
+    """user, id, ts, accepted. A user's state is the last accepted time; it is kept for a session's time, and the limit, without events."""
     rows = events.select(F.col(user_col).alias("user"), F.col(id_col).alias("id"), F.col(ts_col).cast("timestamp").alias("ts"))
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
 
@@ -47,7 +47,7 @@ def rate_limit_stream(events: DataFrame, limit: float, user_col: str = "user_id"
             out.append(ok)
             last = t if ok else last
         state.update((last,))
-        state.setTimeoutDuration(SESSION_TIMEOUT * 1000)
+        state.setTimeoutDuration(int(max(SESSION_TIMEOUT, limit) * 1000))
         yield pdf.assign(accepted=out)[["user", "id", "ts", "accepted"]]
 
     return rows.groupBy("user").applyInPandasWithState(run, f"user {kind['user']}, id {kind['id']}, ts timestamp, accepted boolean", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
@@ -68,24 +68,30 @@ def next_state(state: int, kind: str, text: str | None) -> tuple[int, str]:
 
 
 def dialogue_stream(messages: DataFrame, timeout: int = SESSION_TIMEOUT, keep: int = STORED) -> DataFrame:
-    """user, seq, action, state, history_size for messages (user, seq, kind, text): the two-state dialogue with its bounded history.
+    """user, seq, action, state, history_size, history for messages (user, seq, kind, text): the two-state dialogue with its bounded history.
 
-    State goes after ``timeout`` seconds without a message; the next one begins anew.
+    The history holds the last ``keep`` entries since the last document: each answered question and a
+    place for its answer, which a generator fills. State goes after ``timeout`` seconds without a
+    message; the next one begins anew.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        now, size = state.get if state.exists else (WAITING_DOCUMENT, 0)
+        now, history = state.get if state.exists else (WAITING_DOCUMENT, [])
+        history = list(history)
         pdf = pd.concat(list(batches)).sort_values("seq", kind="stable")
         rows: list[dict[str, Any]] = []
         for m in pdf.itertuples():
             now, action = next_state(now, m.kind, m.text)
-            size = 0 if action in ("greet", "upload") else min(keep, size + 2) if action == "answer" else size
-            rows.append({"user": m.user, "seq": m.seq, "action": action, "state": now, "history_size": size})
-        state.update((now, size))
+            if action in ("greet", "upload"):
+                history = []
+            elif action == "answer":
+                history = [*history, f"user: {m.text}", "assistant: "][-keep:]
+            rows.append({"user": m.user, "seq": m.seq, "action": action, "state": now, "history_size": len(history), "history": list(history)})
+        state.update((now, history))
         state.setTimeoutDuration(timeout * 1000)
         yield pd.DataFrame(rows)
 
-    return messages.groupBy("user").applyInPandasWithState(run, "user long, seq long, action string, state int, history_size int", "state int, size int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return messages.groupBy("user").applyInPandasWithState(run, "user long, seq long, action string, state int, history_size int, history array<string>", "state int, history array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)

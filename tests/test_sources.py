@@ -80,3 +80,31 @@ def test_listing(spark):
     page = f'<div id="comp_1"><table>{row.format(1)}<tr><a class="contest-link" href="/z"></a></tr>{row.format(2)}</table></div><div id="other"><table>{row.format(3)}</table></div>'
     df = spark.createDataFrame([(1, "https://h.org/l/", page), (2, None, None)], "page_id long, url string, html string")
     assert [tuple(r) for r in html.listing(df).collect()] == [(1, "https://h.org/docs/1.pdf", "1.pdf"), (1, "https://h.org/docs/2.pdf", "2.pdf")]
+
+
+def test_converted(spark):
+    def pages(content):
+        if not content:
+            raise ValueError("damaged")
+        return content.decode().split("\f")
+
+    df = spark.createDataFrame([("a.b.pdf", "один  два\f \fтри".encode()), ("c.pdf", b" "), ("d.pdf", None)], "file_name string, content binary")
+    got = {r["file_name"]: (r["text_name"], r["text"], r["pages"], r["status"]) for r in documents.converted(df, pages).collect()}
+    assert got == {
+        "a.b.pdf": ("a.b.txt", "=== Страница 1 ===\nодин два\n\n=== Страница 3 ===\nтри", 2, "УСПЕХ: a.b.pdf -> a.b.txt (2)"),
+        "c.pdf": ("c.txt", None, 0, "ВНИМАНИЕ: c.pdf"), "d.pdf": ("d.txt", None, 0, "ОШИБКА: d.pdf - ValueError damaged"),
+    }
+
+
+def test_bad_lines_are_kept(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text('{"doc_id": "1", "question": "q"}\n\nbad\n{"doc_id": "0"}\n{"doc_id": \n')
+    good, bad = readers.json_lines_and_bad(spark, f"{tmp_path}/c.jsonl", readers.QA)
+    assert sorted(r["doc_id"] for r in good.collect()) == ["0", "1"] and sorted(r["line"] for r in bad.collect()) == ["bad", '{"doc_id": ']
+
+
+def test_arrays_and_missing_columns(spark, tmp_path):
+    df = spark.createDataFrame([(str(k), "x" if k % 2 else 'say "é"\n') for k in range(7)], "doc_id string, content string").repartition(3)
+    sinks.json_array(df, f"{tmp_path}/a")
+    assert sorted(tuple(r) for r in readers.json_array(spark, f"{tmp_path}/a").select("doc_id", "content").collect()) == sorted(tuple(r) for r in df.collect())
+    sinks.csv_rows(df, f"{tmp_path}/c")
+    assert readers.csv_table(spark, f"{tmp_path}/c", strict=False).collect() == [] and readers.csv_table(spark, f"{tmp_path}/c", needs=("doc_id",), strict=False).count() == 7
