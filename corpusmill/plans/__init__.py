@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.plans import chat, corpus, evaluation, retrieval
+from corpusmill.plans import chat, corpus, evaluation, files, retrieval
 
-QUERIES = corpus.QUERIES | retrieval.QUERIES | evaluation.QUERIES | chat.QUERIES
-ORACLE_SQL = corpus.ORACLE_SQL | retrieval.ORACLE_SQL | evaluation.ORACLE_SQL | chat.ORACLE_SQL
+QUERIES = corpus.QUERIES | retrieval.QUERIES | evaluation.QUERIES | chat.QUERIES | files.QUERIES
+ORACLE_SQL = corpus.ORACLE_SQL | retrieval.ORACLE_SQL | evaluation.ORACLE_SQL | chat.ORACLE_SQL | files.ORACLE_SQL

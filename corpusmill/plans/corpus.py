@@ -103,6 +103,17 @@ def clean_text_len(spark, sf):
     return _spread(spark, sf).select("doc_id", F.length(tx.clean_extracted(F.col("text"))).alias("offline_len"), online.alias("online_len"))
 
 
+_JOINED = r"trim(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '([\pL\pN_]+)- +([\pL\pN_]+)', '\1\2', 'g'))"
+
+
+@query(
+    rf"""SELECT doc_id, {_JOINED} AS offline, coalesce(array_to_string(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT (starts_with(x, '===') AND ends_with(x, '==='))
+    AND NOT regexp_full_match(x, '[\s.,;:!?…–—-]+')), lambda x: regexp_replace(x, '[ \t]+', ' ', 'g')), chr(10)), '') AS online FROM documents"""
+)
+def cleaned_texts(spark, sf):
+    return _spread(spark, sf).select("doc_id", tx.clean_extracted(F.col("text")).alias("offline"), tx.clean_lines(F.col("text")).alias("online"))
+
+
 @query(
     """SELECT doc_id, 'english' AS language, CASE WHEN n > 3000 THEN substr(text, 1, 1000) || chr(10) || '...' || chr(10) || substr(text, n // 2 - 500 + 1, 1000) || chr(10) || '...' || chr(10) || right(text, 1000) ELSE text END AS content,
     n AS original_length, CASE WHEN n > 3000 THEN 3010 ELSE n END AS prepared_length FROM (SELECT doc_id, text, length(text) AS n FROM documents)"""
@@ -231,7 +242,11 @@ def url_file_names(spark, sf):
     return table(spark, sf, "pages").select("page_id", tx.url_file_name(F.col("url")).alias("file_name"))
 
 
-@query()
+@query(
+    """WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages),
+    l AS (SELECT page_id, CASE WHEN regexp_matches(h, '^[a-z]+://') THEN h WHEN starts_with(h, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || h ELSE regexp_extract(url, '^[a-z]+://[^?#]*/') || h END AS link FROM a)
+    SELECT page_id, link, list_extract(string_split(link, '/'), -1) AS file_name FROM l"""
+)
 def listing_links(spark, sf):
     shown = table(spark, sf, "pages").select("page_id", "url", F.concat(F.lit('<div id="comp_1"><table>'), F.array_join(F.transform(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), 1), lambda h: F.concat(F.lit('<tr><td><a class="contest-link" href="/card">x</a><a class="contest-link" href="'), h, F.lit('">y</a></td></tr>'))), ""), F.lit("</table></div>")).alias("html"))
     return html.listing(shown)
@@ -286,12 +301,25 @@ def words_outside_tables(spark, sf):
     return layout.words_outside(words, words.where("word = '1'")).select("page", "x0", "y0", "word")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE w AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y0, x0, word, x1) AS k FROM {_BOXES}),
+    l AS (SELECT page, x0, y0, x1, word, k, y0 AS y FROM w WHERE k = 1
+      UNION ALL SELECT w.page, w.x0, w.y0, w.x1, w.word, w.k, CASE WHEN abs(w.y0 - l.y) > 3 THEN w.y0 ELSE l.y END FROM l JOIN w ON w.page = l.page AND w.k = l.k + 1),
+    g AS (SELECT page, y, x0, k, CASE WHEN x0 - lag(x1) OVER (PARTITION BY page, y ORDER BY x0, k) > 50 THEN chr(9) || ' ' || word ELSE word END AS part FROM l)
+    SELECT page, y, string_agg(part, ' ' ORDER BY x0, k) AS text FROM g GROUP BY page, y"""
+)
 def text_lines(spark, sf):
     return layout.text_lines(_boxes(spark, sf))
 
 
-@query()
+@query(
+    f"""WITH p AS (SELECT z.page, CAST(z.word AS BIGINT) AS zone_id, CAST(t.word AS BIGINT) AS table_id, least(z.x1, t.x1) - greatest(z.x0, t.x0) AS w, least(z.y1, t.y1) - greatest(z.y0, t.y0) AS h
+      FROM {_BOXES} z JOIN {_BOXES} t ON z.page = t.page WHERE z.word IN ('1', '2') AND t.word IN ('3', '4', '5')),
+    i AS (SELECT page, zone_id, table_id, w * h / (300 + 300 - w * h) AS iou FROM p WHERE w > 0 AND h > 0),
+    one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY iou DESC, table_id) AS r FROM i WHERE zone_id = 1) WHERE r = 1 AND iou > 0.4),
+    two AS (SELECT * FROM (SELECT i.*, row_number() OVER (PARTITION BY i.page ORDER BY i.iou DESC, i.table_id) AS r FROM i LEFT JOIN one ON one.page = i.page AND one.table_id = i.table_id WHERE i.zone_id = 2 AND one.page IS NULL) WHERE r = 1 AND iou > 0.4)
+    SELECT page, zone_id, table_id, iou FROM one UNION ALL SELECT page, zone_id, table_id, iou FROM two"""
+)
 def matched_tables(spark, sf):
     boxes = _boxes(spark, sf)
     zones = boxes.where("word IN ('1', '2')").withColumn("zone_id", F.col("word").cast("long"))
