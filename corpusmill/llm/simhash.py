@@ -279,13 +279,19 @@ def _similar(two: DataFrame, shingle: int, least: float, tables: int, first: int
     picked = F.min_by("id", F.xxhash64("id", "t"))
     groups = cut(keys.groupBy("t", "fp").agg(F.min("id").alias("low"), picked.alias("pick"), F.count("*").alias("n")).where("n > 1").select(F.col("t").alias("t2"), F.col("fp").alias("fp2"), "low", "pick", "n"))
     grouped = cut(keys.join(groups, (F.col("t") == F.col("t2")) & (F.col("fp") == F.col("fp2"))).select("id", "t", "fp", "low", "pick", "n"))
-    near = grouped.select("id", F.explode(F.array("low", "pick")).alias("other"))
-    pairs = cut(near.where("id <> other").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
-    found = cut(connected_components(_links(pairs, two, rows, kind, shingle, least), "a", "b"))
+    pair = [F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")]
+    lows = cut(grouped.select("id", F.col("low").alias("other")).where("id <> other").select(*pair).distinct())
+    found = cut(connected_components(_links(lows, two, rows, kind, shingle, least), "a", "b"))
+
+    # of the others that the hash picked, only those in other components
+    of = cut(grouped.join(found, grouped["id"] == found["node"], "left").select("id", F.col("pick").alias("other"), F.coalesce("component", "id").alias("c")).distinct())
+    apart = of.join(found, of["other"] == found["node"], "left").where(F.col("c") != F.coalesce("component", "other")).where("id <> other")
+    more = cut(_links(cut(apart.select(*pair).distinct()), two, rows, kind, shingle, least))
+    if more.limit(1).count():
+        found = _merged(found, more, of.select("id", "c").distinct())
 
     # what the stars leave (in groups of two they leave nothing), and the short texts
-    of = grouped.where("n > 2").join(found, grouped["id"] == found["node"], "left").select("id", "t", "fp", F.coalesce("component", "id").alias("c"))
-    of = cut(of)
+    of = cut(grouped.where("n > 2").join(found, grouped["id"] == found["node"], "left").select("id", "t", "fp", F.coalesce("component", "id").alias("c")))
     split = of.groupBy("t", "fp").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("t", "fp")
     few = rows.where((F.col("n") > 0) & (F.col("n") <= FEW / least)).select("id").distinct()
     few = few.join(found, few["id"] == found["node"], "left").select("id", F.coalesce("component", "id").alias("c"))
@@ -301,7 +307,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, tab
     """doc_id and component_id of every document that links to another: texts whose shingle sets have a Jaccard similarity of ``least``.
 
     Within a table's group of equal fingerprints each document is first compared with two others, the
-    one of the smallest doc_id and one that a hash picks. The documents of groups that this leaves in
+    one of the smallest doc_id and one that a hash picks, unless they are in one component already. The documents of groups that this leaves in
     two components or more then go through an exact join of their shingle sets, so every link within
     a group is found, or its ends are in one component anyway. Texts of few shingles always go through
     it, whatever their groups. A null doc_id links to nothing; rows of the same doc_id with different
@@ -321,7 +327,7 @@ def _merged(found: DataFrame, more: DataFrame, named: DataFrame) -> DataFrame:
     now = cut(connected_components(more.join(a, "a").join(b, "b").select("a_c", "b_c"), "a_c", "b_c")).select(F.col("node").alias("was"), F.col("component").alias("now"))
     alone = now.select(F.col("was").alias("node"), F.col("was").alias("component"))
     every = cut(found.unionByName(alone).distinct())  # a component of found is a node of it; new ones were alone
-    return every.join(now, every["component"] == now["was"], "left").select("node", F.coalesce("now", "component").alias("component"))
+    return cut(every.join(now, every["component"] == now["was"], "left").select("node", F.coalesce("now", "component").alias("component")))
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
