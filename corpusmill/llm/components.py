@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut
+from corpusmill.llm.common import cut, drop_path, shared_path
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -37,9 +37,14 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     u, v = F.col(a), F.col(b)
     now = cut(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(u.isNotNull() & v.isNotNull() & (u != v)).distinct())
-    seen, last = _print(now), None
+    seen, last, path = _print(now), None, None
     while seen[0] and seen != last:  # the steps are known to settle, within the square of the logarithm of the nodes
-        now = cut(_small_star(cut(_large_star(now).distinct())).distinct())
+        # a written table, for a checkpoint keeps its plan's partitionings, and over the rounds those multiply
+        was, path = path, shared_path(now.sparkSession, "edges")
+        _small_star(cut(_large_star(now).distinct())).distinct().write.parquet(path)
+        now = now.sparkSession.read.parquet(path)
         last, seen = seen, _print(now)
+        if was:
+            drop_path(now.sparkSession, was)
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
