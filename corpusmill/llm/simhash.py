@@ -281,14 +281,15 @@ def _similar(two: DataFrame, shingle: int, least: float, tables: int, first: int
     grouped = cut(keys.join(groups, (F.col("t") == F.col("t2")) & (F.col("fp") == F.col("fp2"))).select("id", "t", "fp", "low", "pick", "n"))
     pair = [F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")]
     lows = cut(grouped.select("id", F.col("low").alias("other")).where("id <> other").select(*pair).distinct())
-    found = cut(connected_components(_links(lows, two, rows, kind, shingle, least), "a", "b"))
+    links = cut(_links(lows, two, rows, kind, shingle, least))
+    found = cut(connected_components(links, "a", "b"))
 
     # of the others that the hash picked, only those in other components
     of = cut(grouped.join(found, grouped["id"] == found["node"], "left").select("id", F.col("pick").alias("other"), F.coalesce("component", "id").alias("c")).distinct())
     apart = of.join(found, of["other"] == found["node"], "left").where(F.col("c") != F.coalesce("component", "other")).where("id <> other")
     more = cut(_links(cut(apart.select(*pair).distinct()), two, rows, kind, shingle, least))
     if more.limit(1).count():
-        found = _merged(found, more, of.select("id", "c").distinct())
+        found = cut(connected_components(links.unionByName(more), "a", "b"))
 
     # what the stars leave (in groups of two they leave nothing), and the short texts
     of = cut(grouped.where("n > 2").join(found, grouped["id"] == found["node"], "left").select("id", "t", "fp", F.coalesce("component", "id").alias("c")))
@@ -327,7 +328,7 @@ def _merged(found: DataFrame, more: DataFrame, named: DataFrame) -> DataFrame:
     now = cut(connected_components(more.join(a, "a").join(b, "b").select("a_c", "b_c"), "a_c", "b_c")).select(F.col("node").alias("was"), F.col("component").alias("now"))
     alone = now.select(F.col("was").alias("node"), F.col("was").alias("component"))
     every = cut(found.unionByName(alone).distinct())  # a component of found is a node of it; new ones were alone
-    return cut(every.join(now, every["component"] == now["was"], "left").select("node", F.coalesce("now", "component").alias("component")))
+    return every.join(now, every["component"] == now["was"], "left").select("node", F.coalesce("now", "component").alias("component"))
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
