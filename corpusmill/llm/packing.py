@@ -28,6 +28,8 @@ END = 1
 #: Pieces of a group, and the sequences' worth of tokens that a group has at least, so that groups of tiny pieces are larger.
 GROUP, LEAST_BINS = 4096, 16
 TOKENIZER = "word_bpe_49k.json"
+#: Bytes of text that a task tokenises at once, and words that it remembers: more is faster and takes more memory.
+CHUNK, WORDS = 600_000, 200_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -44,19 +46,18 @@ class WordTokens:
     a time; any other word goes through the tokenizer itself.
     """
 
-    CACHE = 200_000
     LONGEST = 48
     PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+|\n")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = WORDS):
         import json
 
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:  # a file of an installed package, on every machine
             model = json.load(f)["model"]
-        self.whole = Tokenizer.from_file(path)
+        self.whole, self.cache = Tokenizer.from_file(path), cache
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         shown = _byte_characters()
         self.inner = np.array([vocab[c] for c in shown], np.int32)
@@ -176,7 +177,7 @@ class WordTokens:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         split = [self._words((x or "").encode("utf-8", "surrogatepass")) for x in texts]
-        if len(self.young) > self.CACHE:
+        if len(self.young) > self.cache:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         words = set().union(*split)
@@ -202,19 +203,19 @@ def _byte_characters() -> list[str]:
     return [chr(b) if b in set(shown) else chr(next(rest)) for b in range(256)]
 
 
-_TOKENS: dict[str, WordTokens] = {}
+_TOKENS: dict[tuple[str, int], WordTokens] = {}
 
 
-def word_tokens(path: str) -> WordTokens:
-    if path not in _TOKENS:
-        _TOKENS[path] = WordTokens(path)
-    return _TOKENS[path]
+def word_tokens(path: str, cache: int = WORDS) -> WordTokens:
+    if (path, cache) not in _TOKENS:
+        _TOKENS[path, cache] = WordTokens(path, cache)
+    return _TOKENS[path, cache]
 
 
-def _piece_batches(batches, tokenizer, capacity):
-    model = word_tokens(tokenizer_path(tokenizer))
+def _piece_batches(batches, tokenizer, capacity, chunk, cache):
+    model = word_tokens(tokenizer_path(tokenizer), cache)
     end = END.to_bytes(4, "little")
-    for batch in portions(batches, 1, 600_000):
+    for batch in portions(batches, 1, chunk):
         rows = []
         for k, ids in enumerate(model.ids(batch.column(1).to_pylist())):
             ids += end
@@ -223,11 +224,11 @@ def _piece_batches(batches, tokenizer, capacity):
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
-def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, cache: int = WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each text's ids and the end id, cut only if longer than a sequence."""
     two = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = two.schema["doc_id"].dataType.simpleString()
-    return two.mapInArrow(partial(_piece_batches, tokenizer=tokenizer, capacity=capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return two.mapInArrow(partial(_piece_batches, tokenizer=tokenizer, capacity=capacity, chunk=chunk, cache=cache), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -340,11 +341,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds
     return done.select(*names, "sequence_id", "offset", "gap")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", certified: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", certified: bool = False, chunk: int = CHUNK, cache: int = WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document; gap too, if ``certified``.
 
     Null and empty texts are one piece with the end id. Repeated rows are packed each for itself. An
     empty table gives an empty table; no other column is read.
     """
-    packed = pack(token_pieces(docs, tokenizer, capacity, id_col, text_col), capacity)
+    packed = pack(token_pieces(docs, tokenizer, capacity, id_col, text_col, chunk, cache), capacity)
     return packed if certified else packed.drop("gap")

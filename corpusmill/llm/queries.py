@@ -34,7 +34,7 @@ def op3_toxicity(spark, sf_dir):
 
 
 def op4_best_fit_packing(spark, sf_dir):
-    return pack_documents(table(spark, sf_dir, "documents"), certified=True)
+    return pack_documents(table(spark, sf_dir, "documents"), certified=True, chunk=8_000_000, cache=450_000)
 
 
 def op5_mix_sources(spark, sf_dir):
