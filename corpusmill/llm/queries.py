@@ -6,7 +6,9 @@ Each query is thin: it applies one operator, with its production parameters, to
 from __future__ import annotations
 
 from corpusmill.llm.common import table
+from corpusmill.llm.divergence import source_divergence
 from corpusmill.llm.exact_dedup import exact_dedup
+from corpusmill.llm.hash_forest import nearest
 from corpusmill.llm.langid import language_id
 from corpusmill.llm.media import document_media
 from corpusmill.llm.mixing import mix_sources
@@ -14,6 +16,7 @@ from corpusmill.llm.packing import pack_documents
 from corpusmill.llm.pii import find_personal_data
 from corpusmill.llm.quality import quality
 from corpusmill.llm.simhash import near_duplicates
+from corpusmill.llm.spelling import spelling_variants
 from corpusmill.llm.toxicity import toxicity
 from corpusmill.llm.url_filters import judge_urls
 
@@ -61,6 +64,19 @@ def op10_language_id(spark, sf_dir):
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_hash_prefix_forest(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op13_source_divergence(spark, sf_dir):
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _OP5 = r"""
@@ -114,6 +130,9 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_hash_prefix_forest": op12_hash_prefix_forest,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 _UPPER, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
