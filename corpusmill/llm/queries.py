@@ -176,4 +176,55 @@ SELECT p.page_id, j.host, j.path, j.rule, coalesce(j.own, CASE WHEN b.k IS NOT N
 FROM pages p JOIN judged j ON p.url IS NOT DISTINCT FROM j.url LEFT JOIN (SELECT DISTINCT k FROM bad) b ON j.k = b.k
 """
 
-ORACLE_SQL = {"op1_url_filters": _OP1, "op5_mix_sources": _OP5, "op9_exact_dedup": _OP9}
+#: crc32 bit by bit; near words by one place left out or replaced.
+_OP11 = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc, run, count(*) AS k FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all({_LOWER}, '[a-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+hashed AS (
+  SELECT run, k, xor(4294967295::UBIGINT, list_reduce(
+    flatten(list_transform(range(0, length(h), 2), lambda i: [CAST('0x' || substr(h, i + 1, 2) AS UBIGINT), 0, 0, 0, 0, 0, 0, 0])),
+    lambda c, e: xor(xor(c, e) >> 1, 3988292384::UBIGINT * (xor(c, e) & 1)), 4294967295::UBIGINT)) AS crc
+  FROM (SELECT run, k, hex(encode(doc || ':' || run)) AS h FROM runs)),
+told AS (
+  SELECT CASE WHEN crc % 97 = 0 THEN substr(run, 1, CAST(crc % length(run) AS BIGINT)) || substr(run, CAST(crc % length(run) AS BIGINT) + 2) ELSE run END AS word, k FROM hashed),
+vocab AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM told GROUP BY word HAVING sum(k) >= 3 AND length(word) >= 5),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM vocab),
+replaced AS (SELECT word, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS k FROM places),
+deleted AS (SELECT DISTINCT p.word, v.word AS near FROM places p JOIN vocab v ON v.word = substr(p.word, 1, p.i - 1) || substr(p.word, p.i + 1)),
+near AS (
+  SELECT a.word, b.word AS near FROM replaced a JOIN replaced b ON a.k = b.k AND a.word <> b.word
+  UNION SELECT word, near FROM deleted UNION SELECT near, word FROM deleted),
+best AS (
+  SELECT word, count(*) AS n_near, arg_min(near, (-m, near)) AS form, max(m) AS form_n FROM (SELECT x.word, x.near, v.n AS m FROM near x JOIN vocab v ON x.near = v.word) GROUP BY word),
+forms AS (
+  SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.form_n >= 2 * v.n THEN b.form END AS form, CASE WHEN b.form_n >= 2 * v.n THEN b.form_n END AS form_n FROM vocab v LEFT JOIN best b USING (word)),
+steps AS (
+  SELECT word, word AS root, 0 AS step FROM forms
+  UNION ALL SELECT s.word, f.form, s.step + 1 FROM steps s JOIN forms f ON s.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n FROM forms f JOIN (SELECT word, arg_max(root, step) AS root FROM steps GROUP BY word) s USING (word)
+"""
+
+#: Each language's kept terms in every group, their shares, and all pairs of groups.
+_OP13 = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, {_LOWER} AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+counts AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS d FROM (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS lang_n FROM counts GROUP BY ALL HAVING sum(d) >= 30),
+sizes AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+dense AS (
+  SELECT g.lang, g.source, k.term, k.lang_n, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+shares AS (
+  SELECT d.*, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS p, 1 + (1000000000::HUGEINT * (lang_n + 5)) // (lang_total + 5 * v) AS q FROM dense d JOIN sizes USING (lang)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, term AS item, CAST(p - q AS BIGINT) AS value FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+UNION ALL SELECT * FROM (
+  SELECT lang, source, 'term' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM terms) WHERE rank <= 50
+"""
+
+ORACLE_SQL = {"op1_url_filters": _OP1, "op5_mix_sources": _OP5, "op9_exact_dedup": _OP9, "op11_spelling_variants": _OP11, "op13_source_divergence": _OP13}
