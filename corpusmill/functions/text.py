@@ -145,15 +145,19 @@ def slices(c: Column, n: int) -> Column:
     return F.when(F.length(c) > 0, F.transform(starts, lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
-def is_heading(line: Column, patterns: tuple = HEADING_PATTERNS, keywords: tuple = HEADING_KEYWORDS) -> Column:
-    """Whether a line is a heading: numbered, or short and opening with a keyword that stands alone or before a colon, point or digit."""
-    s = py_strip(line)
-    low = F.lower(s)
-    numbered = low.rlike("(?U)^(?:" + "|".join(f"(?:{p})" for p in patterns) + ")")
-    opened = low.rlike(r"(?U)^(?:" + "|".join(keywords) + r")\s*(?:\z|[:.\d])")
-    sentence = s.endswith(".") & ~s.rlike(r"(?U)^\d+\.")
-    long_ = (F.length(s) > 80) & ~s.contains(":")
-    return F.coalesce((s != "") & (F.length(s) <= 120) & (numbered | (~sentence & ~long_ & opened)), F.lit(False))
+def heading_rule(end: str) -> str:
+    """The pattern that the start of a stripped line meets if it is a heading; ``end`` is the dialect's mark for the end of a text.
+
+    All headings have at most 120 characters. They are numbered, or open with a keyword that stands
+    alone or before a colon, point or digit; those don't end in a point and have a colon if over 80 characters.
+    """
+    keyword = rf"(?:{'|'.join(HEADING_KEYWORDS)})\s*(?:{end}|[:.\d])"
+    return rf"(?=.{{1,120}}{end})(?:{'|'.join(HEADING_PATTERNS)}|(?!.*\.{end})(?=.{{1,80}}{end}|[^:]*:){keyword})"
+
+
+def is_heading(line: Column) -> Column:
+    """Whether a line is a heading, by heading_rule()."""
+    return F.coalesce(py_strip(line).rlike(r"(?isU)\A(?:" + heading_rule(r"\z") + ")"), F.lit(False))
 
 
 def is_useful_chunk(c: Column, least: int = 15) -> Column:
