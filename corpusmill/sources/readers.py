@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.sources import large_files
+
 DOCUMENTS = "doc_id string, language string, content string, original_length int, prepared_length int"
 QA = "doc_id string, context_chunk_preview string, page_range string, question string, answer string, metadata struct<source:string,generation_timestamp:double>"
 TRAINING = "doc_id string, context string, question string, answer string, similarity double"
@@ -33,15 +35,36 @@ def binary_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> Data
     return files.select(F.col("_metadata.file_name").alias("file_name"), "length", "content")
 
 
-def json_array(spark: SparkSession, path: str, schema: str = DOCUMENTS, needs: tuple[str, ...] = ("doc_id", "content")) -> DataFrame:
-    """Rows of a JSON array; SchemaError if one lacks a needed field or the text isn't an array of objects."""
-    df = spark.read.schema(f"{schema}, _bad string").json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+def _in_one_task(spark: SparkSession, path: str) -> bool:
+    """Whether no file is larger than what a task reads anyway; larger ones are cut (see large_files)."""
+    most = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return large_files.largest_file(spark, path) <= most
+
+
+def _json_rows(spark: SparkSession, path: str, schema: str, needs: tuple[str, ...]) -> tuple[DataFrame, Column]:
+    """Records of JSON arrays with a column _bad (the text of what can't be read), and whether one lacks a needed field or can't be read."""
+    if _in_one_task(spark, path):
+        df = spark.read.schema(f"{schema}, _bad string").json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+    else:
+        df = large_files.json_records(spark, path, schema, "_bad")
     wrong = F.col("_bad").isNotNull()
     for c in needs:
         wrong = wrong | F.col(c).isNull()
-    if n := df.where(wrong).count():
-        raise SchemaError(f"{n} records lack {' or '.join(needs)} or can't be read")
-    return df.drop("_bad")
+    return df, wrong
+
+
+def json_array(spark: SparkSession, path: str, schema: str = DOCUMENTS, needs: tuple[str, ...] = ("doc_id", "content")) -> DataFrame:
+    """Rows of JSON arrays, of large files by many tasks. A query that meets a record without a needed field, or what isn't an object, fails."""
+    df, wrong = _json_rows(spark, path, schema, needs)
+    said = F.concat(F.lit(f"a record lacks {' or '.join(needs)} or can't be read: "), F.substring(F.coalesce("_bad", F.to_json(F.struct(*[c for c in df.columns if c != "_bad"]))), 1, 200))
+    return df.where(F.when(wrong, F.raise_error(said).cast("boolean")).otherwise(True)).drop("_bad")
+
+
+def json_array_and_bad(spark: SparkSession, path: str, schema: str = DOCUMENTS, needs: tuple[str, ...] = ("doc_id", "content")) -> tuple[DataFrame, DataFrame]:
+    """Rows of JSON arrays, and the text (record) of those that lack a needed field or can't be read."""
+    df, wrong = _json_rows(spark, path, schema, needs)
+    rest = [c for c in df.columns if c != "_bad"]
+    return df.where(~wrong).drop("_bad"), df.where(wrong).select(F.coalesce("_bad", F.to_json(F.struct(*rest))).alias("record"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True, limit: int | None = None, order: list[str] | None = None) -> DataFrame:
@@ -59,14 +82,28 @@ def json_lines_and_bad(spark: SparkSession, path: str, schema: str) -> tuple[Dat
 
 
 def csv_table(spark: SparkSession, path: str, schema: str | None = None, needs: tuple[str, ...] = ("doc_id", "question", "generated"), strict: bool = True) -> DataFrame:
-    """Rows of a CSV file with a header; quoted cells may hold line ends. Without a needed column: SchemaError, or no rows if not ``strict``."""
-    read = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    found = (read.schema(schema) if schema else read).csv(path)
+    """Rows of CSV files with a header; quoted cells may hold line ends. Without a needed column: SchemaError, or no rows if not ``strict``.
+
+    Files that are larger than a task's share are read by many tasks. Without ``schema`` the header names the columns, all strings.
+    """
+    header = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    if not schema:
+        names = header.csv(path).columns
+        if any(c not in names for c in needs):
+            return require(header.csv(path), list(needs)) if strict else spark.createDataFrame([], ", ".join(f"`{c}` string" for c in needs))
+        schema = ", ".join(f"`{c}` string" for c in names)
+    found = header.schema(schema).csv(path) if _in_one_task(spark, path) else large_files.csv_records(spark, path, schema)
     if not strict and any(c not in found.columns for c in needs):
         return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in needs))
     return require(found, list(needs))
 
 
+def csv_and_bad(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of CSV files with a header, and the text (record) of those that don't fit the schema."""
+    found = large_files.csv_records(spark, path, schema, "_bad")
+    return found.where("_bad is null").drop("_bad"), found.where("_bad is not null").select(F.col("_bad").alias("record"))
+
+
 def collection(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A stored collection's chunks and vectors; ValueError if there is none of that name."""
     found = spark.read.parquet(path).where(F.col("collection") == name)

@@ -41,8 +41,10 @@ def test_text_and_binary(spark, tmp_path):
 def test_json(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"doc_id": "1", "content": "x"}, {"doc_id": "2"}]')
     (tmp_path / "b.json").write_text('[{"doc_id": "1", "content": "x"}]')
-    with pytest.raises(readers.SchemaError):
-        readers.json_array(spark, f"{tmp_path}/a.json")
+    with pytest.raises(Exception, match="a record lacks doc_id or content"):
+        readers.json_array(spark, f"{tmp_path}/a.json").select("doc_id").collect()
+    good, bad = readers.json_array_and_bad(spark, f"{tmp_path}/a.json")
+    assert [r["doc_id"] for r in good.collect()] == ["1"] and [r["record"] for r in bad.collect()] == ['{"doc_id":"2"}']
     assert readers.json_array(spark, f"{tmp_path}/b.json").count() == 1
     (tmp_path / "c.jsonl").write_text('{"doc_id": "1", "question": "q"}\n\nbad\n{"doc_id": "0"}\n')
     assert sorted(r["doc_id"] for r in readers.json_lines(spark, f"{tmp_path}/c.jsonl", readers.QA, strict=False).collect()) == ["0", "1"]
