@@ -27,7 +27,7 @@ def topk(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def _matrix(column) -> np.ndarray:
+def matrix(column) -> np.ndarray:
     values = column.flatten() if isinstance(column, pa.ListArray | pa.LargeListArray) else column
     return np.asarray(values.to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
@@ -40,7 +40,7 @@ def _score_block(batches, shared, k, least, skip_same):
         if not batch.num_rows or not len(ids):
             continue
         own = batch.column(0).to_numpy(zero_copy_only=False)
-        x = _matrix(batch.column(1))
+        x = matrix(batch.column(1))
         length = np.linalg.norm(x, axis=1)
         x = x / np.where(length > 0, length, 1)[:, None]
         for at in range(0, len(ids), 512):
@@ -100,7 +100,7 @@ def similarity_join(left: DataFrame, right: DataFrame, key: str, left_id: str, r
     kinds = {"k": a.schema["k"].dataType.simpleString(), "a": a.schema["id"].dataType.simpleString(), "b": b.schema["id"].dataType.simpleString()}
 
     def best(x: pa.Table, y: pa.Table) -> pa.Table:
-        u, v = (_matrix(t["v"].combine_chunks()) if len(t) else np.zeros((0, 0)) for t in (x, y))
+        u, v = (matrix(t["v"].combine_chunks()) if len(t) else np.zeros((0, 0)) for t in (x, y))
         out = [[], [], []]
         if len(u) and len(v):
             ids, own = (t["id"].to_numpy() for t in (x, y))

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from corpusmill.functions import prompts as pr
 from corpusmill.functions import text as tx
 from corpusmill.functions.vectors import cosine
-from corpusmill.operators import evaluation, retrieval
+from corpusmill.operators import evaluation, retrieval, vector_index
 from corpusmill.plans import corpus
 from corpusmill.plans.registry import registry, table
 from corpusmill.providers import HashingEmbedder, embedded
+from corpusmill.session import work_path
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -37,6 +38,27 @@ def knn_threshold(spark, sf):
     return retrieval.knn(v.where("vec_id % 20 = 0"), v, k=3, least=0.35, skip_same=True)
 
 
+_NEAR = f"WITH {_SIM.format(q='vec_id % 20 = 0', on='q.vec_id <> c.vec_id')} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, match_id) AS rank FROM sims) WHERE rank <= 10"
+
+
+def _index(spark, sf):
+    path, v = work_path(spark, "index"), _vectors(spark, sf)
+    return path, vector_index.build_index(v, path), v.where("vec_id % 20 = 0")
+
+
+@query(_NEAR)
+def index_all_cells(spark, sf):
+    path, cells, asked = _index(spark, sf)
+    return vector_index.search_index(spark, path, asked, probes=cells, least=-1.0, skip_same=True)
+
+
+@query()
+def index_probed_cells(spark, sf):
+    """The same with six in ten of the cells read: the test vectors have hardly any structure, see the README."""
+    path, cells, asked = _index(spark, sf)
+    return vector_index.search_index(spark, path, asked, probes=-(-cells * 6 // 10), least=-1.0, skip_same=True)
+
+
 @query(f"WITH {_SIM.format(q='vec_id = 0', on='TRUE')} SELECT match_id, sim FROM sims ORDER BY sim DESC, match_id LIMIT 3")
 def brute_force_top3(spark, sf):
     v = _vectors(spark, sf)
