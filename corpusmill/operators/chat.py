@@ -50,13 +50,18 @@ def remaining_text(start: Column, now: Column, timeout: int = SESSION_TIMEOUT) -
     return F.concat(F.floor(s / 3600).cast("string"), F.lit(":"), F.lpad(F.floor(s % 3600 / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
 
 
+def limit_step(last: float | None, at: float, wait: float) -> tuple[float, bool]:
+    """The last accepted time after a request, and whether it passes."""
+    ok = last is None or at - last >= wait
+    return (at if ok else last), ok
+
+
 def accepted(seconds: list[float], limit: float) -> list[bool]:
     """Which of a user's requests pass: those at least ``limit`` after the last one that passed."""
     out, last = [], None
     for s in seconds:
-        ok = last is None or s - last >= limit
+        last, ok = limit_step(last, s, limit)
         out.append(ok)
-        last = s if ok else last
     return out
 
 
@@ -87,6 +92,79 @@ def rate_limited(events: DataFrame, user_col: str, ts_col: str, id_col: str, lim
     return rows.mapInArrow(run, schema)
 
 
+def session_step(state: tuple | None, at: int, wait: int) -> tuple[tuple, tuple | None]:
+    """(first, last, events) of the session after an event, and of the one that it ends."""
+    if state is None or at - state[1] > wait:
+        return (at, at, 1), state
+    return (state[0], at, state[2] + 1), None
+
+
+WAITING_DOCUMENT, WAITING_QUESTION = 0, 1
+
+
+def next_state(state: int, kind: str, text: str | None) -> tuple[int, str]:
+    """The dialogue's next state and what is done, for a message of a kind: start, document, question or other."""
+    if kind == "start":
+        return WAITING_DOCUMENT, "greet"
+    if kind == "document":
+        return WAITING_QUESTION, "upload"
+    if kind == "question":
+        if state == WAITING_DOCUMENT:
+            return state, "ask_for_document"
+        said = (text or "").strip()
+        return state, "refuse" if not said or len(text or "") > MAX_QUESTION else "answer"
+    return state, "unsupported"
+
+
+#: What dialogues tell of each message, besides its user.
+DIALOGUE = "seq long, action string, state int, history_size int, history array<string>"
+
+
+def dialogue_step(state: tuple | None, at: int, kind: str, text: str | None, wait: int, keep: int) -> tuple[tuple, tuple]:
+    """(state, history, time) after a message, and (action, state, history_size, history). A state idle for over ``wait`` begins anew."""
+    now, history = (state[0], list(state[1])) if state is not None and at - state[2] <= wait else (WAITING_DOCUMENT, [])
+    now, action = next_state(now, kind, text)
+    if action in ("greet", "upload"):
+        history = []
+    elif action == "answer":
+        history = [*history, f"user: {text}", "assistant: "][-keep:]
+    return (now, history, at), (action, now, len(history), list(history))
+
+
+def message_time(messages: DataFrame, ts_col: str) -> Column:
+    """The time of messages; without such a column seq counts as seconds."""
+    return F.col(ts_col).cast("timestamp") if ts_col in messages.columns else F.timestamp_seconds("seq")
+
+
+def dialogues(messages: DataFrame, timeout: int = SESSION_TIMEOUT, keep: int = STORED, ts_col: str = "ts") -> DataFrame:
+    """user, seq, action, state, history_size, history for messages (user, seq, kind, text, and a time): the two-state dialogue with its bounded history.
+
+    The history holds the last ``keep`` entries since the last document: each answered question and a
+    place for its answer, which a generator fills. ``timeout`` seconds after a message the state has gone;
+    a later one begins anew. A user's messages are read in order of time and seq, a batch at a time, by
+    one task; rows without user, time or seq are left out.
+    """
+    rows = messages.select("user", F.unix_micros(message_time(messages, ts_col)).alias("at"), F.col("seq").cast("long").alias("seq"), "kind", "text").where("user is not null and at is not null and seq is not null")
+    rows = rows.repartition("user").sortWithinPartitions("user", "at", "seq")
+    schema = f"user {rows.schema['user'].dataType.simpleString()}, {DIALOGUE}"
+
+    def run(batches):
+        before, state = None, None
+        for batch in batches:
+            for part in (batch.slice(k, 1000) for k in range(0, batch.num_rows, 1000)):
+                out = []
+                for user, at, kind, text in zip(*(part.column(c).to_pylist() for c in (0, 1, 3, 4))):
+                    state = state if user == before else None
+                    before = user
+                    state, told = dialogue_step(state, at, kind, text, timeout * 1_000_000, keep)
+                    out.append(told)
+                action, now, size, history = zip(*out)
+                columns = [part.column(0), part.column(2), pa.array(action), pa.array(now, pa.int32()), pa.array(size, pa.int32()), pa.array(history, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["user", "seq", "action", "state", "history_size", "history"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def last_messages(messages: DataFrame, key_col: str, seq_col: str, n: int) -> DataFrame:
     """The last n rows of each key."""
     w = Window.partitionBy(key_col).orderBy(F.col(seq_col).desc())

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import chat
 from corpusmill.plans.registry import registry, table
+from corpusmill.session import work_path
+from corpusmill.streaming import chat as streams
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -42,6 +44,26 @@ def rate_limit(spark, sf):
     return chat.rate_limited(_events(spark, sf), "user_id", "ts", "event_id", 3600)
 
 
+def _streamed(spark, sf, make):
+    """All events as a stream that ends; its output and checkpoint go to the shared folder."""
+    path, schema = work_path(spark, "stream"), _events(spark, sf).schema
+    out = make(spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*"))  # a pattern, for a file alone is no folder
+    out.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/rows")
+
+
+@query(ORACLE_SQL["rate_limit"])
+def streamed_rate_limit(spark, sf):
+    return _streamed(spark, sf, lambda e: streams.rate_limit_stream(e, 3600)).select("user", "id", F.col("ts").cast("timestamp_ntz").alias("ts"), "accepted")
+
+
+@query(f"WITH {_GAPS} SELECT user_id AS user, min(ts) AS session_start, max(ts) AS last_used, count(*) AS events FROM g GROUP BY user_id, s HAVING max(ts) + INTERVAL 1 HOUR < (SELECT max(ts) FROM events)")
+def streamed_sessions(spark, sf):
+    """Those sessions that are over when the events end."""
+    s = _streamed(spark, sf, lambda e: streams.session_sweep_stream(e, lateness=0))
+    return s.select("user", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "last_used")], "events")
+
+
 @query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 4")
 def history_last_n(spark, sf):
     return chat.last_messages(table(spark, sf, "conversations"), "conv_id", "turn", 4).select("conv_id", "turn", "role", "text")
