@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.prompts import history_line
+from corpusmill.operators.ordered import BLOCK, by_weight, greedy_starts, sorted_blocks
 
 # Limits of the service and its answers to uploads.
 SESSION_TIMEOUT = 3600
@@ -65,19 +66,29 @@ def accepted(seconds: list[float], limit: float) -> list[bool]:
     return out
 
 
-def rate_limited(events: DataFrame, user_col: str, ts_col: str, id_col: str, limit: float = 2.0) -> DataFrame:
-    """user, id, ts, accepted. Only accepted requests move the clock, so a user's events are read in their order.
+def rate_limited(events: DataFrame, user_col: str, ts_col: str, id_col: str, limit: float = 2.0, most: int = BLOCK) -> DataFrame:
+    """user, id, ts, accepted. Only accepted requests move the clock, so what passes depends on all of a user's events before.
 
-    They come sorted, a batch at a time, with the clock carried over, so memory doesn't grow with a
-    user's events; one task reads a user. A null user is a user of its own.
+    Users with up to ``most`` events are read by one task each, sorted, a batch at a time; all others
+    by many (see ordered.greedy_starts). A null user is a user of its own; an event without a time passes.
     """
+    wait = round(limit * 1_000_000)
     rows = events.select(F.col(user_col).alias("user"), F.col(id_col).alias("id"), F.col(ts_col).alias("ts"))
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = rows.repartition("user").sortWithinPartitions("user", "ts", "id").select("user", "id", "ts", micros.alias("at"))
+    rows = rows.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+
+    def many(heavy: DataFrame) -> DataFrame:
+        blocks = sorted_blocks(heavy.withColumn("next", F.col("at") + wait), ["user", "ts", "id"], most)
+        return greedy_starts(blocks, "user", "at", "next", "accepted").select("user", "id", "ts", "accepted")
+
+    return by_weight(rows, "user", lambda light: _limited(light, wait), many, most)
+
+
+def _limited(rows: DataFrame, wait: int) -> DataFrame:
+    rows = rows.repartition("user").sortWithinPartitions("user", "ts", "id").select("user", "id", "ts", "at")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in ("user", "id", "ts")) + ", accepted boolean"
 
     def run(batches):
-        before, last, wait = None, None, round(limit * 1_000_000)
+        before, last = None, None
         for batch in batches:
             out = []
             users = batch.column(0).to_pylist()

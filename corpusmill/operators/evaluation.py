@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.ordered import BLOCK, by_weight, running_sums, sorted_blocks
+from corpusmill.session import cut
+
 ASCII_TOKENS, UNICODE_TOKENS = re.compile(r"[a-z0-9]+"), re.compile(r"\w+")
 
 
@@ -58,10 +61,10 @@ def with_contexts(results: DataFrame, contexts: DataFrame, keys: list[str], seq_
 def describe(df: DataFrame, col: str) -> DataFrame:
     """n, mean, median (linear), min, max and population standard deviation; nulls don't count.
 
-    The median is exact: an approximate quantile sketch gives two values that enclose it closely, and
+    The values are materialised, so their plan runs once. The median is exact: an approximate quantile sketch gives two values that enclose it closely, and
     only the values between them are counted and put in order.
     """
-    v = df.select(F.col(col).alias("v")).where("v is not null")
+    v = cut(df.select(F.col(col).alias("v")).where("v is not null"))
     half = 2e-5  # twice the sketch's error
     told = v.agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.stddev_pop("v").alias("std"), F.percentile_approx("v", [0.5 - half, 0.5 + half], F.lit(100_000)).alias("around"))
     near = v.join(F.broadcast(told.select("n", "around")))  # one row
@@ -101,10 +104,26 @@ def faithfulness(results: DataFrame, col: str = "faithful") -> DataFrame:
     return results.agg(F.count("*").alias("total_examples"), F.count(col).alias("evaluated_examples"), F.count_if(F.col(col) == 1).alias("faithful_count"), F.count_if(F.col(col) == 0).alias("unfaithful_count"), F.coalesce(F.round(F.avg(col), 4), F.lit(0.0)).alias("faithfulness_score"))
 
 
-def running_averages(rows: DataFrame, keys: list[str], seq_col: str, metrics: list[str], every: int = 15) -> DataFrame:
-    """keys, n and each metric's mean over the rows so far of its key, at every ``every``-th row."""
-    so_far = Window.partitionBy(*keys).orderBy(seq_col).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("n", F.count("*").over(so_far))
-    for m in metrics:
-        out = out.withColumn(f"avg_{m}", F.avg(m).over(so_far))
-    return out.where(F.col("n") % every == 0).select(*keys, "n", *[f"avg_{m}" for m in metrics])
+def running_averages(rows: DataFrame, keys: list[str], seq_col: str, metrics: list[str], every: int = 15, most: int = BLOCK) -> DataFrame:
+    """keys, n and each metric's mean over the rows so far of its key, at every ``every``-th row; nulls don't count in means.
+
+    A key of over ``most`` rows is summed up by many tasks (see ordered.running_sums).
+    """
+    wanted = [*keys, "n", *[f"avg_{m}" for m in metrics]]
+
+    def one(light: DataFrame) -> DataFrame:
+        so_far = Window.partitionBy(*keys).orderBy(seq_col).rowsBetween(Window.unboundedPreceding, 0)
+        out = light.withColumn("n", F.count("*").over(so_far)).withColumns({f"avg_{m}": F.avg(m).over(so_far) for m in metrics})
+        return out.where(F.col("n") % every == 0).select(*wanted)
+
+    def many(heavy: DataFrame) -> DataFrame:
+        added = {"__one": F.lit(1)} | {f"__has{k}": F.col(m).isNotNull().cast("int") for k, m in enumerate(metrics)}
+        blocks = sorted_blocks(heavy.withColumns(added), ["__group", seq_col], most)
+        names = [*added, *metrics]
+        sums = running_sums(blocks, "__group", names, [f"__upto{k}" for k in range(len(names))])
+        n = len(metrics)
+        means = {f"avg_{m}": F.when(F.col(f"__upto{k + 1}") > 0, F.col(f"__upto{n + k + 1}") / F.col(f"__upto{k + 1}")) for k, m in enumerate(metrics)}
+        return sums.withColumns({"n": F.col("__upto0").cast("long")} | means).where(F.col("n") % every == 0).select(*wanted)
+
+    keyed = rows.withColumn("__group", F.to_json(F.struct(*[F.col(f"`{k}`") for k in keys])))
+    return by_weight(keyed, "__group", one, many, most)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import PAGE_MARK, py_strip, token_estimate
+from corpusmill.operators.ordered import BLOCK, greedy_starts, running_sums, sorted_blocks
 
 
 def page_array(text: Column, mark: str = PAGE_MARK) -> Column:
@@ -17,23 +18,44 @@ def page_array(text: Column, mark: str = PAGE_MARK) -> Column:
 def greedy_segments(pages: Column, budget: int = 12000) -> Column:
     """array<struct<text, page_range, token_estimate>>: pages in order, a new segment where the next page would exceed the budget.
 
-    A page over the budget is a segment of its own. The carry is folded over the page array in the JVM.
+    A page over the budget is a segment of its own. The sizes are folded to where segments start, in the
+    JVM, and the pages are sliced once.
     """
-    # each page carries its number and size, so the fold never looks back into the array
-    items = F.transform(pages, lambda p, i: F.struct((i + 1).alias("i"), token_estimate(p).alias("n"), p.alias("page")))
-    empty = F.array().cast("array<struct<first:int,last:int,tokens:bigint,parts:array<string>>>")
+    sizes = F.transform(pages, lambda p, i: F.struct((i + 1).alias("i"), token_estimate(p).alias("n")))
+    empty = F.struct(F.lit(0).cast("bigint").alias("open"), F.array().cast("array<struct<first:int,before:bigint>>").alias("starts"), F.lit(0).cast("bigint").alias("all"))
 
     def step(done: Column, item: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        fresh = F.struct(item["i"].alias("first"), item["i"].alias("last"), item["n"].alias("tokens"), F.array(item["page"]).alias("parts"))
-        grown = F.struct(last["first"].alias("first"), item["i"].alias("last"), (last["tokens"] + item["n"]).alias("tokens"), F.concat(last["parts"], F.array(item["page"])).alias("parts"))
-        joins = F.coalesce(last["tokens"] + item["n"] <= budget, F.lit(False))
-        return F.when(joins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
-
-    return F.transform(
-        F.aggregate(items, empty, step),
-        lambda s: F.struct(F.array_join(s["parts"], "\n\n").alias("text"), F.concat_ws("-", s["first"].cast("string"), s["last"].cast("string")).alias("page_range"), s["tokens"].alias("token_estimate")),
-    )
+        joins = (F.size(done["starts"]) > 0) & (done["open"] + item["n"] <= budget)
+        start = F.array(F.struct(item["i"].alias("first"), done["all"].alias("before")))
+        return F.struct(F.when(joins, done["open"] + item["n"]).otherwise(item["n"]).alias("open"), F.when(joins, done["starts"]).otherwise(F.concat(done["starts"], start)).alias("starts"), (done["all"] + item["n"]).alias("all"))
+
+    def cut(done: Column) -> Column:
+        """The segments between one start and the next, or the end of all pages."""
+        ends = F.concat(F.slice(done["starts"], F.lit(2), F.greatest(F.size(done["starts"]) - 1, F.lit(0))), F.array(F.struct((F.size(pages) + 1).alias("first"), done["all"].alias("before"))))
+        return F.zip_with(done["starts"], F.slice(ends, F.lit(1), F.size(done["starts"])), lambda a, b: F.struct(
+            F.array_join(F.slice(pages, a["first"], b["first"] - a["first"]), "\n\n").alias("text"),
+            F.concat_ws("-", a["first"].cast("string"), (b["first"] - 1).cast("string")).alias("page_range"),
+            (b["before"] - a["before"]).alias("token_estimate"),
+        ))
+
+    return F.aggregate(sizes, empty, step, cut)
+
+
+def page_segments(pages: DataFrame, doc_col: str = "doc_id", page_col: str = "page", text_col: str = "text", budget: int = 12000, block_rows: int = BLOCK) -> DataFrame:
+    """doc, segment (from 0), text, page_range, token_estimate for a table of pages: as segments(), where a document's pages are rows.
+
+    However many pages a document has, they are summed up, cut and joined by many tasks: a page starts a
+    segment if the tokens up to its end are over the budget, counted from where the open one began. What
+    is gathered is a segment's text. page_range has the pages' places in their document, from 1. Null texts are empty pages.
+    """
+    rows = pages.select(F.col(doc_col).alias("doc"), F.col(page_col).alias("page"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    blocks = sorted_blocks(rows.withColumn("tokens", token_estimate(F.col("text")).cast("long")).withColumn("one", F.lit(1)), ["doc", "page"], block_rows)
+    upto = running_sums(blocks, "doc", ["tokens", "one"], ["upto", "place"]).withColumns({"upto": F.col("upto").cast("long"), "place": F.col("place").cast("long")})
+    placed = greedy_starts(upto.withColumn("next", F.col("upto") - F.col("tokens") + budget + 1), "doc", "upto", "next", "starts")
+    numbered = running_sums(placed.withColumn("start", F.col("starts").cast("int")), "doc", ["start"], ["segment"])
+    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n\n")
+    found = numbered.groupBy("doc", (F.col("segment").cast("int") - 1).alias("segment")).agg(texts.alias("text"), F.concat_ws("-", F.min("place"), F.max("place")).alias("page_range"), F.sum("tokens").alias("token_estimate"))
+    return found
 
 
 def segments(docs: DataFrame, budget: int = 12000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

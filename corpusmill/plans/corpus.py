@@ -188,6 +188,13 @@ def greedy_segments(spark, sf):
     return cut.select("doc_id", "segment", "s.page_range", "s.token_estimate")
 
 
+@query(ORACLE_SQL["greedy_segments"])
+def page_segments(spark, sf):
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
+    pages = lines.withColumn("text", tx.py_strip(F.col("text"))).where("text <> ''")
+    return segments.page_segments(pages, budget=300).select(F.col("doc").alias("doc_id"), "segment", "page_range", "token_estimate")
+
+
 @query(
     """WITH g AS (SELECT conv_id, row_number() OVER (ORDER BY sha256('42:' || CAST(conv_id AS VARCHAR)), conv_id) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT conv_id FROM conversations))
     SELECT c.conv_id, c.turn, CASE WHEN r <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN r <= floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM conversations c JOIN g USING (conv_id)"""

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "corpusmill", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -38,3 +38,14 @@ def work_path(spark: SparkSession, what: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/corpusmill/{what}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` materialised by checkpoint() in the folder that driver and executors share, without the plan that made it."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="corpusmill-"))
+    return df.checkpoint(eager=True)
