@@ -54,6 +54,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def resident(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by keys and materialised so that Spark knows where its rows lie: what groups or cogroups it by those keys moves none of them.
+
+    Adaptive plans don't tell how they leave their rows, so the last step, a single exchange, is none.
+    """
+    spark, kept = df.sparkSession, cut(df)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(kept.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """``df`` marked for broadcast if ``rows`` rows of about ``row_bytes`` bytes stay within BROADCAST_BYTES; else as it is."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

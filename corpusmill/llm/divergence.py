@@ -1,7 +1,7 @@
 """Divergence of sources: term distributions of all sources of a language, compared by systolic rotation.
 
 A language's sources are dealt into blocks, and its kept terms into slices of a bounded number of terms.
-The vectors of a block and slice stay in the partition they were checkpointed in, while compressed
+The vectors of a block and slice stay in the partition they were checkpointed in (no exchange moves them again), while compressed
 vectors of the other blocks come by in the rounds of a round-robin tournament; a meeting gives the
 distances of all pairs of sources of the two blocks, for both directions. Partial sums of slices are
 then added up. Each partition also keeps the foremost terms of its sources, a heap each.
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut, portions
+from corpusmill.llm.common import cut, drop_path, portions, resident, shared_path
 
 #: Bytes of a term in lower-cased UTF-8: ASCII letters and all beyond ASCII.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
@@ -148,7 +148,9 @@ def _partner(block, round_, blocks):
 
 def _vectors(docs: DataFrame, least: int, slice_terms: int, block_sources: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Groups (lang, source, total, terms, block, blocks); entries (lang, slice, at, source, n, ...), a row for each kept term of a group; and kept terms."""
-    counts = cut(term_counts(docs))
+    spark, path = docs.sparkSession, shared_path(docs.sparkSession, "counts")
+    term_counts(docs).write.parquet(path)
+    counts = spark.read.parquet(path)
     by_term = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= least)
     by_term = cut(by_term.select("lang", "term", "lang_n"))
     size = by_term.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
@@ -157,7 +159,8 @@ def _vectors(docs: DataFrame, least: int, slice_terms: int, block_sources: int)
     # a slice has about as many terms as asked for, whatever the language has
     w = Window.partitionBy("lang", "slice")
     kept = cut(placed.select("lang", "slice", "term", "lang_n", (F.row_number().over(w.orderBy("term")) - 1).alias("at"), F.count("*").over(w).cast("int").alias("width")))
-    own = counts.join(kept.select("lang", "term", "slice", "at", "width"), ["lang", "term"])
+    own = cut(counts.join(kept.select("lang", "term", "slice", "at", "width"), ["lang", "term"]).drop("docs"))
+    drop_path(spark, path)
     totals = own.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
     of_lang = groups.groupBy("lang").agg(F.ceil(F.count("*") / block_sources).alias("b")).select("lang", F.when(F.col("b") > 1, F.col("b") + F.col("b") % 2).otherwise(1).alias("blocks"))
@@ -210,9 +213,8 @@ def source_divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int =
     blank = places.select("lang", "slice", "block", "source", "total", "terms", "width", F.lit(-1).alias("at"), F.lit(0).cast("long").alias("n"))
     real = entries.select("lang", "slice", "block", "source", "total", "terms", "width", "at", "n")
     vectors = real.unionByName(blank).groupBy("lang", "slice", "source").applyInArrow(_compressed, VECTOR)
-    # a fixed number of partitions, so that guests meet the residents where they lie
-    home = cut(vectors.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lang", "slice", "block"))
     keys = ["lang", "slice", "block"]
+    home = resident(vectors, *keys)
     pairs = [home.groupBy(*keys).applyInArrow(_at_home, "lang string, source string, item string, value long")]
     most = groups.agg(F.max("blocks")).first()[0] or 1
     of_lang = groups.select("lang", "blocks").distinct()
