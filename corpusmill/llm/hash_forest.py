@@ -6,9 +6,9 @@ time, until the prefixes of that length hold as many rows as asked for. All rows
 scored exactly.
 
 On Spark a tree's sorted array is cut at its first bits into buckets, and a bucket of too many rows
-into blocks, each a sorted array of its own. Strings and vectors are dealt to blocks once and stay there:
-queries visit them to count what shares how long a prefix, and again, with the length that the counts of
-all trees give, to be scored. A query for which the buckets hold too little visits the buckets of
+into blocks, each a sorted array of its own. Queries visit the blocks' strings, without vectors, to count
+what shares how long a prefix; and the vectors too, with the length that the counts of all trees give, to
+be scored. A query for which the buckets hold too little visits the buckets of
 shorter prefixes, up to the whole table. Rows of equal vectors are searched as one.
 
 Largest inner products become smallest angles by one more component, which brings all rows to the length
@@ -163,8 +163,6 @@ def forest_search(classes: DataFrame, queries: DataFrame, k: int, trees: int = T
     The vectors of each side are distinct, finite, not zero and of one length.
     """
     spark = classes.sparkSession
-    # a fixed number, so that all that is dealt by KEYS meets the index where it lies
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n, longest = classes.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double")))).first()
     empty = spark.createDataFrame([], "query long, id long, score double")
     if not n:
@@ -183,7 +181,7 @@ def forest_search(classes: DataFrame, queries: DataFrame, k: int, trees: int = T
             placed = placed.join(wanted.select("tree", "bucket").distinct(), ["tree", "bucket"], "left_semi")
         sizes = cut(placed.groupBy("tree", "bucket").agg(F.ceil(F.count("*") / (4 * bucket)).cast("int").alias("blocks")))
         block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id"), F.col("blocks"))).otherwise(0).cast("int")
-        index = cut(placed.join(sizes, ["tree", "bucket"]).withColumn("block", block).drop("blocks").repartition(parts, *KEYS))
+        index = cut(placed.join(sizes, ["tree", "bucket"]).withColumn("block", block).drop("blocks"))
         visits = wanted.join(sizes, ["tree", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
         slim = visits.select(*KEYS, "hash", "id")
         counts = index.select(*KEYS, "hash").groupBy(*KEYS).cogroup(slim.groupBy(*KEYS)).applyInArrow(_count(top, bits), "query long, length int, n long")
