@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut, drop_path, portions, resident, shared_path
+from corpusmill.llm.common import cut, drop_path, portions, resident, shared_path, small
 
 #: Bytes of a term in lower-cased UTF-8: ASCII letters and all beyond ASCII.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
@@ -153,7 +153,8 @@ def _vectors(docs: DataFrame, least: int, slice_terms: int, block_sources: int)
     counts = spark.read.parquet(path)
     by_term = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= least)
     by_term = cut(by_term.select("lang", "term", "lang_n"))
-    size = by_term.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
+    size = cut(by_term.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total")))
+    size = small(size, size.count(), 100)  # else the join would deal out all terms of a language to one task
     slices = F.ceil(F.col("terms") / slice_terms).cast("int")
     placed = by_term.join(size, "lang").withColumn("slice", F.pmod(F.xxhash64("term"), slices).cast("int"))
     # a slice has about as many terms as asked for, whatever the language has
