@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 from corpusmill.functions.vectors import iou
+from corpusmill.operators.overlap import BOX, overlaps
 
 # Tolerances of the layout.
 Y_TOLERANCE, TAB_GAP, LEAST_IOU = 3.0, 50.0, 0.4
@@ -43,10 +44,15 @@ def markdown_table(rows: Column, drop_empty: bool = True) -> Column:
 
 
 def words_outside(words: DataFrame, zones: DataFrame, page_col: str = "page") -> DataFrame:
-    """Words (page, x0, y0, x1, y1, ...) that overlap no zone (page, x0, y0, x1, y1): an anti-join on the page and the rectangles."""
-    z = zones.select(F.col(page_col).alias("zp"), *[F.col(c).alias(f"z{c}") for c in ("x0", "y0", "x1", "y1")])
-    over = (F.col(page_col) == F.col("zp")) & (F.col("x0") < F.col("zx1")) & (F.col("x1") > F.col("zx0")) & (F.col("y0") < F.col("zy1")) & (F.col("y1") > F.col("zy0"))
-    return words.join(z, over, "left_anti")
+    """Words (page, x0, y0, x1, y1, ...) that overlap no zone (page, x0, y0, x1, y1): an anti-join with the boxes that overlap one.
+
+    Pages of many boxes are cut into tiles (see overlap). Words without a page or a whole box overlap nothing.
+    """
+    over = overlaps(words, zones, page_col).select(F.col("page").alias("__page"), *[F.col(f"a{c}").alias(f"__{c}") for c in BOX]).distinct()
+    same = F.col(page_col) == F.col("__page")
+    for c in BOX:
+        same = same & (F.col(c).cast("double") == F.col(f"__{c}"))
+    return words.join(over, same, "left_anti")
 
 
 def _lines(words: list[dict]) -> list[dict]:
@@ -105,11 +111,14 @@ def text_lines(words: DataFrame, page_col: str = "page") -> DataFrame:
 def matched_tables(zones: DataFrame, tables: DataFrame, page_col: str = "page", least: float = LEAST_IOU) -> DataFrame:
     """page, zone_id, table_id, iou: each zone, in order, takes the free table of the page with the greatest overlap, if over ``least``.
 
-    Overlaps come from an equi-join on the page; the choice among a page's few overlaps is made together. Ids are longs.
+    Pages of many boxes are cut into tiles to find overlaps (see overlap); the choice among a page's pairs
+    that are over ``least`` is made together. Ids are longs.
     """
-    box = lambda n: F.struct(*[F.col(f"{n}.{c}") for c in ("x0", "y0", "x1", "y1")])
-    both = zones.alias("z").join(tables.alias("t"), F.col(f"z.{page_col}") == F.col(f"t.{page_col}"))
-    pairs = both.select(F.col(f"z.{page_col}").alias("page"), F.col("z.zone_id"), F.col("t.table_id"), iou(box("z"), box("t")).alias("iou")).where("iou > 0")
+    box = lambda n: F.struct(*[F.col(f"{n}{c}").alias(c) for c in BOX])
+    named = lambda d, n, i: d.select(F.col(page_col).alias("page"), F.col(i), *[F.col(c).cast("double").alias(f"{n}{c}") for c in BOX])
+    pairs = overlaps(zones, tables, page_col).select("page", *[F.col(f"{n}{c}") for n in "ab" for c in BOX], iou(box("a"), box("b")).alias("iou")).where(F.col("iou") > least)
+    for d, n, i in ((zones, "a", "zone_id"), (tables, "b", "table_id")):
+        pairs = pairs.join(named(d, n, i), ["page", *[f"{n}{c}" for c in BOX]])
     held = F.sort_array(F.collect_list(F.struct("zone_id", "table_id", "iou"))).alias("held")
     return _folded(pairs.groupBy("page").agg(held), partial(_paired, least=least), "array<struct<zone_id:bigint,table_id:bigint,iou:double>>")
 
