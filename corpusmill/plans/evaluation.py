@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import facts
 from corpusmill.functions import text as tx
-from corpusmill.operators import evaluation
+from corpusmill.operators import bertscore, evaluation
 from corpusmill.plans.registry import registry, table
 from corpusmill.plans.retrieval import _QA, _qa
 
@@ -102,3 +102,25 @@ def cleaned_responses(spark, sf):
     q = _qa(spark, sf)
     said = F.concat(F.lit("<think>\n"), F.col("question"), F.lit("\n</think>\n"), F.col("answer"), F.lit("</think> "))
     return q.select("conv_id", "turn", tx.clean_response(said).alias("cleaned"))
+
+
+_SENTENCES = "t AS (SELECT vec_id // 6 AS s, vec_id % 6 AS p, 'w' || label AS token, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+
+
+@query(
+    f"""WITH {_SENTENCES}, refs AS (SELECT * FROM t WHERE s % 2 = 1), m AS (SELECT count(DISTINCT s) AS m FROM refs),
+    idf AS (SELECT token, ln((any_value(m) + 1) / (count(DISTINCT s) + 1)) AS w FROM refs, m GROUP BY token),
+    cos AS (SELECT g.s, g.p AS gp, r.p AS rp, g.token AS gt, r.token AS rt, list_dot_product(g.v, r.v) / (sqrt(list_dot_product(g.v, g.v)) * sqrt(list_dot_product(r.v, r.v))) AS c FROM t g JOIN refs r ON r.s = g.s + 1 WHERE g.s % 2 = 0),
+    p AS (SELECT s, sum(c * w) / sum(w) AS precision FROM (SELECT s, gp, max(c) AS c, coalesce(any_value(w), ln((SELECT m FROM m) + 1)) AS w FROM cos LEFT JOIN idf ON gt = token GROUP BY s, gp) GROUP BY s),
+    r AS (SELECT s, sum(c * w) / sum(w) AS recall FROM (SELECT s, rp, max(c) AS c, any_value(w) AS w FROM cos JOIN idf ON rt = token GROUP BY s, rp) GROUP BY s)
+    SELECT s AS id, round(precision, 8) AS precision, round(recall, 8) AS recall, round(2 * precision * recall / (precision + recall), 8) AS f1 FROM p JOIN r USING (s)"""
+)
+def bert_scores(spark, sf):
+    """Six vectors in a row as a text's tokens, named by their labels; every second text is the reference of the one before."""
+    v = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 6).alias("s"), F.struct((F.col("vec_id") % 6).alias("p"), F.concat(F.lit("w"), "label").alias("token"), F.col("embedding").alias("v")).alias("t"))
+    texts = v.groupBy("s").agg(F.sort_array(F.collect_list("t")).alias("t")).select("s", F.col("t.token").alias("tokens"), F.col("t.v").alias("vectors"))
+    named = lambda d, n: d.select((F.col("s") - F.col("s") % 2).alias("id"), F.col("tokens").alias(f"{n}_tokens"), F.col("vectors").alias(f"{n}_vectors"))
+    references = texts.where("s % 2 = 1")
+    pairs = named(texts.where("s % 2 = 0"), "generated").join(named(references, "reference"), "id")
+    found = bertscore.bert_score(pairs, idf=bertscore.token_idf(references))
+    return found.select("id", *[F.round(c, 8).alias(c) for c in ("precision", "recall", "f1")])

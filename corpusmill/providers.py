@@ -9,7 +9,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.facts import verdict
@@ -20,6 +20,11 @@ class Embedder(Protocol):
         """A row for each text; rows have unit length."""
 
 
+class TokenEmbedder(Protocol):
+    def embed_tokens(self, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
+        """For each text its tokens and a row for each of them."""
+
+
 class Generator(Protocol):
     def generate(self, prompt: str) -> str: ...
 
@@ -40,6 +45,29 @@ class HashingEmbedder:
         return out / np.where(length > 0, length, 1)
 
 
+class HashingTokenEmbedder:
+    """A deterministic stand-in: lower-cased words; a word's vector is its hashed signs, and a little of its neighbours'."""
+
+    def __init__(self, size: int = 32):
+        self.size = size
+
+    def _word(self, word: str) -> np.ndarray:
+        seed = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        return np.random.default_rng(seed).choice([-1.0, 1.0], self.size)
+
+    def embed_tokens(self, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
+        out = []
+        for text in texts:
+            words = (text or "").lower().split()
+            x = np.array([self._word(w) for w in words]).reshape(len(words), self.size)
+            around = np.zeros_like(x)
+            if len(words) > 1:
+                around[1:] += x[:-1]
+                around[:-1] += x[1:]
+            out.append((words, x + 0.25 * around))
+        return out
+
+
 class EchoGenerator:
     """A deterministic stand-in: the prompt's last line."""
 
@@ -59,6 +87,19 @@ def embedded(df: DataFrame, embedder: Embedder, text_col: str = "text", out_col:
     return df.withColumn(out_col, run(text_col))
 
 
+def token_vectors(df: DataFrame, embedder: TokenEmbedder, text_col: str, out: str, batch: int = 32) -> DataFrame:
+    """The rows with the tokens (``out``_tokens) and vectors (``out``_vectors) of their texts, embedded in batches; null texts have none."""
+
+    @F.pandas_udf("struct<tokens:array<string>,vectors:array<array<double>>>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        values = texts.fillna("").tolist()
+        found = [x for at in range(0, len(values), batch) for x in embedder.embed_tokens(values[at : at + batch])]
+        return pd.DataFrame({"tokens": [t for t, _ in found], "vectors": [list(v) for _, v in found]})
+
+    both = df.withColumn("__both", run(text_col))
+    return both.withColumns({f"{out}_{c}": F.col(f"__both.{c}") for c in ("tokens", "vectors")}).drop("__both")
+
+
 def with_retries(call: Callable[[], str | None], tries: int = 3, delay: Callable[[int], float] = lambda n: 2.0**n, sleep: Callable[[float], None] = time.sleep) -> str | None:
     """The first result that isn't None; after an error or None it waits delay(n) for the n-th try (from 0). None if all fail."""
     for n in range(tries):
@@ -98,8 +139,3 @@ def generated(df: DataFrame, generator: Generator, prompt_col: str = "prompt", o
 def judged(df: DataFrame, judge: Generator, prompt_col: str = "prompt", out_col: str = "faithful") -> DataFrame:
     """The rows with 1, 0 or null from the judge's words."""
     return generated(df, judge, prompt_col, "__said").withColumn(out_col, verdict(F.col("__said"))).drop("__said")
-
-
-def best_metric(score: Column | None) -> Column:
-    """A metric that only an outside model gives: its column, or null where it isn't computed."""
-    return F.lit(None).cast("double") if score is None else score
