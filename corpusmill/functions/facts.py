@@ -12,10 +12,10 @@ NOT_FOUND = "Информация не найдена"
 YES, NO = "ДА", "НЕТ"
 
 # What is a number and what a date.
-_NUMBER = r"(?U)\b\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?\b"
+NUMBER = r"\b\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?\b"
 _PLAIN_NUMBER = r"(?U)(\b\d+(?:\.\d+)?\b)"
-_DAY_FIRST = r"(?U)(\b\d{1,2}\.\d{1,2}\.\d{2,4}\b)"
-_YEAR_FIRST = r"(?U)(\b\d{4}-\d{1,2}-\d{1,2}\b)"
+DAY_FIRST = r"(\b\d{1,2}\.\d{1,2}\.\d{2,4}\b)"
+YEAR_FIRST = r"(\b\d{4}-\d{1,2}-\d{1,2}\b)"
 
 
 def _two(c: Column) -> Column:
@@ -36,8 +36,8 @@ def _year_first(c: Column) -> Column:
 def extract_facts(c: Column) -> Column:
     """The set of a text's numbers (canonical) and dates (dd.mm.yyyy). A date's parts are numbers too. Null has none."""
     c = F.coalesce(c, F.lit(""))
-    numbers = F.filter(F.transform(F.regexp_extract_all(c, F.lit(f"({_NUMBER})"), 1), canonical_number), lambda x: x.isNotNull())
-    dates = F.concat(F.transform(F.regexp_extract_all(c, F.lit(_DAY_FIRST), 1), _day_first), F.transform(F.regexp_extract_all(c, F.lit(_YEAR_FIRST), 1), _year_first))
+    numbers = F.filter(F.transform(F.regexp_extract_all(c, F.lit(f"(?U)({NUMBER})"), 1), canonical_number), lambda x: x.isNotNull())
+    dates = F.concat(F.transform(F.regexp_extract_all(c, F.lit(f"(?U){DAY_FIRST}"), 1), _day_first), F.transform(F.regexp_extract_all(c, F.lit(f"(?U){YEAR_FIRST}"), 1), _year_first))
     return F.array_distinct(F.concat(numbers, dates))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions import tables
 from corpusmill.functions import text as tx
 from corpusmill.operators import chunking, corpus, layout, segments, splitting
 from corpusmill.plans.registry import registry, table
@@ -332,3 +333,17 @@ def matched_tables(spark, sf):
     zones = boxes.where("word IN ('1', '2')").withColumn("zone_id", F.col("word").cast("long"))
     tables = boxes.where("word IN ('3', '4', '5')").withColumn("table_id", F.col("word").cast("long"))
     return layout.matched_tables(zones, tables)
+
+
+@query(ORACLE_SQL["greedy_segments"])
+def sql_segments(spark, sf):
+    """Lines as pages, by the table function: the separator is the page mark."""
+    tables.register(spark)
+    made = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(tx.PAGE_MARK)).alias("text"))
+    return spark.sql("SELECT doc_id, s.segment, s.page_range, s.token_estimate FROM {made}, LATERAL text_segments(text, 300) AS s", made=made)
+
+
+@query()
+def sql_chunks(spark, sf):
+    tables.register(spark)
+    return spark.sql("SELECT doc_id, c.chunk_id, c.chunk FROM {made}, LATERAL text_chunks(text) AS c", made=table(spark, sf, "documents"))
