@@ -91,7 +91,18 @@ def length_stats(spark, sf):
     return d.withColumn("std", F.round("std", 6))
 
 
-@query()
+#: The longest common subsequence by rows: a cell is the greatest of those before it, of the one above, and, where words match, one more than the one above and before.
+_ROUGE = rf"""WITH RECURSIVE {_QA},
+words AS (SELECT conv_id, turn, kind, regexp_extract_all(lower(answer), p) AS a, regexp_extract_all(lower(question), p) AS b FROM qa, (VALUES ('ascii', '[a-z0-9]+'), ('unicode', '[\pL\pN_]+')) k(kind, p)),
+cells AS (
+  SELECT conv_id, turn, kind, a, b, 0 AS i, list_transform(b, lambda x: 0) AS above FROM words
+  UNION ALL SELECT conv_id, turn, kind, a, b, i + 1, list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN b[k] = a[i + 1] THEN coalesce(above[k - 1], 0) + 1 ELSE above[k] END)))
+  FROM cells WHERE i < len(a)),
+scores AS (SELECT conv_id, turn, kind, CASE WHEN coalesce(list_max(above), 0) = 0 THEN 0.0::DOUBLE ELSE round(2.0::DOUBLE * list_max(above) / (len(a) + len(b)), 9) END AS f FROM cells WHERE i = len(a))
+SELECT conv_id, turn, max(f) FILTER (kind = 'ascii') AS rouge_l, max(f) FILTER (kind = 'unicode') AS rouge_l_unicode FROM scores GROUP BY conv_id, turn"""
+
+
+@query(_ROUGE)
 def rouge_l(spark, sf):
     q = _qa(spark, sf)
     return q.select("conv_id", "turn", F.round(evaluation.rouge_l(F.col("answer"), F.col("question")), 9).alias("rouge_l"), F.round(evaluation.rouge_l(F.col("answer"), F.col("question"), True), 9).alias("rouge_l_unicode"))
