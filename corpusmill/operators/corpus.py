@@ -97,10 +97,11 @@ def repeated_lines(pages: DataFrame, doc_col: str, page_col: str, text_col: str
 
 def without_repeated_lines(pages: DataFrame, doc_col: str, page_col: str, text_col: str = "text", ratio: float = 0.9, least_pages: int = 6) -> DataFrame:
     """The pages with their headers and footers removed; the lines to remove are gathered a document."""
-    gone = repeated_lines(pages, doc_col, page_col, text_col, ratio, least_pages).groupBy("doc").agg(F.collect_set("line").alias("gone"))
-    both = pages.join(gone, pages[doc_col] == gone["doc"], "left")
-    kept = F.filter(tx.split_lines(F.col(text_col)), lambda x: ~F.coalesce(F.array_contains(F.col("gone"), F.lower(tx.py_strip(x))), F.lit(False)))
-    return both.withColumn(text_col, F.array_join(kept, "\n")).drop("doc", "gone")
+    often = repeated_lines(pages, doc_col, page_col, text_col, ratio, least_pages)
+    gone = often.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line").alias("__gone"))  # no more than a page has lines
+    both = pages.join(gone, F.col(doc_col) == F.col("__doc"), "left")
+    kept = F.filter(tx.split_lines(F.col(text_col)), lambda x: ~F.coalesce(F.array_contains(F.col("__gone"), F.lower(tx.py_strip(x))), F.lit(False)))
+    return both.withColumn(text_col, F.array_join(kept, "\n")).drop("__doc", "__gone")
 
 
 def dedup_by_hash(docs: DataFrame, id_col: str = "doc_id", content_col: str = "text") -> DataFrame:

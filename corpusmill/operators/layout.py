@@ -16,6 +16,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from corpusmill.functions.vectors import iou
 from corpusmill.operators.overlap import BOX, overlaps
+from corpusmill.session import cut
 
 # Tolerances of the layout.
 Y_TOLERANCE, TAB_GAP, LEAST_IOU = 3.0, 50.0, 0.4
@@ -137,7 +138,7 @@ def laid_out(words: DataFrame, zones: DataFrame, tables: DataFrame) -> DataFrame
     it most; zones without one are text. Words outside the zones that have a table become lines, and
     lines and tables follow each other by their upper edges. Pages without any are left out.
     """
-    paired = matched_tables(zones, tables)
+    paired = cut(matched_tables(zones, tables))  # two parts of the result need it
     own = zones.join(paired.select("page", "zone_id", "table_id"), ["page", "zone_id"])
     lines = text_lines(words_outside(words, own)).select("page", "y", F.lit("text").alias("kind"), "text")
     shown = tables.select("page", "table_id", markdown_table(F.col("rows")).alias("text")).where("text <> ''")

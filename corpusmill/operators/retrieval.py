@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from corpusmill.functions.prompts import CONTEXT_JOIN
 from corpusmill.session import cut
 
-#: Queries that knn takes; more are to be given in parts.
-MOST_QUERIES = 20_000
+#: Bytes of query vectors that every task holds; more queries are dealt to blocks instead.
+QUERY_BYTES = 32 << 20
 DIGITS = 6
 
 
@@ -62,11 +62,17 @@ def _score_block(batches, shared, k, least, skip_same):
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 10, least: float = 0.6, id_col: str = "vec_id", vector_col: str = "embedding", skip_same: bool = False) -> DataFrame:
     """query_id, match_id, sim (rounded to six digits), rank: for each query the k most similar rows of at least ``least``.
 
-    Zero and null vectors match nothing. Ids are longs.
+    Zero and null vectors match nothing. Ids are longs. Queries of up to QUERY_BYTES are scored where the
+    rows lie; more of them are joined with the rows in blocks (similarity_join).
     """
-    rows = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"knn takes at most {MOST_QUERIES} queries")
+    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    size = asked.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0] * 8
+    if size > QUERY_BYTES:
+        names = ("vec_id", "vec_id") if skip_same else ("vec_id", "match_id")
+        left, right = (d.select(F.lit(0).alias("all"), F.col(i).cast("long").alias(n), F.col(v).alias("embedding")) for d, i, n, v in ((asked, "id", names[0], "v"), (corpus, id_col, names[1], vector_col)))
+        near = similarity_join(left, right, "all", *names, k=k, least=least)
+        return near.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("match_id"), "sim", "rank")
+    rows = asked.collect()
     ids = np.array([r["id"] for r in rows], np.int64)
     v = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), len(rows[0]["v"]) if rows else 0)
     length = np.linalg.norm(v, axis=1) if len(rows) else np.zeros(0)

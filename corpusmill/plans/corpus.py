@@ -347,3 +347,24 @@ def sql_segments(spark, sf):
 def sql_chunks(spark, sf):
     tables.register(spark)
     return spark.sql("SELECT doc_id, c.chunk_id, c.chunk FROM {made}, LATERAL text_chunks(text) AS c", made=table(spark, sf, "documents"))
+
+
+_OWN = "own AS (SELECT m.page, z.x0, z.y0, z.x1, z.y1, m.table_id FROM m JOIN b z ON z.page = m.page AND z.word = CAST(m.zone_id AS VARCHAR) JOIN b t ON t.page = m.page AND t.word = CAST(m.table_id AS VARCHAR))"
+
+
+@query(
+    f"""WITH RECURSIVE b AS {_BOXES}, m AS ({ORACLE_SQL["matched_tables"]}), {_OWN},
+    w AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y0, x0, word, x1) AS k FROM b WHERE NOT EXISTS (SELECT 1 FROM own z WHERE z.page = b.page AND b.x0 < z.x1 AND b.x1 > z.x0 AND b.y0 < z.y1 AND b.y1 > z.y0)),
+    l AS (SELECT page, x0, y0, x1, word, k, y0 AS y FROM w WHERE k = 1
+      UNION ALL SELECT w.page, w.x0, w.y0, w.x1, w.word, w.k, CASE WHEN abs(w.y0 - l.y) > 3 THEN w.y0 ELSE l.y END FROM l JOIN w ON w.page = l.page AND w.k = l.k + 1),
+    g AS (SELECT page, y, x0, k, CASE WHEN x0 - lag(x1) OVER (PARTITION BY page, y ORDER BY x0, k) > 50 THEN chr(9) || ' ' || word ELSE word END AS part FROM l),
+    e AS (SELECT page, y, 'text' AS kind, string_agg(part, ' ' ORDER BY x0, k) AS s FROM g GROUP BY page, y
+      UNION ALL SELECT page, y0, 'table', chr(10) || '[ТАБЛИЦА]' || chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || table_id || ' | x |' || chr(10) || '[/ТАБЛИЦА]' FROM own)
+    SELECT page, string_agg(s, chr(10) ORDER BY y, kind, s) AS text FROM e GROUP BY page"""
+)
+def laid_out_pages(spark, sf):
+    boxes = _boxes(spark, sf)
+    zones = boxes.where("word IN ('1', '2')").withColumn("zone_id", F.col("word").cast("long"))
+    tables = boxes.where("word IN ('3', '4', '5')").withColumn("table_id", F.col("word").cast("long"))
+    rows = F.array(F.array(F.lit("a"), F.lit("b")), F.array("word", F.lit("x")))
+    return layout.laid_out(boxes, zones, tables.withColumn("rows", rows))

@@ -30,9 +30,7 @@ def text_dir_scan(spark, sf):
     path = work_path(spark, "text")
     made = table(spark, sf, "nation").select("n_name", F.concat("n_name", F.lit("\n"), F.col("n_nationkey").cast("string")).alias("content"))
     sinks.text_per_document(made, path, "n_name", "content")
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)  # a folder for each document
-    name = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), "name=([^/]*)/", 1)
-    return files.select(F.concat(name, F.lit(".txt")).alias("file_name"), F.col("value").alias("content"))
+    return readers.text_files(spark, path, folder="name")
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations")
@@ -118,8 +116,9 @@ def json_report(spark, sf):
 def vector_collection(spark, sf):
     path = work_path(spark, "vectors")
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
-    for label in (2, 3, 4):
+    for label in [r[0] for r in v.select("label").distinct().orderBy("label").collect()]:  # ten
         sinks.collection(v.where(F.col("label") == label), path, str(label))
+    sinks.collection(v.where("label = 3"), path, "3")  # again: nothing is repeated
     found = readers.collection(spark, path, "3")
     return found.select(F.col("collection").cast("string").alias("collection"), "chunk_id", F.col("embedding")[0].cast("double").alias("first"))
 
@@ -160,16 +159,16 @@ def _docx(name: str, key: int) -> bytes:
     return out.getvalue()
 
 
-def _files(spark, sf) -> DataFrame:
-    """A file for each nation: DOCX, PDF after NUL bytes, an archive of another kind, and plain bytes."""
+def _files(spark, sf, kinds: tuple = (0, 1, 2, 3)) -> DataFrame:
+    """A file for each nation, of these kinds in turn: DOCX, PDF after NUL bytes, an archive of another kind, and plain bytes."""
 
     def run(batches):
         for pdf in batches:
             plain = io.BytesIO()
             with zipfile.ZipFile(plain, "w") as z:
                 z.writestr("x.txt", "x")
-            made = [[_docx(n, k), b"\0\0%PDF-1.7", plain.getvalue(), b"x%PDF"][k % 4] for n, k in zip(pdf["n_name"], pdf["n_nationkey"])]
-            yield pd.DataFrame({"key": pdf["n_nationkey"], "file_name": [f"f{k}.{'pdf' if k % 4 in (1, 3) else 'docx'}" for k in pdf["n_nationkey"]], "content": made})
+            made = [[_docx(n, k), b"\0\0%PDF-1.7", plain.getvalue(), b"x%PDF"][kinds[k % len(kinds)]] for n, k in zip(pdf["n_name"], pdf["n_nationkey"])]
+            yield pd.DataFrame({"key": pdf["n_nationkey"], "file_name": [f"f{k}.{'pdf' if kinds[k % len(kinds)] in (1, 3) else 'docx'}" for k in pdf["n_nationkey"]], "content": made})
 
     return table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name").mapInPandas(run, "key long, file_name string, content binary")
 
@@ -180,9 +179,9 @@ def magic_checks(spark, sf):
     return found.select("key", tx.is_pdf(F.col("content")).alias("pdf"), documents.is_docx(F.col("content")).alias("docx"), "status")
 
 
-@query("SELECT 'f' || n_nationkey || '.docx' AS file_name, n_name || chr(10) || '[ТАБЛИЦА]' || chr(10) || '| a b | ' || n_name || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_nationkey || ' |  |' || chr(10) || '[/ТАБЛИЦА]' || chr(10) || 'end' AS text, 'OK' AS status FROM nation WHERE n_nationkey % 4 = 0")
+@query("SELECT 'f' || n_nationkey || '.docx' AS file_name, n_name || chr(10) || '[ТАБЛИЦА]' || chr(10) || '| a b | ' || n_name || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_nationkey || ' |  |' || chr(10) || '[/ТАБЛИЦА]' || chr(10) || 'end' AS text, 'OK' AS status FROM nation")
 def docx_texts(spark, sf):
-    return documents.extracted(_files(spark, sf).where("key % 4 = 0"))
+    return documents.extracted(_files(spark, sf, (0,)))
 
 
 @query("SELECT n_nationkey, '| h  t |' || chr(10) || '| --- |' || chr(10) || '| ' || n_name || ' |' AS md FROM nation")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import prompts as pr
 from corpusmill.functions import text as tx
-from corpusmill.functions.vectors import cosine
 from corpusmill.operators import evaluation, retrieval, vector_index
 from corpusmill.plans import corpus
 from corpusmill.plans.registry import registry, table
@@ -59,11 +58,10 @@ def index_probed_cells(spark, sf):
     return vector_index.search_index(spark, path, asked, probes=-(-cells * 6 // 10), least=-1.0, skip_same=True)
 
 
-@query(f"WITH {_SIM.format(q='vec_id = 0', on='TRUE')} SELECT match_id, sim FROM sims ORDER BY sim DESC, match_id LIMIT 3")
+@query(f"WITH {_SIM.format(q='vec_id % 20 = 0', on='TRUE')} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, match_id) AS rank FROM sims) WHERE rank <= 3")
 def brute_force_top3(spark, sf):
     v = _vectors(spark, sf)
-    one = F.broadcast(v.where("vec_id = 0").select(F.col("embedding").alias("q")))  # a single row
-    return v.crossJoin(one).select(F.col("vec_id").alias("match_id"), F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("sim")).orderBy(F.col("sim").desc(), "match_id").limit(3)
+    return retrieval.knn(v.where("vec_id % 20 = 0"), v, k=3, least=-1.0)
 
 
 _RANKED = f"WITH {_SIM.format(q='TRUE', on='q.label = c.label AND q.vec_id <> c.vec_id')}, ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, match_id) AS rank FROM sims) WHERE rank <= 3)"

@@ -23,10 +23,16 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def text_files(spark: SparkSession, path: str, pattern: str = "*.txt", deep: bool = False) -> DataFrame:
-    """file_name, content: a row for each file, whole; ``deep`` looks into folders too."""
-    files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", deep).text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("content"))
+def text_files(spark: SparkSession, path: str, pattern: str = "*.txt", deep: bool = False, folder: str | None = None) -> DataFrame:
+    """file_name, content: a row for each file, whole; ``deep`` looks into folders too.
+
+    With ``folder``, files lie in folders ``folder=name``, as sinks.text_per_document leaves them, and are named by these.
+    """
+    files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", deep or folder is not None).text(path, wholetext=True)
+    name = F.col("_metadata.file_name")
+    if folder:
+        name = F.concat(F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), f"{folder}=([^/]*)/", 1), F.regexp_extract(name, r"(\.[^.]*)?$", 0))
+    return files.select(name.alias("file_name"), F.col("value").alias("content"))
 
 
 def binary_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:

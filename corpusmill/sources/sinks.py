@@ -55,6 +55,10 @@ def splits(df: DataFrame, path: str, split_col: str = "split", files: int = 16)
     df.repartition(F.col(split_col), part).write.mode("overwrite").partitionBy(split_col).json(path)
 
 
-def collection(chunks: DataFrame, path: str, name: str, append: bool = True) -> None:
-    """Chunks and vectors of one collection; a read of one collection touches its folder only."""
-    chunks.withColumn("collection", F.lit(name)).write.mode("append" if append else "overwrite").partitionBy("collection").parquet(path)
+def collection(chunks: DataFrame, path: str, name: str, append: bool = False) -> None:
+    """Chunks and vectors of one collection; a read of one collection touches its folder only.
+
+    What the collection held is replaced, so a rerun repeats nothing, and others stay as they are; append adds to it.
+    """
+    rows = chunks.withColumn("collection", F.lit(name)).write.option("partitionOverwriteMode", "dynamic")
+    rows.mode("append" if append else "overwrite").partitionBy("collection").parquet(path)

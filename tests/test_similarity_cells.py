@@ -63,3 +63,13 @@ def test_most_cells_are_left_out(spark, small_blocks):
     left_out = 1 - more.count() / all_visits
     print(f"{left_out:.3f} of {all_visits} visits are left out")
     assert len(cells["hot"]) == 25 and left_out > 0.75
+
+
+def test_many_queries_go_in_blocks(spark, small_blocks, monkeypatch):
+    rng = np.random.default_rng(8)
+    df = table(spark, rng.normal(size=(300, 6)), ["a"] * 300)
+    ask = lambda same: sorted(map(tuple, retrieval.knn(df.where("vec_id % 3 = 0"), df, 4, 0.1, skip_same=same).select("query_id", "match_id", "sim", "rank").collect()))
+    want = ask(True), ask(False)
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 1000)
+    small_blocks(70)
+    assert (ask(True), ask(False)) == want and len(want[1]) > 300
