@@ -11,6 +11,8 @@ lower-case host and the rest up to the fragment, which never reaches a server.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,9 +61,41 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
 
 
+#: Stands before what opens an element that is never closed, so that no pattern looks for its end.
+_NEVER = "<\x00\x01"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _hidden(html: Column, last: Callable[[Column], Column], opening: str) -> Column:
+    """``html`` with the openings (a case-insensitive pattern after ``<``) in its part last(html), after the last end, marked as never closed."""
+    marked = lambda tail: F.regexp_replace(tail, f"(?i)<(?={opening})", _NEVER)
+    return _let(html, lambda x: _let(last(x), lambda tail: F.concat(F.left(x, F.char_length(x) - F.char_length(tail)), marked(tail))))
+
+
+def plain_html(html: Column) -> Column:
+    """Html without comments, scripts and styles, up to its last ``>``; what is never closed stays. Linear in the text's length.
+
+    A pattern that looks for an end from each opening would read the rest of the text for each that
+    has none. All of those lie after the last end of their kind, so they are marked first.
+    """
+    html = _hidden(html, lambda x: F.substring_index(x, "-->", -1), "!--")
+    for name in ("script", "style"):
+        html = _hidden(html, lambda x, name=name: F.regexp_replace(x, rf"(?is)\A.*</{name}\s*+>", ""), rf"{name}\b")
+    plain = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*+>|<style\b.*?</style\s*+>", "")
+    whole = lambda x: F.left(x, F.char_length(x) - F.char_length(F.substring_index(x, ">", -1)))  # no tag ends after it
+    return F.replace(_let(plain, whole), F.lit(_NEVER), F.lit("<"))
+
+
 def link_targets(url: Column, html: Column) -> Column:
     """The absolute urls that a page redirects to or names as canonical."""
-    plain = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", "")
+    return _let(plain_html(html), lambda plain: _targets(url, plain))
+
+
+def _targets(url: Column, plain: Column) -> Column:
     links = F.filter(F.regexp_extract_all(plain, F.lit(r"(?is)(<link\b[^>]*>)"), 1), lambda t: F.lower(_attribute(t, "rel")).rlike(r"(^|\s)canonical(\s|$)"))
     metas = F.filter(F.regexp_extract_all(plain, F.lit(r"(?is)(<meta\b[^>]*>)"), 1), lambda t: F.lower(F.trim(_attribute(t, "http-equiv"))) == "refresh")
     named = F.concat(F.transform(links, lambda t: _attribute(t, "href")), F.transform(metas, lambda t: F.regexp_extract(_attribute(t, "content"), r"(?i)url\s*=\s*['\"]?([^'\"]+)", 1)))
