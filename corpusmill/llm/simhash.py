@@ -128,8 +128,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS,
 # candidates. Sketches of the shingle sets drop those that are far from similar, and the whole sets of
 # the others are then compared exactly.
 
-#: Bytes of an id in a join, and bins of a sketch.
-ID_BYTES, BINS = 64, 256
+#: Bytes of an id in a join, bins of a sketch, and longs of parities.
+ID_BYTES, BINS, PARITIES = 64, 256, 16
 #: Of texts with up to so many different shingles the tables take much the same ones, so they miss too much.
 FEW = 40
 
@@ -187,6 +187,15 @@ def may_be_similar(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     return same >= least * held - 5 * np.sqrt(least * (1 - least) * held)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * PARITIES ranges of hashes: whether an odd number lies in it, as signed longs.
+
+    What one of two sets has alone turns one bit, so they differ by as many hashes as bits at least.
+    """
+    odd = np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=64 * PARITIES) & 1  # 2 ** 10 ranges
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _table_batches(batches, shingle, tables, first):
     for batch in portions(batches, 1):
         sets = [shingle_hashes(x.as_py(), shingle) for x in batch.column(1)]
@@ -226,7 +235,8 @@ def _set_batches(batches, shingle):
         flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
         sizes = np.array([len(x) for x in sets], np.int64)
         ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.ListArray.from_arrays(ends, flat)], names=["id", "c", "n", "hs"])
+        odd = pa.array([parities(x.view(np.uint64)) for x in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.ListArray.from_arrays(ends, flat), odd], names=["id", "c", "n", "hs", "odd"])
 
 
 def _unlike_pairs(texts: DataFrame, kind: str, shingle: int, least: float) -> DataFrame:
@@ -235,20 +245,25 @@ def _unlike_pairs(texts: DataFrame, kind: str, shingle: int, least: float) -> Da
     Sets of a similarity of ``least`` share one of the first n - ceil(least n) + 1 shingles in any
     common order, and the first they share lies so early in both that the needed overlap still fits. The
     rarest come first, so a passage of many texts makes pairs only of those that hardly have anything
-    else, and edits of one text only of those that share an edit or have few of their own.
+    else, and edits of one text only of those that share an edit or have few of their own. Of pairs that
+    share one, those whose parities differ by more than similar sets may are left out where they meet, so a
+    crowd of texts just under ``least`` makes few rows.
     """
-    sets = texts.mapInArrow(partial(_set_batches, shingle=shingle), f"id {kind}, c {kind}, n long, hs array<long>")
+    sets = cut(texts.mapInArrow(partial(_set_batches, shingle=shingle), f"id {kind}, c {kind}, n long, hs array<long>, odd array<long>"))
     flat = cut(sets.withColumn("r", F.monotonically_increasing_id()).select("r", "id", "c", "n", F.explode("hs").alias("h")))
     often = cut(flat.groupBy("h").agg(F.count("*").alias("often")))
     first = F.col("n") - F.ceil(F.col("n") * least - 1e-6) + 1
     place = F.row_number().over(Window.partitionBy("r").orderBy("often", "h"))
     keys = cut(flat.join(often, "h").withColumn("place", place).where(F.col("place") <= first).select("id", "c", "n", "h", "place"))
     mixed = cut(keys.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("h"))
-    keys = cut(keys.join(mixed, "h", "left_semi"))
-    x, y = (keys.select(*[F.col(c).alias(n) for c, n in (("id", k), ("c", f"{k}_c"), ("n", f"{k}_n"), ("h", f"{k}_h"), ("place", f"{k}_at"))]) for k in "ab")
+    odd = sets.select(F.col("id").alias("odd_id"), "odd")
+    keys = cut(keys.join(mixed, "h", "left_semi").join(odd, F.col("id") == F.col("odd_id")))
+    x, y = (keys.select(*[F.col(c).alias(n) for c, n in (("id", k), ("c", f"{k}_c"), ("n", f"{k}_n"), ("h", f"{k}_h"), ("place", f"{k}_at"), ("odd", f"{k}_odd"))]) for k in "ab")
     # the first shingle that two sets share leaves room for the overlap that they need; later ones needn't
     room = 1 + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
     fits = room >= (F.col("a_n") + F.col("b_n")) * (least / (1 + least)) - 1e-6
+    apart = sum((F.bit_count(F.col("a_odd")[k].bitwiseXOR(F.col("b_odd")[k])) for k in range(PARITIES)), F.lit(0))
+    fits = fits & (apart <= (F.col("a_n") + F.col("b_n")) * ((1 - least) / (1 + least)) + 1e-6)
     return x.hint("merge").join(y, (F.col("a_h") == F.col("b_h")) & (F.col("a") > F.col("b")) & (F.col("a_c") != F.col("b_c")) & fits).select("a", "b").distinct()
 
 

@@ -489,6 +489,35 @@ def test_sketches_lose_no_pair():
         assert not n > 100 or not simhash.may_be_similar(np.stack(a[1:]), np.stack(b[:-1]), 0.8).any()
 
 
+def test_parities_lose_no_pair():
+    rng = np.random.default_rng(18)
+    for n in (5, 60, 900):
+        for shared in (n, n - 1, int(n * 0.9), n // 2):
+            both = rng.integers(0, 2**64, shared, dtype=np.uint64)
+            a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**64, n - shared, dtype=np.uint64)])) for _ in range(2))
+            differ = sum((int(x) ^ int(y)).bit_count() if (x < 0) == (y < 0) else 64 - (~int(x) ^ int(y)).bit_count() for x, y in zip(simhash.parities(a), simhash.parities(b)))
+            assert differ <= len(np.setxor1d(a, b)) and (n > 60 or 2 * (n - shared) - differ <= 8)
+
+
+def test_crowds_just_below_make_few_pairs(spark):
+    """Edits of one text, of similarities of about 0.73: only pairs that may be similar become rows."""
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(200)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for _ in range(3):
+            words[rng.randrange(5, 195)] = word()
+        rows.append((k, k, " ".join(words)))
+    rows += [(60 + k, 60 + k, rows[k][2] + " more") for k in range(3)]
+    texts = spark.createDataFrame(rows, "id long, c long, text string")
+    found = {(r["a"], r["b"]) for r in simhash._unlike_pairs(texts, "bigint", 5, 0.8).collect()}
+    sets = {k: simhash.shingle_hashes(t, 5) for k, _, t in rows}
+    like = {(a, b) for a in sets for b in sets if a > b and simhash.jaccard(sets[a], sets[b]) >= 0.8}
+    assert {(60, 0), (61, 1), (62, 2)} <= like <= found and len(found) < len(like) + 60
+
+
 def test_similar_short_texts(spark):
     rng = random.Random(12)
     rows = []
