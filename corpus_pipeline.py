@@ -16,7 +16,7 @@ from corpusmill.llm.exact_dedup import drop_exact_copies
 from corpusmill.llm.mixing import take_mix
 from corpusmill.llm.packing import pack_documents
 from corpusmill.llm.quality import keep_good
-from corpusmill.llm.simhash import keep_one_of_each
+from corpusmill.llm.simhash import MAX_BITS, keep_one_of_each
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -32,8 +32,12 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest doc_id stays."""
-    return keep_one_of_each(docs)
+    """Of each group of near copies, the document with the smallest doc_id stays.
+
+    Links are SimHash fingerprints of at most two different bits, found by the range join over their
+    embedding as in op6, and shingle sets of a similarity of 0.8 or more.
+    """
+    return keep_one_of_each(docs, max_bits=MAX_BITS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

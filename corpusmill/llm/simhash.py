@@ -286,8 +286,14 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return two
 
 
-def _similar(two: DataFrame, shingle: int, least: float, tables: int, first: int) -> DataFrame:
-    """node and component of every id that links to another."""
+def _close_fingerprints(two: DataFrame, max_bits: int) -> DataFrame:
+    """Links (a, b) of each id to the least one that fingerprints of at most ``max_bits`` different bits reach."""
+    found = near_duplicates(two, max_bits=max_bits, id_col="id")
+    return cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
+
+
+def _similar(two: DataFrame, shingle: int, least: float, tables: int, first: int, max_bits: int | None = None) -> DataFrame:
+    """node and component of every id that links to another: by fingerprints of at most ``max_bits`` different bits, if given, or by similarity."""
     kind = two.schema["id"].dataType.simpleString()
     rows = cut(two.mapInArrow(partial(_table_batches, shingle=shingle, tables=tables, first=first), f"id {kind}, n long, fps array<long>, sketch binary"))
     keys = rows.select("id", F.posexplode("fps").alias("t", "fp"))
@@ -297,6 +303,8 @@ def _similar(two: DataFrame, shingle: int, least: float, tables: int, first: int
     pair = [F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")]
     lows = cut(grouped.select("id", F.col("low").alias("other")).where("id <> other").select(*pair).distinct())
     links = cut(_links(lows, two, rows, kind, shingle, least))
+    if max_bits is not None:
+        links = links.unionByName(_close_fingerprints(two, max_bits))
     found = cut(connected_components(links, "a", "b"))
 
     # of the others that the hash picked, only those in other components
@@ -346,13 +354,14 @@ def _merged(found: DataFrame, more: DataFrame, named: DataFrame) -> DataFrame:
     return every.join(now, every["component"] == now["was"], "left").select("node", F.coalesce("now", "component").alias("component"))
 
 
-def keep_one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", max_bits: int | None = None) -> DataFrame:
     """The rows of ``docs`` but for those that are similar to others of a smaller doc_id, with all their columns.
 
-    Rows of one doc_id are told apart by their texts; rows that repeat in both stay or go together.
+    With ``max_bits``, texts whose fingerprints differ in so many bits at most, as near_duplicates() finds
+    them, are linked too, and components are those of both kinds of links. Rows of one doc_id are told apart by their texts; rows that repeat in both stay or go together.
     """
     two = _named(docs, id_col, text_col)
-    found = _similar(two, shingle, least, 20, 5)
+    found = _similar(two, shingle, least, 20, 5, max_bits)
     gone = cut(found.where("node <> component").select("node").distinct())
     by_text = two.schema["id"].dataType.typeName() == "struct" and docs.schema[id_col].dataType.typeName() != "struct"
     keys = {"gone_id": "node.id", "gone_x": "node.x"} if by_text else {"gone_id": "node"}

@@ -61,6 +61,25 @@ def test_stages(spark, tables):
     assert max(fill.values()) <= 4096 and len(fill) <= sum(fill.values()) // 4096 + 2
 
 
+def test_near_copies_link_close_fingerprints(spark):
+    """Texts that mostly repeat one passage have fingerprints alike and shingle sets unlike; they link, and links of both kinds go on."""
+    import random
+
+    from corpusmill.llm.simhash import jaccard, near_duplicates, shingle_hashes
+
+    rng = random.Random(20)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage, own = [word() for _ in range(11)], [[word() for _ in range(40)] for _ in range(4)]
+    one, two, far = (" ".join(passage * 60 + x) for x in own[:3])
+    texts = {1: one, 2: two, 3: two + " " + word(), 4: " ".join(own[3]), 5: " ".join(reversed(far.split()))}
+    df = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = {k: shingle_hashes(t, 5) for k, t in texts.items()}
+    assert jaccard(sets[1], sets[2]) < 0.5 < 0.8 <= jaccard(sets[2], sets[3])
+    by_bits = {r["doc_id"]: r["component_id"] for r in near_duplicates(df).collect()}
+    assert by_bits[1] == by_bits[2] == 1 and by_bits[4] == 4 and by_bits[5] == 5
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, df, "").collect()) == [1, 4, 5]
+
+
 def test_run(spark, tables):
     out = corpus_pipeline.run(spark, tables)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
