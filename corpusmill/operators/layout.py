@@ -8,14 +8,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 from corpusmill.functions.vectors import iou
-from corpusmill.operators.overlap import BOX, overlaps
+from corpusmill.operators.overlap import BOX, overlap, overlaps, placed_boxes, small_pages, whole_box
 from corpusmill.session import cut
 
 # Tolerances of the layout.
@@ -47,8 +49,21 @@ def markdown_table(rows: Column, drop_empty: bool = True) -> Column:
 def words_outside(words: DataFrame, zones: DataFrame, page_col: str = "page") -> DataFrame:
     """Words (page, x0, y0, x1, y1, ...) that overlap no zone (page, x0, y0, x1, y1): an anti-join with the boxes that overlap one.
 
-    Pages of many boxes are cut into tiles (see overlap). Words without a page or a whole box overlap nothing.
+    Pages of few boxes are joined by the page alone, those of many are cut into tiles (see overlap). Words
+    without a page or a whole box overlap nothing.
     """
+    few = small_pages(words, zones, page_col)
+    if few is None:
+        return _words_outside_tiles(words, zones, page_col)
+    z = placed_boxes(zones, page_col, "__z").where(few("__page"))
+    w = {c: F.col(c).cast("double") for c in BOX}
+    over = (w["x0"] < F.col("__zx1")) & (w["x1"] > F.col("__zx0")) & (w["y0"] < F.col("__zy1")) & (w["y1"] > F.col("__zy0")) & whole_box("")
+    here = F.coalesce(few(page_col), F.lit(True))
+    found = words.where(here).join(z, (F.col(page_col) == F.col("__page")) & over, "left_anti")
+    return found if few.every else found.unionByName(_words_outside_tiles(words.where(~here), zones.where(~few(page_col)), page_col))
+
+
+def _words_outside_tiles(words: DataFrame, zones: DataFrame, page_col: str) -> DataFrame:
     over = overlaps(words, zones, page_col).select(F.col("page").alias("__page"), *[F.col(f"a{c}").alias(f"__{c}") for c in BOX]).distinct()
     same = F.col(page_col) == F.col("__page")
     for c in BOX:
@@ -56,21 +71,56 @@ def words_outside(words: DataFrame, zones: DataFrame, page_col: str = "page") ->
     return words.join(over, same, "left_anti")
 
 
-def _lines(words: list[dict]) -> list[dict]:
-    """Lines of one page's words, which come in order of y0, x0 and word."""
-    lines: list[tuple[float, list]] = []
-    for w in words:
-        if not lines or abs(w["y0"] - lines[-1][0]) > Y_TOLERANCE:
-            lines.append((w["y0"], []))
-        lines[-1][1].append((w["x0"], w["x1"], w["word"]))
-    out = []
-    for y, held in lines:
-        held.sort(key=lambda t: t[0])
-        parts = [held[0][2]]
-        for (_, before, _), (x0, _, word) in zip(held, held[1:]):
-            parts += ["\t", word] if x0 - before > TAB_GAP else [word]
-        out.append({"y": y, "text": " ".join(parts)})
-    return out
+def _changes(keys: pa.Array) -> np.ndarray:
+    """Whether each key differs from the one before; a null is a key."""
+    if pa.types.is_nested(keys.type):
+        held = keys.to_pylist()
+        return np.array([k == 0 or x != held[k - 1] for k, x in enumerate(held)], bool)
+    codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    return np.diff(codes, prepend=-1) != 0
+
+
+def _line_starts(y: np.ndarray, pages: np.ndarray) -> np.ndarray:
+    """Where a line begins: at a page's first word, and where a word is over the tolerance from the line's first."""
+    out, at = [], 0.0
+    for v, new in zip(y.tolist(), pages.tolist()):
+        if new or abs(v - at) > Y_TOLERANCE:
+            at, new = v, True
+        out.append(new)
+    return np.array(out, bool)
+
+
+def _line_batches(batches):
+    """page, y, text of words (page, y0, x0, x1, word) that come sorted; the last line of a batch waits for the next."""
+    rest = None
+    for batch in _and_end(batches):
+        held = [*([] if rest is None else [rest]), *([] if batch is None else [pa.Table.from_batches([batch])])]
+        if not sum(map(len, held)):
+            continue
+        words = pa.concat_tables(held)
+        page, y, x0, x1 = words["page"].combine_chunks(), *(words[c].to_numpy() for c in ("y0", "x0", "x1"))
+        starts = np.flatnonzero(_line_starts(y, _changes(page)))
+        if batch is not None:
+            rest, starts = words.slice(starts[-1]), starts[:-1]
+            words = words.slice(0, len(words) - len(rest))
+        if not len(starts):
+            continue
+        n = len(words)
+        line = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+        order = np.lexsort((x0[:n], line))  # stable
+        wide = np.append(False, x0[order[1:]] - x1[order[:-1]] > TAB_GAP)
+        wide[starts] = False
+        word = words["word"].combine_chunks().take(pa.array(order))
+        parts = pc.if_else(pa.array(wide), pc.binary_join_element_wise(pa.scalar("\t"), word, " "), word)
+        lines = pa.ListArray.from_arrays(pa.array(np.append(starts, n), pa.int32()), parts)
+        first = pa.array(starts)
+        yield pa.RecordBatch.from_arrays([page.take(first), pa.array(y[starts]), pc.binary_join(lines, " ")], names=["page", "y", "text"])
+
+
+def _and_end(batches):
+    """The batches, and None after the last."""
+    yield from batches
+    yield None
 
 
 def _paired(pairs: list[dict], least: float) -> list[dict]:
@@ -103,10 +153,11 @@ def _folded(pages: DataFrame, make: Callable[[list[dict]], list[dict]], item: st
 def text_lines(words: DataFrame, page_col: str = "page") -> DataFrame:
     """page, y, text: words from top to bottom, a new line where one is over the tolerance from the line's first; a tab for wide gaps.
 
-    A line's place depends on the one before, so a page's words are gathered and folded together.
+    A line's place depends on the one before, so a page's words are sorted and folded by one task, a line at a time.
     """
-    held = F.sort_array(F.collect_list(F.struct("y0", "x0", "word", "x1"))).alias("held")
-    return _folded(words.groupBy(F.col(page_col).alias("page")).agg(held), _lines, "array<struct<y:double,text:string>>")
+    flat = words.select(F.col(page_col).alias("page"), *[F.col(c).cast("double").alias(c) for c in ("y0", "x0", "x1")], F.col("word").cast("string").alias("word"))
+    order = flat.repartition("page").sortWithinPartitions("page", "y0", "x0", "word", "x1")
+    return order.mapInArrow(_line_batches, f"page {flat.schema['page'].dataType.simpleString()}, y double, text string")
 
 
 def matched_tables(zones: DataFrame, tables: DataFrame, page_col: str = "page", least: float = LEAST_IOU) -> DataFrame:
@@ -115,13 +166,29 @@ def matched_tables(zones: DataFrame, tables: DataFrame, page_col: str = "page",
     Pages of many boxes are cut into tiles to find overlaps (see overlap); the choice among a page's pairs
     that are over ``least`` is made together. Ids are longs.
     """
+    held = F.sort_array(F.collect_list(F.struct("zone_id", "table_id", "iou"))).alias("held")
+    pairs = _table_pairs(zones, tables, page_col, least)
+    return _folded(pairs.groupBy("page").agg(held), partial(_paired, least=least), "array<struct<zone_id:bigint,table_id:bigint,iou:double>>")
+
+
+def _table_pairs(zones: DataFrame, tables: DataFrame, page_col: str, least: float) -> DataFrame:
+    """page, zone_id, table_id, iou of all pairs over ``least``."""
+    box = lambda n: F.struct(*[F.col(f"{n}{c}").alias(c) for c in BOX])
+    if few := small_pages(zones, tables, page_col):
+        z, t = placed_boxes(zones, page_col, "a", "zone_id").where(few("__page")), placed_boxes(tables, page_col, "b", "table_id").where(few("__page"))
+        pairs = z.join(t.withColumnRenamed("__page", "__other"), (F.col("__page") == F.col("__other")) & overlap("a", "b"))
+        pairs = pairs.select(F.col("__page").alias("page"), "zone_id", "table_id", iou(box("a"), box("b")).alias("iou")).where(F.col("iou") > least)
+        return pairs if few.every else pairs.unionByName(_tiled_pairs(zones.where(~few(page_col)), tables.where(~few(page_col)), page_col, least))
+    return _tiled_pairs(zones, tables, page_col, least)
+
+
+def _tiled_pairs(zones: DataFrame, tables: DataFrame, page_col: str, least: float) -> DataFrame:
     box = lambda n: F.struct(*[F.col(f"{n}{c}").alias(c) for c in BOX])
     named = lambda d, n, i: d.select(F.col(page_col).alias("page"), F.col(i), *[F.col(c).cast("double").alias(f"{n}{c}") for c in BOX])
     pairs = overlaps(zones, tables, page_col).select("page", *[F.col(f"{n}{c}") for n in "ab" for c in BOX], iou(box("a"), box("b")).alias("iou")).where(F.col("iou") > least)
     for d, n, i in ((zones, "a", "zone_id"), (tables, "b", "table_id")):
         pairs = pairs.join(named(d, n, i), ["page", *[f"{n}{c}" for c in BOX]])
-    held = F.sort_array(F.collect_list(F.struct("zone_id", "table_id", "iou"))).alias("held")
-    return _folded(pairs.groupBy("page").agg(held), partial(_paired, least=least), "array<struct<zone_id:bigint,table_id:bigint,iou:double>>")
+    return pairs.select("page", "zone_id", "table_id", "iou")
 
 
 def page_text(elements: DataFrame) -> DataFrame:
@@ -141,6 +208,7 @@ def laid_out(words: DataFrame, zones: DataFrame, tables: DataFrame) -> DataFrame
     paired = cut(matched_tables(zones, tables))  # two parts of the result need it
     own = zones.join(paired.select("page", "zone_id", "table_id"), ["page", "zone_id"])
     lines = text_lines(words_outside(words, own)).select("page", "y", F.lit("text").alias("kind"), "text")
-    shown = tables.select("page", "table_id", markdown_table(F.col("rows")).alias("text")).where("text <> ''")
-    placed = own.join(shown, ["page", "table_id"]).select("page", F.col("y0").alias("y"), F.lit("table").alias("kind"), "text")
+    # Markdown is made of the tables that a zone took, so they are joined and kept before it
+    taken = cut(own.select("page", "table_id", "y0").join(tables.select("page", "table_id", "rows"), ["page", "table_id"]))
+    placed = taken.select("page", F.col("y0").alias("y"), F.lit("table").alias("kind"), markdown_table(F.col("rows")).alias("text")).where("text <> ''")
     return page_text(lines.unionByName(placed))

@@ -8,6 +8,8 @@ swept in several blocks.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -70,12 +72,48 @@ def _tile(x: Column, first: str, width: str) -> Column:
     return F.greatest(F.lit(0), F.least(F.col("grid") - 1, F.floor((x - F.col(first)) / F.col(width)))).cast("int")
 
 
-def _distinct_boxes(boxes: DataFrame, page_col: str) -> DataFrame:
-    rows = boxes.select(F.col(page_col).alias("page"), *[F.col(c).cast("double").alias(c) for c in BOX])
+def whole_box(prefix: str) -> Column:
+    """Whether the box with this prefix has four finite coordinates."""
     fine = F.lit(True)
     for c in BOX:
-        fine = fine & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    return rows.where(fine & F.col("page").isNotNull()).distinct()
+        x = F.col(f"{prefix}{c}").cast("double")
+        fine = fine & x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return fine
+
+
+def placed_boxes(boxes: DataFrame, page_col: str, prefix: str, *more: str) -> DataFrame:
+    """__page, the box with its prefix and more columns of the rows with a page and a whole box."""
+    rows = boxes.select(F.col(page_col).alias("__page"), *[F.col(c).cast("double").alias(f"{prefix}{c}") for c in BOX], *more)
+    return rows.where(whole_box(prefix) & F.col("__page").isNotNull())
+
+
+def _distinct_boxes(boxes: DataFrame, page_col: str) -> DataFrame:
+    rows = boxes.select(F.col(page_col).alias("page"), *[F.col(c).cast("double").alias(c) for c in BOX])
+    return rows.where(whole_box("") & F.col("page").isNotNull()).distinct()
+
+
+@dataclass(frozen=True)
+class SmallPages:
+    """Tells the pages of few boxes by their column; a null page is none."""
+
+    large: tuple = ()
+
+    @property
+    def every(self) -> bool:
+        return not self.large
+
+    def __call__(self, page: str) -> Column:
+        return ~F.col(page).isin(list(self.large)) if self.large else F.lit(True)
+
+
+def small_pages(a: DataFrame, b: DataFrame, page_col: str, many: int | None = None) -> SmallPages | None:
+    """The pages that have ``many`` (MANY) boxes of both tables at most; None if over a thousand have more.
+
+    Only the page column is read, and counted before it is shuffled.
+    """
+    pages = a.select(F.col(page_col).alias("page")).unionByName(b.select(F.col(page_col).alias("page"))).where("page is not null")
+    large = [r["page"] for r in pages.groupBy("page").count().where(F.col("count") > (many or MANY)).limit(1001).collect()]
+    return None if len(large) > 1000 else SmallPages(tuple(large))
 
 
 def tiled_overlaps(a: DataFrame, b: DataFrame, page_col: str = "page") -> DataFrame:

@@ -69,3 +69,32 @@ def test_collections_written_again(spark, tmp_path):
     assert readers.collection(spark, f"{tmp_path}/v", "a").count() == 2 == readers.collection(spark, f"{tmp_path}/v", "b").count()
     sinks.collection(chunks, f"{tmp_path}/v", "a", append=True)
     assert readers.collection(spark, f"{tmp_path}/v", "a").count() == 4
+
+
+def test_lines_are_made_in_batches_of_words(spark):
+    """The same lines however words come in batches; a page's first word begins a line though the page before ends nearby."""
+    from corpusmill.operators import layout
+
+    words = [(page, float(10 * line + k % 3), float(40 * ((k * 7) % 5)), float(40 * ((k * 7) % 5) + 10), f"w{k}") for page in ("a", "b", None) for line in range(4) for k in range(5)]
+    df = spark.createDataFrame(words, "page string, y0 double, x0 double, x1 double, word string")
+    want = {(page, 10.0 * line): " ".join(f"w{k}" for k in sorted(range(5), key=lambda k: (k * 7) % 5)) for page in ("a", "b", None) for line in range(4)}
+    for rows in ("1", "3", "1000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            assert {(r["page"], r["y"]): r["text"] for r in layout.text_lines(df).collect()} == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "collect_list" not in layout.text_lines(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_markdown_is_made_of_taken_tables_alone(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from corpusmill.operators import layout
+
+    rows = [("p", 0.0, 0.0, 10.0, 10.0, "z", 1), ("p", 0.0, 0.0, 10.0, 9.0, "t", 1), ("p", 50.0, 50.0, 60.0, 60.0, "u", 2)]
+    boxes = spark.createDataFrame(rows, "page string, x0 double, y0 double, x1 double, y1 double, word string, id long")
+    tables = boxes.where("word <> 'z'").withColumnRenamed("id", "table_id").withColumn("rows", F.array(F.array("word")))
+    monkeypatch.setattr(layout, "markdown_table", lambda r: F.when(r[0][0] == "u", F.raise_error("a table that no zone took").cast("string")).otherwise(r[0][0]))
+    got = layout.laid_out(boxes, boxes.where("word = 'z'").withColumnRenamed("id", "zone_id"), tables).collect()
+    assert [r["text"] for r in got] == ["\n[ТАБЛИЦА]\nt\n[/ТАБЛИЦА]\nu"]
