@@ -106,3 +106,15 @@ def test_largest_file(spark, tmp_path):
     (tmp_path / "2.csv").write_text("x" * 300)
     assert large_files.largest_file(spark, str(tmp_path)) == 300
     assert spark.read.text(str(tmp_path)).where(F.length("value") > 200).count() == 1
+
+
+def test_batches_of_long_texts_are_taken_in_portions(spark):
+    """Python objects are made of a bounded number of bytes at once, however many a batch has."""
+    import pyarrow as pa
+
+    from corpusmill.operators import chunking
+
+    texts = ["x" * 400_000 + "}" for _ in range(40)]
+    docs = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts)], names=["doc_id", "text"])
+    made = list(chunking._chunk_batches(iter([docs]), lambda t: [t]))
+    assert [x for b in made for x in b.column("doc_id").to_pylist()] == list(range(40)) and max(b.nbytes for b in made) < 2_500_000
