@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.batches import portions
+
 
 def text(df: DataFrame, path: str, col: str, mode: str = "errorifexists") -> None:
     df.select(F.col(col).cast("string").alias("value")).write.mode(mode).text(path)
@@ -21,12 +24,10 @@ def json_array(df: DataFrame, path: str) -> None:
 
     def lines(batches):
         first = True
-        for batch in batches:
-            rows = batch.column(0).to_pylist()
-            if rows:
-                out = [("[" if first and k == 0 else ",") + x for k, x in enumerate(rows)]
-                first = False
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        for batch in portions(batches, 0):
+            marks = pa.array(["[" if first and k == 0 else "," for k in range(len(batch))], pa.string())
+            first = False
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(marks, batch.column(0), "")], names=["value"])
         if not first:
             yield pa.RecordBatch.from_arrays([pa.array(["]"], pa.string())], names=["value"])
 

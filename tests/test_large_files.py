@@ -118,3 +118,8 @@ def test_batches_of_long_texts_are_taken_in_portions(spark):
     docs = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts)], names=["doc_id", "text"])
     made = list(chunking._chunk_batches(iter([docs]), lambda t: [t]))
     assert [x for b in made for x in b.column("doc_id").to_pylist()] == list(range(40)) and max(b.nbytes for b in made) < 2_500_000
+    from corpusmill.sources import large_files
+
+    pieces = pa.RecordBatch.from_arrays([pa.array(["f"] * 40), pa.array([0] * 40), pa.array(texts)], names=["file", "start", "value"])
+    parts = [held for _, _, held in large_files._ranges(iter([pieces]))]
+    assert [t for held in parts for t in held] == texts and max(sum(map(len, held)) for held in parts) <= 2_000_000
