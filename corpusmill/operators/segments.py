@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import PAGE_MARK, py_strip, token_estimate
 from corpusmill.operators.ordered import BLOCK, greedy_starts, running_sums, sorted_blocks
+from corpusmill.session import cut
 
 
 def page_array(text: Column, mark: str = PAGE_MARK) -> Column:
@@ -47,12 +48,16 @@ def page_segments(pages: DataFrame, doc_col: str = "doc_id", page_col: str = "pa
     However many pages a document has, they are summed up, cut and joined by many tasks: a page starts a
     segment if the tokens up to its end are over the budget, counted from where the open one began. What
     is gathered is a segment's text. page_range has the pages' places in their document, from 1. Null texts are empty pages.
+
+    Only sizes are sorted and folded; texts wait and are joined to their segments by a number of their row. The
+    folds are cut from one another, so a task runs one Python process and not one for each fold.
     """
     rows = pages.select(F.col(doc_col).alias("doc"), F.col(page_col).alias("page"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    blocks = sorted_blocks(rows.withColumn("tokens", token_estimate(F.col("text")).cast("long")).withColumn("one", F.lit(1)), ["doc", "page"], block_rows)
-    upto = running_sums(blocks, "doc", ["tokens", "one"], ["upto", "place"]).withColumns({"upto": F.col("upto").cast("long"), "place": F.col("place").cast("long")})
-    placed = greedy_starts(upto.withColumn("next", F.col("upto") - F.col("tokens") + budget + 1), "doc", "upto", "next", "starts")
-    numbered = running_sums(placed.withColumn("start", F.col("starts").cast("int")), "doc", ["start"], ["segment"])
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    blocks = sorted_blocks(rows.select("doc", "page", "row", token_estimate(F.col("text")).cast("long").alias("tokens"), F.lit(1).alias("one")), ["doc", "page"], block_rows)
+    upto = cut(running_sums(blocks, "doc", ["tokens", "one"], ["upto", "place"]).withColumns({"upto": F.col("upto").cast("long"), "place": F.col("place").cast("long")}))
+    placed = cut(greedy_starts(upto.withColumn("next", F.col("upto") - F.col("tokens") + budget + 1), "doc", "upto", "next", "starts"))
+    numbered = running_sums(placed.withColumn("start", F.col("starts").cast("int")), "doc", ["start"], ["segment"]).join(rows.select("row", "text"), "row")
     texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n\n")
     found = numbered.groupBy("doc", (F.col("segment").cast("int") - 1).alias("segment")).agg(texts.alias("text"), F.concat_ws("-", F.min("place"), F.max("place")).alias("page_range"), F.sum("tokens").alias("token_estimate"))
     return found

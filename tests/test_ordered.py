@@ -88,3 +88,11 @@ def test_pages_of_hot_documents(spark):
         plain = spark.range(1).select(segments.greedy_segments(F.array(*map(F.lit, own)), 25).alias("s")).first()["s"]
         assert [got[d, k] for k in range(len(plain))] == [tuple(s) for s in plain]
     assert len(got) == len({k for k in got})
+
+
+def test_texts_of_pages_stay_out_of_python(spark):
+    """Of the folds of pages only one is left to run with the result, and no text goes through it."""
+    df = spark.createDataFrame([("a", k, "some text") for k in range(50)], "doc_id string, page int, text string")
+    plan = segments.page_segments(df, budget=25, block_rows=20)._jdf.queryExecution().executedPlan().toString()
+    folds = [line for line in plan.splitlines() if "MapInArrow" in line]
+    assert len(folds) == 1 and "text" not in folds[0]
