@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -145,6 +147,29 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int
     return _fetched(docs, ids, most_bytes)
 
 
+#: Bytes of an Arrow batch that map_batches() asks Spark for, about.
+BATCH_BYTES, BATCH_BYTES_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _then_released(batches, run):
+    yield from run(batches)
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):  # the second stands for what Python itself has freed
+        pool.release_unused()
+
+
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow() for texts: batches have a bounded number of bytes, and a task gives freed memory back at its end.
+
+    Spark else counts a batch by its rows, so texts make batches of tens of MB, in the JVM outside its heap and in
+    Python, and Python processes keep for the next step what they once took. What is mapped may run later,
+    so the bound stays in the session; where a session has set one itself, that holds.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES_KEY, None) is None:
+        conf.set(BATCH_BYTES_KEY, str(BATCH_BYTES))
+    return df.mapInArrow(partial(_then_released, run=run), schema)
+
+
 def portions(batches, column: int, most: int = 2_000_000):
     """The rows of Arrow batches in order, as batches with a bounded number of bytes in one string column, one row at least."""
     for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut, portions
+from corpusmill.llm.common import cut, map_batches, portions
 
 CAPACITY = 4096
 END = 1
@@ -228,7 +228,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CA
     """doc_id, piece, start, length, ids_crc32: each text's ids and the end id, cut only if longer than a sequence."""
     two = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = two.schema["doc_id"].dataType.simpleString()
-    return two.mapInArrow(partial(_piece_batches, tokenizer=tokenizer, capacity=capacity, chunk=chunk, cache=cache), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return map_batches(two, partial(_piece_batches, tokenizer=tokenizer, capacity=capacity, chunk=chunk, cache=cache), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:

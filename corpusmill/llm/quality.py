@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import TRAIN_TEXT_BYTES, labelled_rows, sample_rows
+from corpusmill.llm.common import TRAIN_TEXT_BYTES, labelled_rows, map_batches, sample_rows
 
 #: Training reads at most so many labelled and so many unlabelled documents.
 LABELLED, UNLABELLED = 2000, 2000
@@ -219,7 +219,7 @@ def score_quality(docs: DataFrame, model: CoTrained) -> DataFrame:
     """doc_id, content_score, metadata_score and score of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
     four = _four(docs, "doc_id")
-    return four.mapInArrow(partial(_score_batches, shared=shared), f"doc_id {four.schema['doc_id'].dataType.simpleString()}, content_score double, metadata_score double, score double")
+    return map_batches(four, partial(_score_batches, shared=shared), f"doc_id {four.schema['doc_id'].dataType.simpleString()}, content_score double, metadata_score double, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, least: float = REJECT) -> DataFrame:
@@ -252,4 +252,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = REJECT) -> Data
                 good.append(model.value.score(*content_view(text), metadata_view(lang, source, n, text))[2] >= least)
             yield batch.select(own).filter(pa.array(good, pa.bool_()))
 
-    return read.mapInArrow(kept, docs.schema)
+    return map_batches(read, kept, docs.schema)

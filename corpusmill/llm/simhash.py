@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut, portions, small
+from corpusmill.llm.common import cut, map_batches, portions, small
 from corpusmill.llm.components import connected_components
 
 SEED = 42
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     """doc_id and fp, the fingerprint as a signed long."""
     two = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = two.schema["doc_id"].dataType.simpleString()
-    return two.mapInArrow(partial(_fingerprint_batches, shingle=shingle), f"doc_id {kind}, fp long")
+    return map_batches(two, partial(_fingerprint_batches, shingle=shingle), f"doc_id {kind}, fp long")
 
 
 def _grid(bits: Column, wide: int, segments: int) -> list[Column]:
@@ -249,7 +249,7 @@ def _unlike_pairs(texts: DataFrame, kind: str, shingle: int, least: float) -> Da
     share one, those whose parities differ by more than similar sets may are left out where they meet, so a
     crowd of texts just under ``least`` makes few rows.
     """
-    sets = cut(texts.mapInArrow(partial(_set_batches, shingle=shingle), f"id {kind}, c {kind}, n long, hs array<long>, odd array<long>"))
+    sets = cut(map_batches(texts, partial(_set_batches, shingle=shingle), f"id {kind}, c {kind}, n long, hs array<long>, odd array<long>"))
     flat = cut(sets.withColumn("r", F.monotonically_increasing_id()).select("r", "id", "c", "n", F.explode("hs").alias("h")))
     often = cut(flat.groupBy("h").agg(F.count("*").alias("often")))
     first = F.col("n") - F.ceil(F.col("n") * least - 1e-6) + 1
@@ -272,10 +272,10 @@ def _links(pairs: DataFrame, two: DataFrame, rows: DataFrame, kind: str, shingle
     x, y = (rows.select(F.col("id").alias(f"{k}_id"), F.col("n").alias(f"{k}_n"), F.col("sketch").alias(f"{k}_sketch")) for k in "xy")
     fits = F.least("x_n", "y_n") >= F.greatest("x_n", "y_n") * least - 1e-6
     told = pairs.join(y, F.col("b") == F.col("y_id")).join(x, F.col("a") == F.col("x_id")).where(fits).select("a", "b", "x_sketch", "y_sketch")
-    likely = cut(told.mapInArrow(partial(_likely_batches, least=least), f"a {kind}, b {kind}").distinct())
+    likely = cut(map_batches(told, partial(_likely_batches, least=least), f"a {kind}, b {kind}").distinct())
     x, y = (two.select(F.col("id").alias(f"{n}_id"), F.col("text").alias(f"{n}_text")) for n in "xy")
     texts = likely.join(y, F.col("b") == F.col("y_id")).select("a", "b", "y_text").join(x, F.col("a") == F.col("x_id")).select("a", "b", "x_text", "y_text")
-    return texts.mapInArrow(partial(_verify_batches, shingle=shingle, least=least), f"a {kind}, b {kind}")
+    return map_batches(texts, partial(_verify_batches, shingle=shingle, least=least), f"a {kind}, b {kind}")
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -295,7 +295,7 @@ def _close_fingerprints(two: DataFrame, max_bits: int) -> DataFrame:
 def _similar(two: DataFrame, shingle: int, least: float, tables: int, first: int, max_bits: int | None = None) -> DataFrame:
     """node and component of every id that links to another: by fingerprints of at most ``max_bits`` different bits, if given, or by similarity."""
     kind = two.schema["id"].dataType.simpleString()
-    rows = cut(two.mapInArrow(partial(_table_batches, shingle=shingle, tables=tables, first=first), f"id {kind}, n long, fps array<long>, sketch binary"))
+    rows = cut(map_batches(two, partial(_table_batches, shingle=shingle, tables=tables, first=first), f"id {kind}, n long, fps array<long>, sketch binary"))
     keys = rows.select("id", F.posexplode("fps").alias("t", "fp"))
     picked = F.min_by("id", F.xxhash64("id", "t"))
     groups = cut(keys.groupBy("t", "fp").agg(F.min("id").alias("low"), picked.alias("pick"), F.count("*").alias("n")).where("n > 1").select(F.col("t").alias("t2"), F.col("fp").alias("fp2"), "low", "pick", "n"))

@@ -167,3 +167,18 @@ def test_run_on_odd_tables(spark, tmp_path):
     out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
     assert {r["doc_id"] for r in out} <= {1, 4, None} and out and all(r["length"] <= 4096 for r in out)
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_batches_of_texts_are_bounded(spark):
+    """Long texts reach Python a few MB at a time, not 10,000 rows: 24 MB are several batches."""
+    import pyarrow as pa
+
+    from corpusmill.llm.common import BATCH_BYTES, map_batches
+
+    def told(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "size": [batch.nbytes]})
+
+    docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcde "), 10_000).alias("text"))
+    sizes = map_batches(docs, told, "n long, size long").collect()
+    assert sum(r["n"] for r in sizes) == 400 and max(r["size"] for r in sizes) < 2 * BATCH_BYTES
