@@ -100,6 +100,13 @@ def close_pairs(nodes: DataFrame, max_bits: int = MAX_BITS, segments: int = 4) -
     return a.hint("merge").join(b, (a["cell"] == b["cell"]) & close).select("a", "b").distinct()
 
 
+def _nodes(own: DataFrame) -> DataFrame:
+    """fp and the least doc_id of each different fingerprint."""
+    # a node becomes many rows, so nodes are spread wider than their own size asks for
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")).repartition(parts, "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS, segments: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document.
 
@@ -109,10 +116,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS,
     gives an empty table; no other column is read.
     """
     own = cut(fingerprints(docs, shingle, id_col, text_col))
-    # a node becomes many rows, so nodes are spread wider than their own size asks for
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")).repartition(parts, "fp"))
-    found = cut(connected_components(close_pairs(nodes, max_bits, segments), "a", "b"))
+    nodes = _nodes(own)
+    found = connected_components(close_pairs(nodes, max_bits, segments), "a", "b")
     of = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
     named = cut(of.join(ids, "component").select("fp", "component_id"))
@@ -287,9 +292,14 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _close_fingerprints(two: DataFrame, max_bits: int) -> DataFrame:
-    """Links (a, b) of each id to the least one that fingerprints of at most ``max_bits`` different bits reach."""
-    found = near_duplicates(two, max_bits=max_bits, id_col="id")
-    return cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
+    """Links (a, b), a > b, whose components are those of near_duplicates(): to the least id of an equal fingerprint, and between those of close ones."""
+    own = cut(fingerprints(two, id_col="id"))
+    nodes = _nodes(own)
+    equal = own.join(nodes, "fp").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    x, y = (nodes.select(F.col("fp").alias(k), F.col("least").alias(f"{k}_least")) for k in "ab")
+    ends = F.col("a_least"), F.col("b_least")
+    close = close_pairs(nodes, max_bits).join(x, "a").join(y, "b").select(F.greatest(*ends).alias("a"), F.least(*ends).alias("b"))
+    return cut(equal.unionByName(close))
 
 
 def _similar(two: DataFrame, shingle: int, least: float, tables: int, first: int, max_bits: int | None = None) -> DataFrame:
@@ -305,14 +315,15 @@ def _similar(two: DataFrame, shingle: int, least: float, tables: int, first: int
     links = cut(_links(lows, two, rows, kind, shingle, least))
     if max_bits is not None:
         links = links.unionByName(_close_fingerprints(two, max_bits))
-    found = cut(connected_components(links, "a", "b"))
+    found = connected_components(links, "a", "b")
 
     # of the others that the hash picked, only those in other components
     of = cut(grouped.join(found, grouped["id"] == found["node"], "left").select("id", F.col("pick").alias("other"), F.coalesce("component", "id").alias("c")).distinct())
     apart = of.join(found, of["other"] == found["node"], "left").where(F.col("c") != F.coalesce("component", "other")).where("id <> other")
     more = cut(_links(cut(apart.select(*pair).distinct()), two, rows, kind, shingle, least))
     if more.limit(1).count():
-        found = cut(connected_components(links.unionByName(more), "a", "b"))
+        stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = connected_components(stars.unionByName(more), "a", "b")
 
     # what the stars leave (in groups of two they leave nothing), and the short texts
     of = cut(grouped.where("n > 2").join(found, grouped["id"] == found["node"], "left").select("id", "t", "fp", F.coalesce("component", "id").alias("c")))
@@ -348,7 +359,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, tab
 def _merged(found: DataFrame, more: DataFrame, named: DataFrame) -> DataFrame:
     """node and component of ``found`` with the links (a, b) of ``more`` added; ``named`` has the component c of every id in it."""
     a, b = named.select(F.col("id").alias("a"), F.col("c").alias("a_c")), named.select(F.col("id").alias("b"), F.col("c").alias("b_c"))
-    now = cut(connected_components(more.join(a, "a").join(b, "b").select("a_c", "b_c"), "a_c", "b_c")).select(F.col("node").alias("was"), F.col("component").alias("now"))
+    now = connected_components(more.join(a, "a").join(b, "b").select("a_c", "b_c"), "a_c", "b_c").select(F.col("node").alias("was"), F.col("component").alias("now"))
     alone = now.select(F.col("was").alias("node"), F.col("was").alias("component"))
     every = cut(found.unionByName(alone).distinct())  # a component of found is a node of it; new ones were alone
     return every.join(now, every["component"] == now["was"], "left").select("node", F.coalesce("now", "component").alias("component"))

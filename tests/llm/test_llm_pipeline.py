@@ -182,3 +182,23 @@ def test_batches_of_texts_are_bounded(spark):
     docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcde "), 10_000).alias("text"))
     sizes = map_batches(docs, told, "n long, size long").collect()
     assert sum(r["n"] for r in sizes) == 400 and max(r["size"] for r in sizes) < 2 * BATCH_BYTES
+
+
+def test_components_end_with_the_last_change(spark):
+    """Stars need one look at each node, not rounds that change nothing, and no table of a round stays in the shared folder."""
+    import os
+
+    from corpusmill.llm.common import shared_dir
+    from corpusmill.llm.components import connected_components
+
+    sc, where = spark.sparkContext, f"{shared_dir(spark).removeprefix('file://')}/corpusmill"
+    there = lambda: set(os.listdir(where)) if os.path.isdir(where) else set()
+    before, cases = there(), {"stars": [(k, k // 10 * 10) for k in range(100)], "path": [(k, k + 1) for k in range(64)] + [(7, 100), (200, 100), (5, None), (9, 9)]}
+    jobs = {}
+    for name, edges in cases.items():
+        sc.setJobGroup(name, name)
+        got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+        jobs[name] = len(sc.statusTracker().getJobIdsForGroup(name))
+        assert got == ({k: k // 10 * 10 for k in range(100)} if name == "stars" else {k: 0 for k in [*range(65), 100, 200]})
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs["stars"] <= 12 and there() == before
