@@ -11,7 +11,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
@@ -71,15 +71,6 @@ def _words_outside_tiles(words: DataFrame, zones: DataFrame, page_col: str) -> D
     return words.join(over, same, "left_anti")
 
 
-def _changes(keys: pa.Array) -> np.ndarray:
-    """Whether each key differs from the one before; a null is a key."""
-    if pa.types.is_nested(keys.type):
-        held = keys.to_pylist()
-        return np.array([k == 0 or x != held[k - 1] for k, x in enumerate(held)], bool)
-    codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-    return np.diff(codes, prepend=-1) != 0
-
-
 def _line_starts(y: np.ndarray, pages: np.ndarray) -> np.ndarray:
     """Where a line begins: at a page's first word, and where a word is over the tolerance from the line's first."""
     out, at = [], 0.0
@@ -91,7 +82,7 @@ def _line_starts(y: np.ndarray, pages: np.ndarray) -> np.ndarray:
 
 
 def _line_batches(batches):
-    """page, y, text of words (page, y0, x0, x1, word) that come sorted; the last line of a batch waits for the next."""
+    """page, y, text of words (page, y0, x0, x1, word, and k: the place on the page, from 1) that come sorted; the last line of a batch waits for the next."""
     rest = None
     for batch in _and_end(batches):
         held = [*([] if rest is None else [rest]), *([] if batch is None else [pa.Table.from_batches([batch])])]
@@ -99,7 +90,9 @@ def _line_batches(batches):
             continue
         words = pa.concat_tables(held)
         page, y, x0, x1 = words["page"].combine_chunks(), *(words[c].to_numpy() for c in ("y0", "x0", "x1"))
-        starts = np.flatnonzero(_line_starts(y, _changes(page)))
+        new = words["k"].to_numpy() == 1
+        new[0] = True  # what waited is a line's beginning
+        starts = np.flatnonzero(_line_starts(y, new))
         if batch is not None:
             rest, starts = words.slice(starts[-1]), starts[:-1]
             words = words.slice(0, len(words) - len(rest))
@@ -156,7 +149,9 @@ def text_lines(words: DataFrame, page_col: str = "page") -> DataFrame:
     A line's place depends on the one before, so a page's words are sorted and folded by one task, a line at a time.
     """
     flat = words.select(F.col(page_col).alias("page"), *[F.col(c).cast("double").alias(c) for c in ("y0", "x0", "x1")], F.col("word").cast("string").alias("word"))
-    order = flat.repartition("page").sortWithinPartitions("page", "y0", "x0", "word", "x1")
+    # A window, for it demands that a page's words are in one task. Of repartition() nothing is left where a join has dealt rows by page before,
+    # and adaptive execution may read that join's exchange another way.
+    order = flat.withColumn("k", F.row_number().over(Window.partitionBy("page").orderBy("y0", "x0", "word", "x1")))
     return order.mapInArrow(_line_batches, f"page {flat.schema['page'].dataType.simpleString()}, y double, text string")
 
 
@@ -206,7 +201,7 @@ def laid_out(words: DataFrame, zones: DataFrame, tables: DataFrame) -> DataFrame
     lines and tables follow each other by their upper edges. Pages without any are left out.
     """
     paired = cut(matched_tables(zones, tables))  # two parts of the result need it
-    own = zones.join(paired.select("page", "zone_id", "table_id"), ["page", "zone_id"])
+    own = zones.select("page", "zone_id", *BOX).join(paired.select("page", "zone_id", "table_id"), ["page", "zone_id"])
     lines = text_lines(words_outside(words, own)).select("page", "y", F.lit("text").alias("kind"), "text")
     # Markdown is made of the tables that a zone took, so they are joined and kept before it
     taken = cut(own.select("page", "table_id", "y0").join(tables.select("page", "table_id", "rows"), ["page", "table_id"]))

@@ -98,3 +98,24 @@ def test_markdown_is_made_of_taken_tables_alone(spark, monkeypatch):
     monkeypatch.setattr(layout, "markdown_table", lambda r: F.when(r[0][0] == "u", F.raise_error("a table that no zone took").cast("string")).otherwise(r[0][0]))
     got = layout.laid_out(boxes, boxes.where("word = 'z'").withColumnRenamed("id", "zone_id"), tables).collect()
     assert [r["text"] for r in got] == ["\n[ТАБЛИЦА]\nt\n[/ТАБЛИЦА]\nu"]
+
+
+def test_pages_stay_whole_when_a_join_becomes_a_broadcast(spark):
+    """The join of words and zones deals by page; where adaptive execution makes it a broadcast, its exchange is read another way."""
+    from corpusmill.operators import layout
+
+    words = spark.range(0, 8000, 1, 6).selectExpr("id % 500 as page", "double(id * 7 % 31 * 20) as x0", "double(id * 11 % 17 * 2) as y0", "double(id * 7 % 31 * 20 + 15) as x1", "double(id * 11 % 17 * 2 + 9) as y1", "string(id) as word")
+    zones = words.where("page < 5").withColumn("zone_id", F.col("word").cast("long"))
+    tables = zones.withColumnRenamed("zone_id", "table_id").withColumn("rows", F.array(F.array(F.lit("a")), F.array("word")))
+    text = lambda: {r["page"]: r["text"] for r in layout.laid_out(words, zones, tables).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        want = text()
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert text() == want and len(want) == 500
+    finally:
+        for key in ("autoBroadcastJoinThreshold", "adaptive.enabled", "adaptive.autoBroadcastJoinThreshold", "adaptive.coalescePartitions.enabled"):
+            spark.conf.unset(f"spark.sql.{key}")
