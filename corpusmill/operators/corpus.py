@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
@@ -78,30 +81,47 @@ def status_counts(log: DataFrame, status_col: str, prefixes: dict[str, str]) ->
     return log.agg(*[F.count_if(F.col(status_col).startswith(p)).alias(name) for name, p in prefixes.items()])
 
 
-def line_frequency(pages: DataFrame, doc_col: str, page_col: str, text_col: str = "text") -> DataFrame:
-    """doc, line (stripped, lower case), pages it is on."""
-    lines = F.array_distinct(F.filter(F.transform(tx.split_lines(F.col(text_col)), lambda x: F.lower(tx.py_strip(x))), lambda x: x != ""))
-    return pages.select(F.col(doc_col).alias("doc"), F.col(page_col).alias("page"), F.explode(lines).alias("line")).groupBy("doc", "line").agg(F.count_distinct("page").alias("pages"))
+def _running(line: Column) -> Column:
+    """Whether a frequent line is a header or footer: a short number, no word over three characters, or the name of a page."""
+    return (line.rlike(r"(?U)^\d+$") & (F.length(line) < 5)) | ~F.exists(F.split(line, r"(?U)\s+"), lambda w: F.length(w) > 3) | line.contains("страница") | line.contains("page")
+
+
+class Lines(NamedTuple):
+    """How texts become lines, what lines are the same, and which frequent lines are headers or footers."""
+
+    split: Callable[[Column], Column] = tx.split_lines
+    key: Callable[[Column], Column] = lambda x: F.lower(tx.py_strip(x))
+    running: Callable[[Column], Column] = _running
+
 
+def line_frequency(pages: DataFrame, doc_col: str, page_col: str, text_col: str = "text", how: Lines = Lines()) -> DataFrame:
+    """doc, line (stripped, lower case), pages it is on; a null is a page."""
+    lines = F.array_distinct(F.filter(F.transform(how.split(F.col(text_col)), how.key), lambda x: x != ""))
+    found = pages.select(F.col(doc_col).alias("doc"), F.col(page_col).alias("page"), F.explode(lines).alias("line")).groupBy("doc", "line")
+    return found.agg((F.count_distinct("page") + F.max(F.col("page").isNull().cast("long"))).alias("pages"))
 
-def repeated_lines(pages: DataFrame, doc_col: str, page_col: str, text_col: str = "text", ratio: float = 0.9, least_pages: int = 6) -> DataFrame:
+
+def repeated_lines(pages: DataFrame, doc_col: str, page_col: str, text_col: str = "text", ratio: float = 0.9, least_pages: int = 6, how: Lines = Lines()) -> DataFrame:
     """doc, line: headers and footers. In documents of ``least_pages`` pages or more, lines that at least ``ratio`` of the pages (two at least)
     have, and that are short numbers, have no word over three characters, or name a page."""
     total = pages.groupBy(F.col(doc_col).alias("doc2")).agg(F.count_distinct(page_col).alias("n")).where(F.col("n") >= least_pages)
-    line = F.col("line")
-    plain = (line.rlike(r"(?U)^\d+$") & (F.length(line) < 5)) | ~F.exists(F.split(line, r"(?U)\s+"), lambda w: F.length(w) > 3) | line.contains("страница") | line.contains("page")
-    found = line_frequency(pages, doc_col, page_col, text_col).where(plain)
+    found = line_frequency(pages, doc_col, page_col, text_col, how).where(how.running(F.col("line")))
     often = found.join(total, F.col("doc") == F.col("doc2")).where(F.col("pages") >= F.greatest(F.lit(2), F.floor(F.col("n") * ratio)))
     return often.select("doc", "line")
 
 
-def without_repeated_lines(pages: DataFrame, doc_col: str, page_col: str, text_col: str = "text", ratio: float = 0.9, least_pages: int = 6) -> DataFrame:
-    """The pages with their headers and footers removed; the lines to remove are gathered a document."""
-    often = repeated_lines(pages, doc_col, page_col, text_col, ratio, least_pages)
+def kept_lines(pages: DataFrame, doc_col: str, page_col: str, text_col: str = "text", ratio: float = 0.9, least_pages: int = 6, how: Lines = Lines()) -> DataFrame:
+    """The pages with the array of their lines but headers and footers for a text; the lines to remove are gathered a document."""
+    often = repeated_lines(pages, doc_col, page_col, text_col, ratio, least_pages, how)
     gone = often.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line").alias("__gone"))  # no more than a page has lines
     both = pages.join(gone, F.col(doc_col) == F.col("__doc"), "left")
-    kept = F.filter(tx.split_lines(F.col(text_col)), lambda x: ~F.coalesce(F.array_contains(F.col("__gone"), F.lower(tx.py_strip(x))), F.lit(False)))
-    return both.withColumn(text_col, F.array_join(kept, "\n")).drop("__doc", "__gone")
+    kept = F.filter(how.split(F.col(text_col)), lambda x: ~F.coalesce(F.array_contains(F.col("__gone"), how.key(x)), F.lit(False)))
+    return both.withColumn(text_col, kept).drop("__doc", "__gone")
+
+
+def without_repeated_lines(pages: DataFrame, doc_col: str, page_col: str, text_col: str = "text", ratio: float = 0.9, least_pages: int = 6) -> DataFrame:
+    """The pages with their headers and footers removed."""
+    return kept_lines(pages, doc_col, page_col, text_col, ratio, least_pages).withColumn(text_col, F.array_join(text_col, "\n"))
 
 
 def dedup_by_hash(docs: DataFrame, id_col: str = "doc_id", content_col: str = "text") -> DataFrame:
